@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.dialect import SPACES
 from .operators import geometry, language, pages, scrub, spans
-from .plans.config import PACKS, ScrubConfig, plan_rules, term_rules
+from .plans.config import GROUP_K, GROUP_WEIGHT, PACKS, ScrubConfig, plan_rules, term_rules
 
 _K = "cast(c_custkey as string)"
 _NL = "chr(10)"
@@ -217,6 +217,69 @@ def masked_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "masked_text")
 
 
+#: What is left of the composed texts, one line for each label: closed forms that the rules must reach.  Values: text of a line, placeholder or None, rest.
+MASKED = {
+    "en": ["'Customer name: [Name]' || substr(c_name, 9)", "'SSN: [Secret]'", "'Passport: [Secret]'", "'IP address: [Secret]'", "'Email: [Email]'", "'Password: [Secret]'", "'Amount: [Amount]'", "'Tax ID: [Secret]'", "'Account number: [Account]'", "'Phone: [Phone]'", "'Company: [Company]'", "'see [URL]'"],
+    "de": ["'Passwort: [Geheim]'", "'Steuer-ID: [Geheim]'", "'Geburtsdatum: [Geheim]'", "'IBAN: [Konto]'", "'E-Mail: [E-Mail]'", "'Telefon: [Telefon]'", "'Betrag [Betrag]'", "'Firma: [Firma]'", "'BLZ: [Konto]'"],
+    "zh": ["'密码：【敏感】'", "'手机：【电话】'", "'邮箱：【邮箱】'", "'护照号：【敏感】'", "'开户行：' || lpad(cast(c_custkey as string), 8, '6')", "'合计：【金额】'", "'客户编号：【编号】'"],
+}
+#: Hits of each risk group in a composed text: critical, financial, identity, contact, tracking.
+GROUP_HITS = {"en": (1, 1, 3, 4, 1), "de": (1, 1, 1, 2, 0), "zh": (1, 0, 1, 2, 0)}
+
+
+def scrub_texts_sql(lang: str) -> str:
+    marks = "\\[[^\\]]*\\]|【[^】]*】"
+    hits = sum(bool(re.search(marks, x)) for x in MASKED[lang])
+    placeholders = sum(len(m[0]) for x in MASKED[lang] for m in re.finditer(marks, x))
+    score = " + ".join(f"{w} * (1 - exp(-{k} * {n}))" for w, k, n in zip(GROUP_WEIGHT.values(), GROUP_K.values(), GROUP_HITS[lang], strict=True))
+    masked = f" || {_NL} || ".join(MASKED[lang])
+    return f"""
+WITH t AS (SELECT c_custkey AS doc_id, {TEXTS[lang]} AS text, {masked} AS text_masked FROM customer)
+SELECT doc_id, CAST({hits} AS INTEGER) AS hit_count, CAST(length(text) - length(text_masked) + {placeholders} AS INTEGER) AS masked_length, CAST(floor(100 * ({score}) + 0.5) AS INTEGER) AS score, 'low' AS level, text_masked FROM t
+"""
+
+
+MASKED_FIXED_SQL = "SELECT c_custkey AS doc_id, " + re.sub(r"\[[^\]]*\]", "███", f" || {_NL} || ".join(MASKED["en"])) + " AS masked_text FROM customer"
+
+
+def language_routes_sql() -> str:
+    flat = "'_' || regexp_replace(trim(lower(text)), '[^\\p{L}'']+', '_', 'g') || '_'"
+    scores = []
+    for code, profile in language.PROFILES.items():
+        total = " + ".join("(n - length(replace(flat, '{}', ''))) * {}".format(g.replace("'", "''"), len(profile) - k) for k, g in enumerate(profile))
+        scores.append(f"{{'neg': -({total}), 'code': '{code}'}}")
+    return f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, {flat} AS flat FROM documents),
+g AS (SELECT *, length(flat) AS n FROM f),
+r AS (SELECT doc_id, text, list_transform(list_sort([{", ".join(scores)}]), lambda x: x.code) AS codes FROM g),
+c AS (SELECT *, CASE codes[1] WHEN 'eng' THEN 'en' WHEN 'deu' THEN 'de' END AS top, CASE codes[2] WHEN 'eng' THEN 'en' WHEN 'deu' THEN 'de' END AS second FROM r),
+k AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN len(regexp_extract_all(text, '[一-鿿]')) / greatest(length(text), 1) >= 0.02 THEN 'han_ratio' WHEN length(trim(text)) < 24 THEN 'too_short'
+      WHEN top IS NULL THEN 'unmapped:' || codes[1] WHEN second IS NOT NULL AND second <> top THEN 'en_de_ambiguous:' || codes[1] ELSE 'ngram:' || codes[1] END AS reason FROM c)
+SELECT doc_id, CASE WHEN reason = 'han_ratio' THEN 'zh' WHEN reason LIKE 'ngram%' OR reason LIKE 'en_de%' THEN top ELSE '' END AS detected, reason NOT LIKE 'ngram%' AND reason NOT IN ('empty', 'han_ratio') AS needs_confirm, reason,
+       CASE WHEN reason LIKE 'ngram%' OR reason = 'han_ratio' THEN 'auto' ELSE 'needs_confirm' END AS route, CASE WHEN reason LIKE 'ngram%' THEN top ELSE 'zh' END AS content_lang FROM k
+"""
+
+
+def _line_test(patterns: list[str], flags: str = "(?i)") -> str:
+    return "(" + " OR ".join("regexp_matches(s, '" + flags + p.replace("'", "''") + "')" for p in patterns) + ")"
+
+
+_PAGES = "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_number, 'Transcript ' || conv_id || chr(10) || coalesce(text, '') || chr(10) || 'Page ' || (turn + 1) || ' of 99' AS text FROM conversations"
+_PAGE_LINE = _line_test(pages.PAGE_LINES)
+_LEGAL = _line_test([pages.LEGAL_FORM], "")
+_FOOTER = f"({_PAGE_LINE} OR ({_LEGAL} AND {_line_test([pages.STREET])}) OR (regexp_matches(s, '[·|]') AND ({_LEGAL} OR {_line_test([pages.POSTAL], '')})))"
+CLEAN_PAGES_SQL = f"""
+WITH p AS ({_PAGES}), rep AS ({EDGE_LINES_SQL}),
+l AS (SELECT doc_id, page_number, string_split(text, chr(10)) AS lines FROM p),
+x AS (SELECT doc_id, page_number, len(lines) - 1 AS last, unnest(range(len(lines))) AS i, unnest(lines) AS raw FROM l),
+n AS (SELECT *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM x),
+k AS (SELECT n.doc_id, page_number, i, raw FROM n LEFT JOIN rep ON rep.doc_id = n.doc_id AND rep.line = n.s
+      WHERE s = '' OR NOT ({_PAGE_LINE} OR (NOT {_line_test([pages.PROTECTED])} AND ((rep.line IS NOT NULL AND (i <= 4 OR i >= last - 4)) OR (i >= last - 2 AND {_FOOTER}))))),
+j AS (SELECT doc_id, page_number, string_agg(raw, chr(10) ORDER BY i) AS t FROM k GROUP BY doc_id, page_number),
+o AS (SELECT p.doc_id, p.page_number, regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '', 'g') AS t FROM p LEFT JOIN j ON j.doc_id = p.doc_id AND j.page_number = p.page_number)
+SELECT doc_id, page_number, CAST(length(t) AS INTEGER) AS kept, md5(t) AS text_md5 FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_documents": scrub_documents,
     "hits_by_key": hits_by_key,
@@ -241,5 +304,9 @@ ORACLES: dict[str, str] = {
     "language_stats": LANGUAGE_STATS_SQL,
     "edge_lines": EDGE_LINES_SQL,
     "page_offsets": OFFSETS_SQL,
+    "language_routes": language_routes_sql(),
+    "clean_pages": CLEAN_PAGES_SQL,
+    "masked_fixed": MASKED_FIXED_SQL,
+    **{f"scrub_texts_{lang}": scrub_texts_sql(lang) for lang in PACKS},
     **{f"rule_matches_{lang}": rule_matches_sql(lang) for lang in PACKS},
 }
