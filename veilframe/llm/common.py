@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +66,14 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
     import pyarrow.compute  # noqa: F401
 
+    return arrow_map(df, run, schema)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers look for this package where the driver found it, too (on a cluster it comes with the job's files)."""
+    env, root = df.sparkSession.sparkContext.environment, str(pathlib.Path(__file__).parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     return df.mapInArrow(run, schema)
 
 

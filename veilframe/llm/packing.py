@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import ids_of
-from .common import map_arrow, partitions, text_of, vocabulary
+from .common import arrow_map, map_arrow, partitions, text_of, vocabulary
 
 #: Hashed features, curve dimensions and bits per dimension; the seed of the projection.
 FEATURES, DIMS, BITS, SEED = 1024, 4, 12, 42
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 1024, parts: in
             yield _batch(rows, ids_type)
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return ordered.drop("spot").mapInArrow(run, f"doc_id {key}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return arrow_map(ordered.drop("spot"), run, f"doc_id {key}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _by_size(packed: list[bytes]) -> list[tuple[int, int]]:

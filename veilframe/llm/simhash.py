@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, text_of
+from .common import arrow_map, map_arrow, stored, text_of
 from .components import connected, local_roots
 
 #: Words in a shingle, hash seed, most differing bits of a link.
@@ -201,7 +201,7 @@ def links(prints: DataFrame, node: int = NODE, budget: int = BUDGET) -> DataFram
             ends = [back[on].view(np.int64), back[label[on]].view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
-    return flat.mapInArrow(run, "a long, b long")
+    return arrow_map(flat, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, node: int = NODE) -> DataFrame:
