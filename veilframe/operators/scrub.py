@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import config as C
 from ..plans.config import ScrubConfig, norm_lang
-from .spans import clean, raw_hits, resolve, spliced, standard_hits, unmarked
+from .spans import clean, let, raw_hits, resolve, spliced, standard_hits, unmarked
 
 
 def by_key(hits: Column) -> Column:
@@ -49,12 +49,14 @@ def match(docs: DataFrame, config: ScrubConfig, text: str = "text") -> DataFrame
     """
     lang = norm_lang(config.lang) or "zh"
     given = docs.withColumn("_text", unmarked(F.col(text)))
-    resolved = given.withColumn("_hits", resolve(raw_hits("_text", config)))
-    found = resolved.withColumn("hits", standard_hits(F.col("_hits"), F.col("_text"), lang)).withColumn("text_masked", spliced(F.col("_text"), F.col("_hits"), lambda h: h["placeholder"]))
-    told = found.withColumn("_s", summary(F.col("hits")))
-    length = F.octet_length(F.encode("_text", "UTF-16BE")) / 2
-    out = told.select("*", "_s.*").withColumn("risk", risk(F.col("by_key"), length, F.lit(config.from_pdf)))
-    return out.drop("_text", "_hits", "_s")
+    whole = F.col("_text")
+    length = F.octet_length(F.encode(whole, "UTF-16BE")) / 2
+    # one expression, each step bound once: the optimizer has nothing to copy into later projections or generators
+    found = let(resolve(raw_hits("_text", config)), lambda h: F.struct(standard_hits(h, whole, lang).alias("hits"), spliced(whole, h, lambda x: x["placeholder"]).alias("text_masked")))
+    told = let(found, lambda r: F.struct(r["hits"].alias("hits"), r["text_masked"].alias("text_masked"), summary(r["hits"]).alias("s")))
+    fields = ["hit_count", "masked_length", "by_key", "category_counts"]
+    done = let(told, lambda r: F.struct(r["hits"].alias("hits"), r["text_masked"].alias("text_masked"), *[r["s"][f].alias(f) for f in fields], risk(r["s"]["by_key"], length, F.lit(config.from_pdf)).alias("risk")))
+    return given.withColumn("_r", done).select(*docs.columns, "_r.*")
 
 
 def scrub(docs: DataFrame, config: ScrubConfig, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -81,12 +83,12 @@ def highlighted(masked: Column) -> Column:
 
 
 def hit_rows(matched: DataFrame, *keys: str) -> DataFrame:
-    """One row for each hit: ``keys`` and the hit's fields."""
-    return matched.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.*")
+    """One row for each hit: ``keys`` and the hit's fields.  (An outer explode and a filter: for an inner one the optimizer tests the array first, and so works it out thrice.)"""
+    return matched.select(*keys, F.explode_outer("hits").alias("h")).where("h IS NOT NULL").select(*keys, "h.*")
 
 
 def coverage(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Differences of two runs' counts by key: ``keys, key, left_count, right_count`` where they differ."""
-    count = lambda df, name: df.select(*keys, F.explode("by_key").alias("key", name))
+    count = lambda df, name: df.select(*keys, F.explode_outer("by_key").alias("key", name)).where("key IS NOT NULL")
     both = count(left, "left_count").join(count(right, "right_count"), [*keys, "key"], "full").na.fill(0, ["left_count", "right_count"])
     return both.where("left_count <> right_count")

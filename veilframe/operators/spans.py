@@ -19,6 +19,11 @@ OPEN, CLOSE, STAND_INS = "\ue100", "\ue101", "\ue102\ue103"
 HIT = "struct<key:string,source:string,ord:int,start:int,end:int,text:string,placeholder:string,mode:string,tag:string,term:string,full:string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once and names it in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(text: Column) -> Column:
     """Null as empty, NUL removed, line ends as LF."""
     out = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "\\x00", "")

@@ -64,7 +64,7 @@ def rule_matches(lang: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = list(plain_rules(lang))
         config = ScrubConfig(lang=lang, enabled=frozenset(PACKS[lang].PRIORITY))
-        hits = texts(spark, sf_dir, lang).withColumn("_text", spans.unmarked(F.col("text"))).select("doc_id", F.explode(spans.raw_hits("_text", config)).alias("h"))
+        hits = texts(spark, sf_dir, lang).withColumn("_text", spans.unmarked(F.col("text"))).select("doc_id", F.explode_outer(spans.raw_hits("_text", config)).alias("h"))
         return hits.where(F.col("h.key").isin(keys)).groupBy("doc_id", F.col("h.key").alias("key")).agg(F.count("*").alias("n"), F.min("h.text").alias("first_value"), F.max("h.text").alias("last_value"))
 
     return query
@@ -101,7 +101,7 @@ def email_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of e-mail addresses in documents, in code points."""
     rule = [r for r in plan_rules(ScrubConfig(lang="en")) if r.key == "email"][0]
     docs = table(spark, sf_dir, "documents").select("doc_id", spans.unmarked(F.col("text")).alias("_text"))
-    hits = docs.select("doc_id", F.explode(F.expr(spans.rule_hits("_text", rule, "en"))).alias("h"))
+    hits = docs.select("doc_id", F.explode_outer(F.expr(spans.rule_hits("_text", rule, "en"))).alias("h")).where("h IS NOT NULL")
     return hits.select("doc_id", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"), F.col("h.text").alias("value"))
 
 

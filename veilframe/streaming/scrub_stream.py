@@ -16,5 +16,5 @@ def masked_stream(docs: DataFrame, config: ScrubConfig, text: str = "text") -> D
 
 def counts_by_window(matched: DataFrame, time: str = "ts", width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Hits by key in windows of event time; rows later than ``late`` are left out."""
-    each = matched.withWatermark(time, late).select(time, F.explode("by_key").alias("key", "n"))
+    each = matched.withWatermark(time, late).select(time, F.explode_outer("by_key").alias("key", "n")).where("key IS NOT NULL")
     return each.groupBy(F.window(time, width), "key").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
