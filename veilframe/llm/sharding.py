@@ -9,6 +9,8 @@ from .common import stored, text_of
 
 #: Byte limit of a shard, directory bits settled in one round, and bits of the content hash (then come bits of the row's place).
 LIMIT, ROUND_BITS, HASH_BITS = 1 << 20, 20, 60
+#: Depths at which a prefix is short, and parts that the cells below one are dealt to.
+SHORT, PARTS = 8, 64
 
 
 def _hash(text: Column) -> Column:
@@ -34,7 +36,10 @@ def _directory(rows: DataFrame, limit: int, last: bool) -> DataFrame:
     levels = levels.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(ROUND_BITS) - F.col("depth")))
     sums = levels.groupBy("above", "depth", "prefix").agg(F.sum("held").alias("held"), F.sum("n").alias("n"))
     fits = sums.where((F.col("held") <= limit) | (F.col("n") == 1) | (F.lit(last) & (F.col("depth") == ROUND_BITS))).select("above", "depth", "prefix")
-    found = levels.join(fits, ["above", "depth", "prefix"]).groupBy("above", "cell").agg(F.min("depth").alias("depth"))
+    # a short prefix has very many cells: they meet it in parts
+    short = F.col("depth") < SHORT
+    spread = fits.withColumn("part", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    found = levels.withColumn("part", F.when(short, (F.col("cell") % PARTS).cast("int")).otherwise(F.lit(0))).join(spread, ["above", "depth", "prefix", "part"]).groupBy("above", "cell").agg(F.min("depth").alias("depth"))
     return stored(cells.select("above", "cell").join(found, ["above", "cell"], "left"), "directory")
 
 
