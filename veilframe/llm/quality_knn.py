@@ -19,23 +19,23 @@ MAX_LABELLED, NEIGHBOURS, RANK, SEED = 6_000, 25, 48, 42
 WORDS, SHAPES, WHOLE = 2048, 1024, 64
 FEATURES = WORDS + SHAPES + WHOLE
 #: Words whose features a worker remembers; documents in a block of cosine products.
-MEMO, ROWS = 300_000, 1024
-
-_SHAPE = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9")]
-_memo: dict[bytes, tuple[int, int]] = {}
-
-
-def word_features(word: bytes) -> tuple[int, int]:
-    """Hashed word (letters only, lower case) and hashed shape: runs of one kind of character shown once, other characters as they are."""
-    got = _memo.get(word)
-    if got is None:
-        if len(_memo) >= MEMO:
-            _memo.clear()
-        shape = word
-        for pattern, mark in _SHAPE:
-            shape = pattern.sub(mark, shape)
-        bare = bytes(c for c in word.lower() if 97 <= c <= 122 or c >= 128)
-        got = _memo[word] = (zlib.crc32(bare) % WORDS, WORDS + zlib.crc32(shape[:16]) % SHAPES)
+MEMO, ROWS = 600_000, 1024
+
+#: Kinds of characters in a shape: lower-case letters and all beyond ASCII as "a", upper-case as "A", digits as "9".
+_KIND = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c for c in range(256))
+_OTHER = bytes(c for c in range(128) if not 97 <= c <= 122)
+_RUN = re.compile(rb"([aA9])\1+")
+_memo: dict[bytes, int] = {}
+
+
+def word_features(word: bytes) -> int:
+    """Hashed word (letters only, lower case) and hashed shape, packed into one number: runs of one kind of character shown once, other characters as they are."""
+    if len(_memo) >= MEMO:
+        _memo.clear()
+    shape = _RUN.sub(rb"\1", word.translate(_KIND))[:16]
+    got = zlib.crc32(word.lower().translate(None, _OTHER)) % WORDS | (WORDS + zlib.crc32(shape) % SHAPES) << 16
+    if len(word) <= 64:
+        _memo[word] = got
     return got
 
 
@@ -44,12 +44,9 @@ def text_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode().split()
     n = len(words)
     count = Counter(words)
-    feature, weight = [], []
-    for w, k in count.items():
-        a, b = word_features(w)
-        feature += [a, b]
-        weight += [k, k]
-    total = np.bincount(feature, weight, WORDS + SHAPES) if n else np.zeros(WORDS + SHAPES)
+    packed = np.array([_memo.get(w) or word_features(w) for w in count], np.int64)
+    weight = np.fromiter(count.values(), np.float64, len(count))
+    total = np.bincount(packed & 0xFFFF, weight, WORDS + SHAPES) + np.bincount(packed >> 16, weight, WORDS + SHAPES)
     on = np.flatnonzero(total)
     damped = np.log1p(total[on] / max(n, 1) * 50)
     doubled = sum(map(bytes.__eq__, words, words[1:])) / max(n, 1)
