@@ -97,3 +97,41 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = match(source, ScrubConfig(lang="en"))
     assert sorted(map(tuple, spark.table("masked").collect())) == sorted(map(tuple, batch.select("doc_id", "text_masked").collect()))
     assert counts_by_window(batch).agg(F.sum("n")).first()[0] == 6
+
+
+def test_text_against_authority(spark):
+    items = _items(("Hello", 0, 700), ("bob.", 40, 700), ("again", 0, 690))
+    texts = ["Hello   bob.\r\nagain", "Hello there", "  ", None, "x Hello bob. again Hello"]
+    data = spark.createDataFrame([(k, items, t) for k, t in enumerate(texts)], "k int, items array<struct<str:string,transform:array<double>>>, t string")
+    got = {r.k: (r.p.text, [(x.start, x.end) for x in r.p.ranges]) for r in data.select("k", geometry.against_authority(geometry.item_ranges(F.col("items")), F.col("t")).alias("p")).collect()}
+    own = ("Hello bob.\nagain", [(0, 5), (6, 10), (11, 16)])
+    assert got == {0: ("Hello   bob.\nagain", [(0, 5), (8, 12), (13, 18)]), 1: own, 2: own, 3: own, 4: (texts[4], [(2, 7), (8, 12), (13, 18)])}
+
+
+def test_boxes_on_the_raster(spark):
+    items = [(1, 1, 0, "Name: Bob,", [10.0, 0.0, 0.0, 10.0, 50.0, 700.0], 60.0, 0, 10), (1, 1, 1, "ab", [10.0, 0.0, 0.0, 10.0, 200.0, 700.0], 0.0, 11, 13), (1, 1, 2, "", None, None, 14, 14)]
+    data = spark.createDataFrame(items, "doc_id long, page_number int, idx int, str string, transform array<double>, width double, start int, end int")
+    layout = spark.createDataFrame([(1, 1, 612.0, 792.0, [1.0, 0.0, 0.0, -1.0, 0.0, 792.0])], "doc_id long, page_number int, viewport_width double, viewport_height double, viewport_transform array<double>")
+    placed = geometry.on_device(data, layout)
+    boxes = {r.idx: tuple(round(x, 4) for x in (r.x, r.y, r.w, r.h)) for r in geometry.item_boxes(placed).collect()}
+    est = 10 * 10.8 * 0.72
+    assert boxes[0] == (50.0, round(92 - 10.8, 4), round(est * 1.18, 4), 10.8)
+    assert boxes[1] == (200.0, round(92 - 10.8, 4), round(2 * 10.8 * 0.72, 4), 10.8) and boxes[2][3] == 6.0
+    spans = spark.createDataFrame([(1, 1, "h1", "person_name", 0, 10), (1, 1, "h2", "manual_term", 11, 13), (1, 1, "h3", "k", 4, 6)], "doc_id long, page_number int, id string, key string, a int, b int")
+    got = {r.id: r for r in geometry.device_rects(spans, placed, "en", geometry.tuned("en", labels={"person_name": ("name",)})).collect()}
+    assert set(got) == {"h1", "h2"}  # the third covers weak characters alone
+    font = 11.0
+    width = 10 * font * 0.82 * 1.08 + 6  # ten times what the characters can fill, so the estimate holds
+    pad, nudge = max(0.22, width * 0.0022), min(4, max(2, width * 0.04))
+    assert abs(got["h1"].x - (50 + width * 0.6 - pad - nudge)) < 1e-9 and abs(got["h1"].w - (width * 0.3 + 2 * pad + nudge)) < 1e-9  # "Bob" of ten characters
+    assert abs(got["h1"].y - (92 - font + 2 - 0.34 + 5)) < 1e-9 and abs(got["h1"].h - (font - 2 + 0.68 - 2)) < 1e-9
+    assert geometry.device_rects(spans.where("id = 'h2'"), placed, "en", drop_oversize=True).count() == 1
+    manual = spark.createDataFrame([(1, 1, 10, 10, -8, 20), (1, 1, 0, 0, 5, 50)], "doc_id long, page_number int, x int, y int, w int, h int")
+    mine = geometry.with_manual(geometry.device_rects(spans, placed, "en"), manual).where("key = 'manual_rect'").collect()
+    assert [(r.id, r.x, r.y, r.w, r.h) for r in mine] == [("manual_000001", 2.0, 10.0, 8.0, 20.0)]
+
+
+def test_export_merge(spark):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 10.0, 20.0, 8.0), (1, 1, 23.0, 11.0, 5.0, 9.0), (1, 1, 40.0, 10.0, 5.0, 8.0), (1, 1, 0.0, 30.0, 5.0, 8.0), (1, 2, 0.0, 10.0, 5.0, 8.0)], "doc_id long, page_number int, x double, y double, w double, h double")
+    got = sorted(tuple(r) for r in geometry.export_merged(boxes).collect())
+    assert got == [(1, 1, 0.0, 10.0, 28.0, 10.0), (1, 1, 0.0, 30.0, 5.0, 8.0), (1, 1, 40.0, 10.0, 5.0, 8.0), (1, 2, 0.0, 10.0, 5.0, 8.0)]

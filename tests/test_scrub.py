@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.functions.dialect import escape, to_java
-from veilframe.operators import scrub, spans
+from veilframe.operators import cascade, scrub, spans
 from veilframe.plans import config as C
 from veilframe.plans.config import ScrubConfig, effective_enabled, parse_terms, plan_rules
 
@@ -121,3 +121,19 @@ def test_plan_is_narrow_and_native(spark):
     data = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a@b.co").alias("text"))
     plan = scrub.match(data, ScrubConfig(lang="en"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_sequential_mode(spark):
+    cases = {
+        "en": [("Email: bob@mail.example.com", "Email: [Email]"), ("Acme Tools LLC", "[Company]LLC"), ("[Phone] SSN: 123-45-6789", "[Phone] SSN: [Secret]"), ("Phone: +1 743 555 3824", "Phone: [Phone]"), ("Phone: 12345678901234", "Phone: 12345678901234"), (None, "")],
+        "zh": [("北京云科技有限公司", "【公司】科技有限公司"), ("密码：abc 【电话】", "密码：【敏感】"), ("手机：13812345678", "手机：【电话】")],
+        "de": [("Musterfirma GmbH ist da", "[Firma]GmbH ist da"), ("Passwort: geheim", "Passwort: [Geheim]")],
+    }
+    for lang, pairs in cases.items():
+        data = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(pairs)], "id int, text string")
+        got = {r.id: r.text_masked for r in cascade.scrub_sequential(data, ScrubConfig(lang=lang)).collect()}
+        assert got == {k: want for k, (_, want) in enumerate(pairs)}
+    data = spark.createDataFrame([(0, "Bob 【x】 [Email] bob@mail.example.com")], "id int, text string")
+    assert cascade.scrub_sequential(data, ScrubConfig(lang="en", terms=("Bob",))).first().text_masked.startswith("[REDACTED] 【x】 [Email] ")
+    road = data.select(cascade.house_numbers_masked(F.lit("上海世纪大道100号"), "【地址】").alias("a"), cascade.house_numbers_masked(F.lit("某处"), "【地址】").alias("b")).first()
+    assert (road.a, road.b) == ("上海世纪大道【地址】", "【地址】")

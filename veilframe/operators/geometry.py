@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dialect import escape
+from ..plans.tuning import ITEM_CAP, ITEM_FONT, NAME_KEYS, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS, BoxTuning, tuned
+from .spans import clean
+
 #: Default tuning of boxes and merges.
 WHOLE_ITEM_LENGTH, WHOLE_ITEM_SHARE, LONGEST_SPAN = 2, 0.72, 120
 PAD_X, PAD_Y, MERGE_GAP, SAME_LINE, SIMILAR_HEIGHT = 1.0, 1.0, 4.0, 0.80, 0.72
 EXPORT_OFFSET, EXPORT_HEIGHT, EXPORT_GAP = 3.0, 3.0, 4.0
+LEAST_DRAG = 6
+#: Characters that do not belong to a value at its ends.
+WEAK = " \t\n\r:：,，;；()（）[]【】<>《》\"'“”‘’"
 
 
 def item_ranges(items: Column) -> Column:
@@ -29,15 +36,43 @@ def item_ranges(items: Column) -> Column:
     return F.aggregate(ordered, start, add, lambda a: F.struct(a["text"].alias("text"), a["ranges"].alias("ranges")))
 
 
+def against_authority(built: Column, authority: Column) -> Column:
+    """``text, ranges`` of :func:`item_ranges` moved onto an authoritative text of the page.
+
+    Each item's text is found from the end of the one before; if one is missing, or the authority is blank, the page's own text stays.
+    """
+    target = clean(authority)
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<struct<idx:int,start:int,end:int>>").alias("out"))
+
+    def find(own: Column, whole: Column) -> Column:
+        def step(a: Column, r: Column) -> Column:
+            chunk = F.substring(own["text"], r["start"] + 1, r["end"] - r["start"])
+            got = F.call_function("locate", chunk, whole, a["at"] + 1)
+            end = (got - 1 + F.length(chunk)).cast("int")
+            told = F.struct(r["idx"].alias("idx"), (got - 1).cast("int").alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), (a["ok"] & (got > 0)).alias("ok"), F.concat(a["out"], F.array(told)).alias("out"))
+
+        return F.aggregate(own["ranges"], start, step)
+
+    pair = F.struct(built.alias("own"), target.alias("whole"))
+    moved = F.transform(F.array(pair), lambda p: F.struct(p["own"].alias("own"), p["whole"].alias("whole"), find(p["own"], p["whole"]).alias("got")))
+    keep = lambda p: F.when((F.trim(p["whole"]) == "") | (p["own"]["text"] == p["whole"]) | ~p["got"]["ok"], p["own"]).otherwise(F.struct(p["whole"].alias("text"), p["got"]["out"].alias("ranges")))
+    return F.transform(moved, keep)[0]
+
+
 def localized(hits: DataFrame, offsets: DataFrame) -> DataFrame:
     """Hits (``doc_id, id, key, start, end``) clipped to the pages they meet, in page coordinates: ``doc_id, page_number, id, key, a, b``."""
     met = hits.join(offsets.withColumnsRenamed({"start": "p_start", "end": "p_end"}), "doc_id").where("start < p_end and end > p_start")
     return met.select("doc_id", "page_number", "id", "key", (F.greatest("start", "p_start") - F.col("p_start")).alias("a"), (F.least("end", "p_end") - F.col("p_start")).alias("b"))
 
 
-def merged_spans(spans: DataFrame, longest: int | None = None) -> DataFrame:
-    """Overlapping or touching spans of one key on a page as one.  ``longest`` drops longer spans, as the original tuning did; by default none is dropped."""
-    kept = spans if longest is None else spans.where(F.col("b") - F.col("a") <= longest)
+def merged_spans(spans: DataFrame, longest: int | dict[str, int] | None = None) -> DataFrame:
+    """Overlapping or touching spans of one key on a page as one.  ``longest`` (one number, or one for each key and 120 for others) drops longer spans, as the original tuning did; by default none is dropped."""
+    if isinstance(longest, dict):
+        limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in longest.items() for x in kv]), F.col("key")), F.lit(LONGEST_SPAN)) if longest else F.lit(LONGEST_SPAN)
+    else:
+        limit = F.lit(longest)
+    kept = spans if longest is None else spans.where(F.col("b") - F.col("a") <= limit)
     page = Window.partitionBy("doc_id", "page_number", "key").orderBy("a", "b")
     reach = F.max("b").over(page.rowsBetween(Window.unboundedPreceding, -1))
     flagged = kept.withColumn("fresh", (F.col("a") > F.coalesce(reach, F.lit(-1))).cast("int"))
@@ -60,6 +95,116 @@ def rects(spans: DataFrame, items: DataFrame) -> DataFrame:
     return met.select("doc_id", "page_number", "id", "key", (x1 - PAD_X).alias("x"), (F.col("y") - PAD_Y).alias("y"), (x2 - x1 + 2 * PAD_X).alias("w"), (F.col("h") + 2 * PAD_Y).alias("h"))
 
 
+def on_device(items: DataFrame, layout: DataFrame) -> DataFrame:
+    """Items on their page's raster: adds ``left, base, font, n, wide`` (place, font height, characters, width if known) and the page's size.
+
+    ``items``: ``doc_id, page_number, idx, str, transform, width``; ``layout``: ``doc_id, page_number, viewport_width, viewport_height,
+    viewport_transform``.  The item's affine matrix is multiplied by the page's; matrices are ``[a, b, c, d, e, f]``.
+    """
+    identity = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)])
+    page, own = F.col("viewport_transform"), F.coalesce(F.col("transform"), identity)
+    entry = lambda row, column: page[row] * own[2 * column] + page[row + 2] * own[2 * column + 1]
+    length = lambda column, other: F.coalesce(F.nullif(F.hypot(entry(0, column), entry(1, column)), F.lit(0.0)), other)
+    across = length(0, F.lit(1.0))
+    known = F.when(F.col("width") > 0, F.col("width") * across)
+    joined = items.join(layout, ["doc_id", "page_number"])
+    return joined.select(*items.columns, "viewport_width", "viewport_height", (entry(0, 2) + page[4]).alias("left"), (entry(1, 2) + page[5]).alias("base"), length(1, across).alias("font"), F.greatest(F.length(F.coalesce("str", F.lit(""))), F.lit(1)).alias("n"), known.alias("wide"))
+
+
+def _clamp(value: Column, low: Column | float, high: Column | float) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return F.greatest(lit(low), F.least(lit(high), value))
+
+
+def item_boxes(placed: DataFrame) -> DataFrame:
+    """``doc_id, page_number, idx, x, y, w, h`` of items of :func:`on_device`: widths beyond what the characters can fill are cut."""
+    factor, least, most, char = ITEM_FONT
+    page_w, page_h = F.col("viewport_width"), F.col("viewport_height")
+    sized = placed.withColumn("font", _clamp(F.col("font") * factor, least, most)).withColumn("est", F.greatest(F.lit(8.0), F.col("n") * F.col("font") * char))
+    wide = F.least(F.coalesce("wide", "est"), F.col("est") * F.when(F.col("n") <= 4, SHORT_TOKEN).otherwise(ITEM_CAP))
+    cornered = sized.withColumn("x", _clamp(F.col("left"), 0, page_w)).withColumn("y", _clamp(F.col("base") - F.col("font"), 0, page_h))
+    return cornered.select("doc_id", "page_number", "idx", "x", "y", _clamp(wide, 1, page_w - F.col("x")).alias("w"), _clamp(F.col("font"), least, page_h - F.col("y")).alias("h"))
+
+
+def _of_key(table: dict, otherwise: object, pick: int | None = None) -> Column:
+    """A key's entry of a small table, as a literal map."""
+    value = lambda v: F.lit(v if pick is None else v[pick])
+    return F.coalesce(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), value(v))]), F.col("key")), value(otherwise)) if table else value(otherwise)
+
+
+def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: BoxTuning | None = None, drop_oversize: bool = False) -> DataFrame:
+    """Rectangles on the raster, one for each span and item it covers: ``doc_id, page_number, id, key, x, y, w, h``.
+
+    ``spans``: ``doc_id, page_number, id, key, a, b``; ``placed``: :func:`on_device` with the items' ``start, end``.  Labels and weak
+    punctuation at a value's ends are not covered; widths are held between what the key's group allows; padding is added.
+    ``drop_oversize`` skips implausibly large boxes as the original did, which leaves them readable; by default they stay.
+    """
+    tuning = tuning or tuned(lang)
+    factor, least, most, char = RECT_FONT
+    page_w, page_h = F.col("viewport_width"), F.col("viewport_height")
+    met = spans.join(placed.where(F.coalesce("str", F.lit("")) != ""), ["doc_id", "page_number"]).where("a < end and b > start")
+    # which part of the item is covered
+    met = met.withColumn("lo", F.greatest("a", "start") - F.col("start")).withColumn("hi", F.least("b", "end") - F.col("start"))
+    ends = "[" + "".join("\\" + c if c in "[]" else c for c in WEAK) + "]+"
+    sub = F.substring("str", F.col("lo") + 1, F.col("hi") - F.col("lo"))
+    bare = sub
+    for key, words in tuning.labels.items():
+        bare = F.when(F.col("key") == key, F.regexp_replace(sub, "(?i)^(?:" + "|".join(escape(w) for w in words) + ")\\s*[:：]?\\s*", "")).otherwise(bare)
+    bare = F.regexp_replace(bare, "^" + ends, "")
+    asis = F.col("key").isin("manual_term", *tuning.keep_label)
+    met = met.withColumn("rest", F.when(asis, F.length(sub)).otherwise(F.length(bare))).withColumn("core", F.when(asis, F.length(sub)).otherwise(F.length(F.regexp_replace(bare, ends + "\\z", ""))))
+    whole_key = F.col("key").isin(*tuning.whole) if tuning.whole else F.lit(False)
+    met = met.withColumn("lo", F.when(whole_key, 0).otherwise(F.col("hi") - F.col("rest"))).withColumn("hi", F.when(whole_key, F.col("n")).otherwise(F.col("lo") + F.col("core"))).where("hi > lo")
+    # the item's box as the key's group allows it
+    met = met.withColumn("group", _of_key({**tuning.groups, "manual_term": "manual_term"}, "default")).withColumn("font", _clamp(F.col("font") * factor, least, most))
+    met = met.withColumn("est", F.greatest(F.lit(10.0), F.col("n") * F.col("font") * char))
+    limit = lambda k: F.element_at(F.create_map(*[x for g, v in WIDTHS.items() for x in (F.lit(g), F.lit(v[k]))]), F.col("group"))
+    given = F.coalesce("wide", "est")
+    plausible = F.when(given > F.col("est") * limit(2), F.col("est") * limit(3)).otherwise(given)
+    long = F.col("group") == "longValue"
+    floor_ = F.least(F.col("est") * F.when(long, 0.92).otherwise(0.80), page_w * F.when(long, 0.38).otherwise(0.18))
+    fitted = F.greatest(_clamp(plausible, 1, F.least(page_w * limit(0), F.col("est") * limit(1))), floor_)
+    inset = lambda share: _clamp(F.col("font") * share, 2, 4)
+    met = met.withColumn("bx", _clamp(F.col("left"), 0, page_w)).withColumn("bw", _clamp(fitted + 6, 1, page_w - F.col("bx")))
+    met = met.withColumn("by", _clamp(F.col("base") - F.col("font") + inset(0.16), 0, page_h)).withColumn("bh", _clamp(F.col("font") - inset(0.14), 4, page_h - F.col("by")))
+    # the covered share, padded
+    whole = whole_key | (F.col("n") <= WHOLE_ITEM_LENGTH) | (F.col("hi") - F.col("lo") >= F.col("n") * tuning.cover)
+    x1 = F.when(whole, F.col("bx")).otherwise(F.col("bx") + F.col("bw") * F.col("lo") / F.col("n"))
+    x2 = F.when(whole, F.col("bx") + F.col("bw")).otherwise(F.col("bx") + F.col("bw") * F.col("hi") / F.col("n"))
+    pad = lambda size, share, floor: F.greatest(_of_key(tuning.pads, PAD, floor), F.col(size) * _of_key(tuning.pads, PAD, share))
+    met = met.withColumn("px", pad("bw", 0, 2)).withColumn("py", pad("bh", 1, 3)).withColumn("nudge", F.when(F.col("key").isin(*NAME_KEYS), _clamp(F.col("bw") * 0.04, 2, 4)).otherwise(0.0))
+    met = met.withColumn("x", _clamp(x1 - F.col("px") - F.col("nudge"), 0, page_w)).withColumn("y", _clamp(F.col("by") - F.col("py") + 2 + tuning.down, 0, page_h))
+    met = met.withColumn("w", _clamp(x2 - x1 + 2 * F.col("px") + F.col("nudge"), 1, page_w - F.col("x"))).withColumn("h", _clamp(F.col("bh") + 2 * F.col("py") - tuning.trim, 3, page_h - F.col("y")))
+    if drop_oversize:
+        cap = F.when(F.col("key").isin(*NAME_KEYS), F.least(page_w * 0.16, F.col("bw") * 0.90)).when(F.col("key") == "company", F.least(page_w * 0.40, F.col("bw") * 1.50)).when(F.col("key") == "manual_term", F.least(page_w * 0.45, F.col("bw") * 1.60)).otherwise(page_w)
+        huge = (F.col("w") > page_w * 0.92) | (F.col("h") > page_h * 0.35) | ((F.col("w") > page_w * 0.85) & (F.col("h") > page_h * 0.20))
+        met = met.where((F.col("w") <= cap) & ~huge)
+    return met.select("doc_id", "page_number", "id", "key", "x", "y", "w", "h")
+
+
+def export_merged(boxes: DataFrame) -> DataFrame:
+    """Boxes to draw: neighbours on a page as one, whatever their hit, if they differ little in place and height and nearly touch: ``doc_id, page_number, x, y, w, h``.
+
+    Lines are formed first (a box starts one if it lies 3 or more below the one before), then joined from left to right.
+    """
+    down = Window.partitionBy("doc_id", "page_number").orderBy("y", "x")
+    fresh = F.coalesce((F.col("y") - F.lag("y").over(down) >= EXPORT_OFFSET).cast("int"), F.lit(1))
+    lined = boxes.select("doc_id", "page_number", "x", "y", "w", "h").withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("doc_id", "page_number", "line").orderBy("x", "y", "w", "h")
+    reach = F.max(F.col("x") + F.col("w")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    joins = (F.abs(F.col("h") - F.lag("h").over(along)) < EXPORT_HEIGHT) & (F.col("x") <= reach + EXPORT_GAP)
+    split = lined.withColumn("fresh", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return _bounds(split, "doc_id", "page_number", "line", "island").drop("line", "island")
+
+
+def with_manual(boxes: DataFrame, manual: DataFrame) -> DataFrame:
+    """Boxes and a user's own (``doc_id, page_number, x, y, w, h``; dragged in any direction, at least 6 pixels each way), the latter with key ``manual_rect``."""
+    ids = F.format_string("manual_%06d", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "y", "x", "w", "h")))
+    upright = manual.select("doc_id", "page_number", *[F.least(F.col(a), F.col(a) + F.col(s)).cast("double").alias(a) for a, s in (("x", "w"), ("y", "h"))], *[F.abs(s).cast("double").alias(s) for s in ("w", "h")])
+    kept = upright.where((F.col("w") >= LEAST_DRAG) & (F.col("h") >= LEAST_DRAG))
+    return boxes.unionByName(kept.select("doc_id", "page_number", ids.alias("id"), F.lit("manual_rect").alias("key"), "x", "y", "w", "h"))
+
+
 def merged_rects(boxes: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
     """Neighbouring boxes of one hit and key on a line as one: their heights overlap and are alike, and the gap between is small."""
     line = Window.partitionBy("doc_id", "page_number", "id", "key").orderBy("y", "x")
