@@ -1,11 +1,15 @@
 """The driver's contract, with and without the optional parts."""
 
+import collections
 import pathlib
 import shutil
 import subprocess
 import sys
 
+import duckdb
+
 import __spark_entry__ as entry
+from veilframe import more_queries
 
 ROOT = pathlib.Path(entry.__file__).parent
 
@@ -26,3 +30,18 @@ def test_nothing_else_imports_the_optional_parts():
     for path in (ROOT / "veilframe").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "llm" not in path.read_text(encoding="utf-8"), path
+
+
+def test_queries_equal_their_sql(spark):
+    """Queries of hits, risk, pages and boxes on the smallest tables, row by row against the SQL that the driver runs."""
+    tables = pathlib.Path("/root/testdata/sf0.001")
+    base = duckdb.connect()
+    for path in tables.glob("*.parquet"):
+        base.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+    for name, query in more_queries.QUERIES.items():
+        got = query(spark, str(tables))
+        names = sorted(got.columns)
+        told = base.execute(more_queries.ORACLES[name])
+        at = [[d[0] for d in told.description].index(c) for c in names]
+        want = collections.Counter(tuple(row[k] for k in at) for row in told.fetchall())
+        assert collections.Counter(tuple(row[c] for c in names) for row in got.collect()) == want, name
