@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import mixing, packing, quality_rules, secret_scan, simhash
-from veilframe.llm.common import stored
+from veilframe.llm.common import row_key, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes of it: whole repetitions, then one more whose chance is the fraction left."""
-    takes = mixing.mix(docs).select("doc_id", "size", "taken")
-    copies = takes.select(F.col("doc_id").alias("_id"), repetitions().alias("_n")).where("_n > 0").dropDuplicates(["_id"])
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    takes = mixing.mix(docs.withColumn("_key", row_key("source")), carried=("_key",)).select("_key", "doc_id", "size", "taken")
+    copies = takes.groupBy("_key").agg(F.sum(repetitions()).cast("int").alias("_n")).where("_n > 0")
+    # rows of equal id, text and source share the sum of their copies
+    out = docs.withColumn("_key", row_key("source")).join(copies, "_key").dropDuplicates(["_key"])
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 

@@ -363,3 +363,12 @@ def test_quality_classifier(spark, docs, none, rows):
     assert quality_knn.classify(docs, known).count() == len(rows)
     assert quality_knn.classify(none, known).count() == 0
     assert {r.predicted for r in quality_knn.classify(docs, known.limit(0)).collect()} == {1}
+
+
+def test_keep_one_keeps_each_component(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    loose, same = [text() for _ in range(4)], [text(), text()]
+    data = [*((None, t) for t in loose), (None, loose[0]), *((7, t) for t in same), (8, same[0])]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([*((None, t) for t in loose), *((7, t) for t in same)], key=str)

@@ -32,3 +32,15 @@ def _counts(rows):
     for r in rows:
         out[r.doc_id] = out.get(r.doc_id, 0) + 1
     return out
+
+
+def test_mixing_counts_rows_not_ids(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    data = [(None, words("a", 40), "en", "s0", 1), (None, words("b", 700), "en", "s1", 1), (5, words("c", 50), "en", "s0", 1), (5, words("d", 900), "en", "s2", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    takes = corpus_pipeline.mixing.mix(docs)
+    want = {(r.source, r.size): r.n for r in takes.select("source", "size", corpus_pipeline.repetitions().alias("n")).collect()}
+    got = {}
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        got[r.source, len(r.text.split())] = got.get((r.source, len(r.text.split())), 0) + 1
+    assert got == {k: n for k, n in want.items() if n} and len(set(want.values())) > 1

@@ -44,6 +44,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key(*more: str) -> Column:
+    """64-bit hash of a row's id and whole text (and further columns): rows of one id and different texts, null ids included, differ."""
+    named = [c for name in ("doc_id", *more) for c in (F.col(name).isNull(), F.col(name))]
+    return F.xxhash64(*named, text_of())
+
+
+def only_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose :func:`row_key` is a ``key`` of ``chosen``; of rows with equal id and text, one."""
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(chosen.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

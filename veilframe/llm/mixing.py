@@ -86,7 +86,7 @@ def laid_out(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return placed.withColumn("high", F.col("ahead") + F.col("upto")).withColumn("low", F.col("high") - F.col("size")).drop("order", "group", "upto", "ahead")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, carried: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
     Each source is cut into blocks of equally many words over its shuffled documents; the schedule's slots join the blocks; a document
@@ -94,11 +94,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     Returns ``doc_id, size, source_size, target, taken, source`` for every row of ``docs``; repeated rows stay repeated.  Null or empty
     texts have size 0 and take nothing; a null source is a source, last in order; a source without words has target 0; an empty table
-    gives an empty result; further columns are ignored.  Sizes are summed first, so no source's rows meet in one task.
+    gives an empty result; further columns are ignored, but for those ``carried`` along.  Sizes are summed first, so no source's rows meet in one task.
     """
     from .common import stored
 
-    sized = stored(docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")), "sizes")
+    sized = stored(docs.select("doc_id", "source", *carried, F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")), "sizes")
     targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats), "targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     slots = max(LEAST_SLOT_BITS, int(max(1.0, total) / BLOCK).bit_length())
@@ -110,4 +110,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     overlap = F.least("high", (F.col("block") + 1) * block) - F.greatest("low", F.col("block") * block)
     taken = some.join(plan, ["source_rank", "block"]).groupBy("source_rank", "low", "high").agg(F.sum(overlap * F.col("times")).alias("got"))
     out = placed.drop("row").join(taken, ["source_rank", "low", "high"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "source", *carried)

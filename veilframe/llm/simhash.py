@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_arrow, stored, text_of
+from .common import arrow_map, map_arrow, only_rows, row_key, stored, text_of
 from .components import connected, local_roots
 
 #: Words in a shingle, hash seed, most differing bits of a link.
@@ -43,13 +43,13 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (long) of every row; one narrow pass."""
+    """``doc_id, key, fp`` (longs but for the id) of every row, ``key`` hashing id and text; one narrow pass."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = [fingerprint(x) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp, pa.int64())], ["doc_id", "key", "fp"])
 
-    return map_arrow(docs.select("doc_id", text_of().alias("text")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(docs.select("doc_id", row_key().alias("key"), text_of().alias("text")), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def trie_links(value: np.ndarray, runs: list[tuple[int, int, int, int]], shared: int, budget: int) -> np.ndarray:
@@ -212,24 +212,30 @@ def near_duplicates(docs: DataFrame, node: int = NODE) -> DataFrame:
     links like any other; a null ``doc_id`` is never a component's smallest id unless no other is there; repeated rows stay repeated; an
     empty table gives an empty result; further columns are ignored.
     """
+    found, ids = _components(docs, node)
+    # few fingerprints stand for other ids than their rows' own, but a hot one can be a third of all rows: the join is left to adaptive skew handling
+    out = found.join(ids, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
+    """All rows' :func:`fingerprints`, and ``fp, root, component_id`` of the distinct fingerprints."""
     found = stored(fingerprints(docs), "fingerprints")
     reps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = stored(connected(links(reps.select("fp"), node)), "roots")
     linked = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(smallest, "root").select("fp", "component_id")
-    ids = stored(reps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
-    # few fingerprints stand for other ids than their rows' own, but a hot one can be a third of all rows: the join is left to adaptive skew handling
-    out = found.join(ids, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = linked.join(smallest, "root").select("fp", "root", "component_id")
+    ids = reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return found, stored(ids, "components")
 
 
 def keep_one(docs: DataFrame, node: int = NODE) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose ``doc_id`` is their component's smallest; of repeated rows with that id, one.
+    """One row of ``docs`` (all columns) of each component: that of the smallest ``doc_id``, null last, then of the smallest text hash.
 
-    Kept ids are joined to the texts; a component without any id keeps one row.
+    The choice is by component, never by id alone: components without any id keep a row each.  Ids with text hashes are joined to the texts.
     """
-    kept = near_duplicates(docs, node).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    found, ids = _components(docs, node)
+    least = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least"))
+    chosen = least.join(ids, "fp").groupBy("root").agg(F.min("least").alias("least")).select("least.key")
+    return only_rows(docs, stored(chosen, "kept"))
