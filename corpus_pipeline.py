@@ -1,7 +1,7 @@
 """A training-data pipeline of five stages, each written and read again as the next one's documents.
 
-``STAGES``: quality rules, SimHash near-dedup, secret scans, mixing to target weights, packing.  All but the last return the
-columns of ``documents``.  SQL cannot express XXH64 fingerprints, so ``ORACLE_SQL`` is None and the stages are tested against
+``STAGES``: quality rules, near-dedup, secret scans, mixing to target weights, packing.  All but the last return the
+columns of ``documents``.  SQL cannot express XXH64 hashes, so ``ORACLE_SQL`` is None and the stages are tested against
 brute-force versions.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import mixing, packing, quality_rules, secret_scan, simhash
+from veilframe.llm import mixing, near_texts, packing, quality_rules, secret_scan
 from veilframe.llm.common import row_key, stored
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """The document of the smallest id of each component of texts whose five-word shingles have a Jaccard of 0.8 or more."""
+    return near_texts.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality), ("simhash near-dedup", near_dedup), ("secret scans", secrets), ("mixing to target weights", mixed), ("packing", packed)]
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scans", secrets), ("mixing to target weights", mixed), ("packing", packed)]
 ORACLE_SQL: str | None = None
 
 

@@ -44,3 +44,20 @@ def test_mixing_counts_rows_not_ids(spark):
     for r in corpus_pipeline.mixed(spark, docs, "").collect():
         got[r.source, len(r.text.split())] = got.get((r.source, len(r.text.split())), 0) + 1
     assert got == {k: n for k, n in want.items() if n} and len(set(want.values())) > 1
+
+
+def test_near_dedup_by_similarity(spark):
+    rng = random.Random(3)
+    data = []
+    for k in range(40):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        near, far = list(words), list(words)
+        for at in (20, 70, 120, 170)[: 1 + k % 4]:  # five shingles each: similarities of 0.95 to 0.81
+            near[at] = "x"
+        for at in range(10, 200, 20):  # 0.59
+            far[at] = "y"
+        data += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    docs = spark.createDataFrame([(None, "ab cd"), (None, "AB  cd"), (None, "ab ce"), (900, None), (901, " "), *data], "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(r[0] for r in got if r[0] is not None) == sorted([900, *(k for k, _ in data if k % 3 != 1)])
+    assert len([r for r in got if r[0] is None]) == 2 and ("ab ce" in {r[1] for r in got})
