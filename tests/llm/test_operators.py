@@ -372,3 +372,14 @@ def test_keep_one_keeps_each_component(spark):
     data = [*((None, t) for t in loose), (None, loose[0]), *((7, t) for t in same), (8, same[0])]
     got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([*((None, t) for t in loose), *((7, t) for t in same)], key=str)
+
+
+def test_mixing_small_sources_come_near_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOT_BITS", 4)  # blocks of some 3,000 words, as in a large corpus
+    data = [(k, "w " * 1000, "big") for k in range(30)] + [(100 + k, "w " * 50, f"small{k % 3}") for k in range(30)]
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(taken[s] == pytest.approx(t, abs=1) for s, t in target.items())

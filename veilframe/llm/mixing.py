@@ -11,6 +11,8 @@ from .common import WORD, text_of
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: The schedule has 2**m slots: 2**LEAST_SLOT_BITS at least, and blocks of at most BLOCK words.
 LEAST_SLOT_BITS, BLOCK = 16, 8192
+#: A source whose target is below so many blocks gets its target in words, as it would hold too few of the schedule's points to come near it.
+FEW_BLOCKS = 256
 #: Slots are ranked, and documents laid out, in groups of this many bits, so that no source is one group.
 CHUNK_BITS, LAY_BITS = 8, 12
 
@@ -90,7 +92,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """How many words of each document the mix takes.
 
     Each source is cut into blocks of equally many words over its shuffled documents; the schedule's slots join the blocks; a document
-    takes its overlap with each block as often as the block has slots, at most ``repeats`` times.  Deterministic: reruns agree.
+    takes its overlap with each block as often as the block has slots, at most ``repeats`` times.  A source
+of fewer than ``FEW_BLOCKS`` blocks by its target takes whole repetitions and then its first words, to the word.  Deterministic: reruns agree.
 
     Returns ``doc_id, size, source_size, target, taken, source`` for every row of ``docs``; repeated rows stay repeated.  Null or empty
     texts have size 0 and take nothing; a null source is a source, last in order; a source without words has target 0; an empty table
@@ -106,8 +109,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     used = min(1 << slots, round(total / block))
     placed = laid_out(sized, targets).withColumn("row", F.struct("source_rank", "low"))
     plan = schedule(targets, slots, block, used).where(F.col("turn") < repeats).groupBy("source_rank", "block").agg(F.count("*").alias("times"))
-    some = placed.where("size > 0").select("source_rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))).alias("block"))
+    few = F.col("target") < float(block * FEW_BLOCKS)
+    some = placed.where(F.col("size") > 0).where(~few).select("source_rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))).alias("block"))
     overlap = F.least("high", (F.col("block") + 1) * block) - F.greatest("low", F.col("block") * block)
     taken = some.join(plan, ["source_rank", "block"]).groupBy("source_rank", "low", "high").agg(F.sum(overlap * F.col("times")).alias("got"))
     out = placed.drop("row").join(taken, ["source_rank", "low", "high"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), "source", *carried)
+    whole = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
+    rest = F.round("target").cast("long") - whole * F.col("source_size")
+    exact = F.col("size") * whole + F.greatest(F.least("high", rest) - F.col("low"), F.lit(0))
+    return out.select("doc_id", "size", "source_size", "target", F.when(few, exact).otherwise(F.coalesce("got", F.lit(0))).cast("long").alias("taken"), "source", *carried)
