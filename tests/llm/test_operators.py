@@ -383,3 +383,13 @@ def test_mixing_small_sources_come_near_their_targets(spark, monkeypatch):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(taken[s] == pytest.approx(t, abs=1) for s, t in target.items())
+
+
+def test_license_in_long_and_wrapped_lines(spark):
+    words = lambda n: "plain words of running text " * (n // 5)
+    files = [
+        ("a", words(60) + "Released under the MIT License. " + words(60)), ("b", words(20) + "\n# This work is licensed\n# under the GNU General Public\n# License, version 3.\n" + words(20)),
+        ("c", words(60) + "a licence talk about the license of nothing " + words(60)), ("d", words(60) + "Dedicated to the public\n * domain under CC0 1.0 Universal. " + words(60)),
+    ]
+    got = {r.path: r.own_license for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a": "MIT", "b": "GPL-3.0", "c": None, "d": "CC0-1.0"}

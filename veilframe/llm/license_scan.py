@@ -30,6 +30,9 @@ NOTICE = re.compile(r"licen[cs]e|copyright|spdx|creative commons|public domain|r
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)?")
 LEAST_COSINE = 0.6
+#: Notices in running text, whose words may stand on several lines; characters looked at on either side; least cosine of a window of a template's length.
+WRAPPED = re.compile(NOTICE.pattern.replace(" ", r"[\s#*/;]+"), re.IGNORECASE)
+AROUND, WINDOW_COSINE = 400, 0.8
 
 
 def terms(line: str) -> Counter:
@@ -40,16 +43,19 @@ TERMS = sorted({t for notices in TEMPLATES.values() for n in notices for t in te
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """``path, lines``: the lines of each whole text that may state a licence."""
+    """``path, lines, around``: the lines of each whole text that may state a licence, and the text around each such place, over lines."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
+        found, around = [], []
         for text in batch.column("text").to_pylist():
-            lines = [x.strip() for x in text.split("\n") if NOTICE.search(x)] if NOTICE.search(text) else []
-            found.append(lines)
-        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.string()))], ["path", "lines"])
+            places = list(WRAPPED.finditer(text))
+            found.append([x.strip() for x in text.split("\n") if NOTICE.search(x)] if places else [])
+            # the place's own offset in its stretch goes first
+            around.append([f"{m.start() - (a := max(0, m.start() - AROUND))} {text[a : m.end() + AROUND]}" for m in places])
+        kind = pa.list_(pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, kind), pa.array(around, kind)], ["path", "lines", "around"])
 
-    return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, lines array<string>")
+    return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, lines array<string>, around array<string>")
 
 
 def term_weights(found: DataFrame) -> dict[str, float]:
@@ -76,11 +82,27 @@ def best_template(line: str, vectors: list[tuple[str, dict[str, float]]], weight
     return best
 
 
+def best_window(stretch: str, vectors: list[tuple[str, dict[str, float]]], lengths: list[int], weight: dict[str, float]) -> tuple[str, float]:
+    """Nearest template of the windows of its own length that hold a place, and their cosine."""
+    offset, text = stretch.split(" ", 1)
+    found = [(m.end(), m[0]) for m in TERM.finditer(text.lower())]
+    at = next((k for k, (end, _) in enumerate(found) if end > int(offset)), 0)
+    words = [t for _, t in found]
+    best = ("", 0.0)
+    for vector, n in zip(vectors, lengths, strict=True):
+        for a in range(max(0, at - n + 1), max(0, min(at, len(words) - n)) + 1):
+            got = best_template(" ".join(words[a : a + n]), [vector], weight)
+            if got[1] > best[1] + 1e-12:
+                best = got
+    return best
+
+
 def scan(files: DataFrame) -> DataFrame:
     """Licences of files, their own or inherited.
 
     Every whole text is searched for notice lines; each line's TF-IDF vector is compared with all templates, and the best match of at
-    least 0.6 is the file's own licence.  A file without one takes the licence of the licence file (``LICENSE``, ``COPYING`` and the
+    least 0.6 is the file's own licence.  Where no line equals a template, windows of the templates' lengths around each place are compared
+    as well, over line ends, and count from 0.8: a notice inside a long line or one wrapped over lines.  A file without one takes the licence of the licence file (``LICENSE``, ``COPYING`` and the
     like) in its nearest ancestor directory: ancestors of distinct directories are joined by path, so the number of files in a directory
     does not matter.
 
@@ -98,10 +120,15 @@ def scan(files: DataFrame) -> DataFrame:
             norm = math.sqrt(sum(x * x for x in v.values()))
             vectors.append((name, {t: x / norm for t, x in v.items()}))
 
+    lengths = [sum(terms(text).values()) for texts in TEMPLATES.values() for text in texts]
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = [], []
-        for lines in batch.column("lines").to_pylist():
+        for lines, around in zip(batch.column("lines").to_pylist(), batch.column("around").to_pylist(), strict=True):
             best = max((best_template(x, vectors, weight) for x in lines), key=lambda m: m[1], default=("", 0.0))
+            if best[1] < 1 - 1e-9:
+                window = max((best_window(x, vectors, lengths, weight) for x in around), key=lambda m: m[1], default=("", 0.0))
+                best = window if window[1] >= WINDOW_COSINE and window[1] > best[1] else best
             names.append(best[0] if best[1] >= LEAST_COSINE else None)
             scores.append(round(best[1], 6))
         return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["path", "own_license", "similarity"])
