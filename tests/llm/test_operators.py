@@ -393,3 +393,11 @@ def test_license_in_long_and_wrapped_lines(spark):
     ]
     got = {r.path: r.own_license for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got == {"a": "MIT", "b": "GPL-3.0", "c": None, "d": "CC0-1.0"}
+
+
+def test_documents_inherit_from_notices(spark, monkeypatch):
+    data = [(1, "Released under the MIT License.\n", "en", "s"), (2, "plain text", "en", "s"), (3, "plain text", "de", "s"), (-4, "plain text\nLicensed under CC BY-NC 4.0.", "de", "s"), (None, None, "en", "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(queries, "table", lambda *a: df)
+    got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in queries.op9_license_scan(spark, "").collect()}
+    assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "s/en/LICENSE-1.txt"), 3: (None, None, None), -4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), None: (None, "MIT", "s/en/LICENSE-1.txt")}

@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stored, text_of
@@ -58,6 +58,12 @@ def notices(files: DataFrame) -> DataFrame:
     return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, lines array<string>, around array<string>")
 
 
+def notice_alone() -> Column:
+    """Whether a ``text`` has lines and each may state a licence: a licence file by its content, where no name tells."""
+    lines = F.filter(F.split(text_of(), "\n"), lambda x: F.trim(x) != "")
+    return F.coalesce(text_of().rlike(f"(?i){NOTICE.pattern}"), F.lit(False)) & F.forall(lines, lambda x: x.rlike(f"(?i){NOTICE.pattern}"))
+
+
 def term_weights(found: DataFrame) -> dict[str, float]:
     """Inverse document frequency of the templates' terms over all notice lines of the corpus (as many numbers as the templates have terms)."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("line")), F.lit(TERM.pattern), F.lit(0)))
