@@ -401,3 +401,17 @@ def test_documents_inherit_from_notices(spark, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *a: df)
     got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in queries.op9_license_scan(spark, "").collect()}
     assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "s/en/LICENSE-1.txt"), 3: (None, None, None), -4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), None: (None, "MIT", "s/en/LICENSE-1.txt")}
+
+
+def test_corpus_filter_fences_reject(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    lines = [text(6) for _ in range(10)]
+    again = text(9)
+    bad = ["\n".join([*lines, *lines[:8]]), " ".join(rng.choice("abcdefghijklmnop") for _ in range(100)), " ".join([text(45), again, text(46), again])]
+    assert [quality_rules.text_features(t)[4] * 100 <= 20 * quality_rules.text_features(t)[0] for t in bad[1:]] == [True, True]  # the base rules pass these
+    half = "\n".join(x for k in range(10) for x in [f"{word()} {word()} {word()}"] * (1 + k % 2))  # a third of the lines, too short for repeated windows
+    data = [(k, text(60), "en", "s") for k in range(300)] + [(1000 + k, t, "en", "s") for k, t in enumerate([*bad, half])]
+    got = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == set(range(300))

@@ -15,8 +15,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Metrics: name, numerator, denominator, factor; all are whole numbers, so sketches and verdicts are exact and repeatable.
 METRICS = (("symbols", "n_symbols", "n_words", 1000), ("dup_lines", "n_dup_lines", "n_words", 1000), ("repeats", "n_repeat_words", "n_words", 1000), ("shouting", "n_upper_words", "n_words", 1000), ("exclaims", "n_exclaims", "n_words", 1000), ("doubled", "n_doubled_words", "n_words", 1000), ("word_length", "word_chars", "n_words", 100))
+#: What the corpus filter judges besides: copies of lines against lines, repeats and short words within fences that lie inside the base rule and above zero.
+FILTER_METRICS = (*METRICS, ("line_copies", "n_dup_lines", "n_lines", 1000), ("few_repeats", "n_repeat_words", "n_words", 1000), ("short_words", "word_chars", "n_words", 100))
 #: Least spread a metric is given (its distribution may be a single value), and how many spreads beyond the quartile a document may lie.
-LEAST_SPREAD = {"symbols": 35, "dup_lines": 70, "repeats": 70, "shouting": 100, "exclaims": 100, "doubled": 70, "word_length": 200}
+LEAST_SPREAD = {"symbols": 35, "dup_lines": 70, "repeats": 70, "shouting": 100, "exclaims": 100, "doubled": 70, "word_length": 200, "line_copies": 100, "few_repeats": 40, "short_words": 200}
+#: Highest fence of repeats, per mille: inside the base rule, whatever the quartiles.  The least word length is this share of the first quartile.
+MOST_FEW_REPEATS, SHORT_SHARE = 190, 2
 FENCE = 3
 #: A group's own sketch counts from this many documents on; below, its language's, then the whole corpus's.
 LEAST_ROWS = 200
@@ -25,12 +29,13 @@ EXACT_BITS = 6
 
 
 def text_features(text: str) -> tuple[int, ...]:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper_words, n_exclaims, n_doubled_words`` of one whole text."""
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper_words, n_exclaims, n_doubled_words, n_lines`` of one whole text."""
     words = text.encode().split()  # bytes split at exactly the six ASCII blanks
     seen: set[str] = set()
-    again = 0
+    again = lines = 0
     for line in text.split("\n"):
         if line.strip(BLANKS):
+            lines += 1
             if line in seen:
                 again += 1
             else:
@@ -47,10 +52,10 @@ def text_features(text: str) -> tuple[int, ...]:
             if g in twice:
                 repeated += k + WINDOW - max(k, upto)
                 upto = k + WINDOW
-    return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again, repeated, sum(map(bytes.isupper, words)), text.count("!"), sum(map(bytes.__eq__, words, words[1:]))
+    return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), again, repeated, sum(map(bytes.isupper, words)), text.count("!"), sum(map(bytes.__eq__, words, words[1:])), lines
 
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_exclaims", "n_doubled_words")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_exclaims", "n_doubled_words", "n_lines")
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def metric(name: str) -> Column:
-    _, over, under, factor = next(m for m in METRICS if m[0] == name)
+    _, over, under, factor = next(m for m in FILTER_METRICS if m[0] == name)
     return F.floor(F.col(over) * factor / F.greatest(F.col(under), F.lit(1))).cast("long")
 
 
@@ -79,12 +84,12 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, extra), extra)
 
 
-def sketches(rows: DataFrame) -> DataFrame:
+def sketches(rows: DataFrame, metrics: tuple = METRICS) -> DataFrame:
     """Mergeable sketches: counts of ``(level, lang, source, metric, bucket)``, level 0 a language and source, 1 a language, 2 everything.
 
     Buckets are the same everywhere, so a merge is a sum: partial sums before the shuffle, rolled up from groups to languages to all.
     """
-    values = F.array(*[F.struct(F.lit(m[0]).alias("metric"), bucket(metric(m[0])).alias("bucket")) for m in METRICS])
+    values = F.array(*[F.struct(F.lit(m[0]).alias("metric"), bucket(metric(m[0])).alias("bucket")) for m in metrics])
     base = rows.select("lang", "source", F.explode(values).alias("v")).groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count("*").alias("n"))
     langs = base.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     total = langs.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
@@ -102,8 +107,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     found = ranked.groupBy(*group).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("n_docs"))
     least = F.coalesce(*[F.when(F.col("metric") == k, F.lit(v)) for k, v in LEAST_SPREAD.items()])
     spread = F.greatest(F.col("q3") - F.col("q1"), least) * FENCE
-    low = F.when(F.col("metric") == "word_length", F.col("q1") - spread).otherwise(F.lit(-1))
-    entry = F.struct("metric", F.struct(low.cast("long").alias("low"), (F.col("q3") + spread).cast("long").alias("high")).alias("fence"))
+    low = F.when(F.col("metric") == "word_length", F.col("q1") - spread).when(F.col("metric") == "short_words", F.ceil(F.col("q1") / SHORT_SHARE)).otherwise(F.lit(-1))
+    high = F.col("q3") + spread
+    high = F.when(F.col("metric") == "few_repeats", F.least(high, F.lit(MOST_FEW_REPEATS))).otherwise(high)
+    entry = F.struct("metric", F.struct(low.cast("long").alias("low"), high.cast("long").alias("high")).alias("fence"))
     return found.select("level", "lang", "source", "n_docs", entry.alias("e")).groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), F.map_from_entries(F.collect_list("e")).alias("fences"))
 
 
@@ -116,7 +123,7 @@ def group_fences(found: DataFrame) -> DataFrame:
     return joined.select("lang", "source", F.when(F.col("n0") >= LEAST_ROWS, F.col("f0")).when(F.col("n1") >= LEAST_ROWS, F.col("f1")).otherwise(F.col("f2")).alias("fences"))
 
 
-def judged(rows: DataFrame, group: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, group: DataFrame, metrics: tuple = METRICS) -> DataFrame:
     """Adds ``base_failed, kept``.  Fences of few groups are broadcast; of many (their number is checked), joined over salted keys."""
     limits = group.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences")
     match = F.col("lang").cast("string").eqNullSafe(F.col("_lang")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
@@ -127,16 +134,16 @@ def judged(rows: DataFrame, group: DataFrame) -> DataFrame:
         limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("_part", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(salts)).cast("int")).join(limits, match & (F.col("_part") == F.col("_salt")), "left").drop("_part", "_salt")
     inside = F.lit(True)
-    for name, *_ in METRICS:
+    for name, *_ in metrics:
         fence = F.col("fences")[name]
         inside = inside & metric(name).between(fence["low"], fence["high"])
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(False))).drop("fences", "_lang", "_source")
 
 
-def adaptive_fences(found: DataFrame) -> DataFrame:
+def adaptive_fences(found: DataFrame, metrics: tuple = METRICS) -> DataFrame:
     """Fences of every language and source, as a stored table (a handful of numbers for each group)."""
-    return stored(group_fences(stored(fences(sketches(found)), "fences")), "group-fences")
+    return stored(group_fences(stored(fences(sketches(found, metrics)), "fences")), "group-fences")
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -146,7 +153,7 @@ def assess(docs: DataFrame) -> DataFrame:
     or minus three spreads); the features are joined with the fences.  Only counts cross the network before that join.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` and ``lang, source,
-    n_upper_words, n_exclaims, n_doubled_words`` for every row of ``docs``, repeated rows included.  A null text has no words and fails the base rules; null
+    n_upper_words, n_exclaims, n_doubled_words, n_lines`` for every row of ``docs``, repeated rows included.  A null text has no words and fails the base rules; null
     languages and sources are groups of their own; an empty table gives an empty result; further columns are ignored.
     """
     found = stored(features(docs), "features")
@@ -154,7 +161,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that :func:`assess` keeps.  Texts are read twice rather than shuffled."""
-    fenced = adaptive_fences(features(docs))
+    """The rows of ``docs`` (all columns) that :func:`assess` keeps and that lie within the fences of ``FILTER_METRICS``.  Texts are read twice rather than shuffled."""
+    fenced = adaptive_fences(features(docs), FILTER_METRICS)
     whole = F.struct(*docs.columns)
-    return judged(features(docs.withColumn("_keep", whole)), fenced).where("kept").select("_keep.*")
+    return judged(features(docs.withColumn("_keep", whole)), fenced, FILTER_METRICS).where("kept").select("_keep.*")
