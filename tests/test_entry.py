@@ -1,6 +1,7 @@
 """The driver's contract, with and without the optional parts."""
 
 import collections
+import os
 import pathlib
 import shutil
 import subprocess
@@ -22,8 +23,13 @@ def test_imports_without_the_optional_parts(tmp_path):
     shutil.copytree(ROOT / "veilframe", tmp_path / "veilframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     (tmp_path / "veilframe" / "llm" / "__pycache__").mkdir(parents=True)
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    shutil.copytree(tmp_path, tmp_path / "left")
+    shutil.copy(ROOT / "corpus_pipeline.py", tmp_path / "left")  # folders gone, pipeline left behind
     code = "import __spark_entry__ as e; q = e.queries(); assert 'scrub_documents' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    # the path holds this copy and the interpreter's own packages alone
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p and pathlib.Path(p).resolve() != ROOT and ROOT not in pathlib.Path(p).resolve().parents)}
+    for place in (tmp_path, tmp_path / "left"):
+        subprocess.run([sys.executable, "-c", code], cwd=place, env=env, check=True, timeout=120)
 
 
 def test_nothing_else_imports_the_optional_parts():
