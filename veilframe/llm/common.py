@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``; a temporary one only where neither is set (tests, one machine)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", named)
@@ -50,16 +50,51 @@ def row_key(*more: str) -> Column:
     return F.xxhash64(*named, text_of())
 
 
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct) and further columns worked out from them: no name of a column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[value.alias(name) for name, value in more.items()])
+
+
 def only_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) whose :func:`row_key` is a ``key`` of ``chosen``; of rows with equal id and text, one."""
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(chosen.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    keyed = whole_rows(docs, key=row_key())
+    return keyed.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _findable(spark: SparkSession) -> None:
+    """Lets workers look for this package where the driver found it, too (on a cluster it comes with the job's files)."""
+    env, root = spark.sparkContext.environment, str(pathlib.Path(__file__).parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
+def text_function(spark: SparkSession, work: Callable[..., pa.Array], kind: str, most: int = 4_000_000) -> Callable[..., Column]:
+    """A column function of a text column (and others) by Arrow batches in slices of about ``most`` bytes of text.
+
+    Only the given columns go to the workers and only the result comes back; the rest of each row stays with Spark.  Named
+    nondeterministic so that the optimizer never works it out a second time for a filter.
+    """
+    import pyarrow.compute  # noqa: F401
+
+    def run(text: pa.Array, *more: pa.Array) -> pa.Array:
+        parts = cuts([x or 0 for x in pa.compute.binary_length(text).to_pylist()], most)
+        found = [work(*(c.slice(a, b - a) for c in (text, *more))) for a, b in parts]
+        return pa.concat_arrays(found) if found else work(text, *more)
+
+    def one(text: pa.Array) -> pa.Array:
+        return run(text)
+
+    def two(text: pa.Array, more: pa.Array) -> pa.Array:
+        return run(text, more)
+
+    _findable(spark)
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else two, kind).asNondeterministic()(*columns)
+
+
 def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 4_000_000, text: str = "text") -> DataFrame:
     """``mapInArrow`` over slices of a batch that hold about ``most`` bytes of text each, so memory follows the largest text, not the batch."""
 
@@ -82,10 +117,8 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers look for this package where the driver found it, too (on a cluster it comes with the job's files)."""
-    env, root = df.sparkSession.sparkContext.environment, str(pathlib.Path(__file__).parents[2])
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    """``mapInArrow`` whose workers find this package."""
+    _findable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

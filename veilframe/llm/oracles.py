@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality_rules as rules
 from .sharding import LIMIT
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -50,30 +51,48 @@ got AS (SELECT b.rank, low, high, sum((least(high, (blk + 1) * wide) - greatest(
 SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM o LEFT JOIN got ON o.rank = got.rank AND o.low = got.low AND o.high = got.high
 """
 
-QUALITY_RULES = f"""
-WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+_FEATURES = f"""d AS (SELECT doc_id, CAST(lang AS VARCHAR) AS lang, CAST(source AS VARCHAR) AS source, row_number() OVER () AS rid, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
 gi AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
 gr AS (SELECT rid, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM gi),
 tw AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM gr) WHERE n > 1),
 rp AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM tw) GROUP BY rid),
 f AS (SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(text) - len(regexp_extract_all(text, '[\\x20\\x09-\\x0D]')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-        CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words,
-        len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words, length(text) - length(replace(text, '!', '')) AS n_exclaims,
-        len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_doubled_words FROM d LEFT JOIN dl ON d.rid = dl.rid LEFT JOIN rp ON d.rid = rp.rid),
-m AS (SELECT rid, lang, source, unnest([{{'metric': 'symbols', 'v': n_symbols * 1000 // greatest(n_words, 1), 'least': 35}}, {{'metric': 'dup_lines', 'v': n_dup_lines * 1000 // greatest(n_words, 1), 'least': 70}},
-        {{'metric': 'repeats', 'v': n_repeat_words * 1000 // greatest(n_words, 1), 'least': 70}}, {{'metric': 'shouting', 'v': n_upper_words * 1000 // greatest(n_words, 1), 'least': 100}},
-        {{'metric': 'exclaims', 'v': n_exclaims * 1000 // greatest(n_words, 1), 'least': 100}}, {{'metric': 'doubled', 'v': n_doubled_words * 1000 // greatest(n_words, 1), 'least': 70}},
-        {{'metric': 'word_length', 'v': word_chars * 100 // greatest(n_words, 1), 'least': 200}}], recursive := true) FROM f),
-b AS (SELECT rid, lang, source, metric, v, least, (v >> greatest(length(bin(CAST(v AS BIGINT))) - 6, 0)) << greatest(length(bin(CAST(v AS BIGINT))) - 6, 0) AS bucket FROM m),
-q AS (SELECT lang, source, GROUPING(lang, source) AS level, metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3, count(*) AS n, max(least) AS least FROM b GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
-fe AS (SELECT lang, source, level, metric, n, CASE WHEN metric = 'word_length' THEN q1 - 3 * greatest(q3 - q1, least) ELSE -1 END AS low, q3 + 3 * greatest(q3 - q1, least) AS high FROM q),
-ok AS (SELECT m.rid, bool_and(v BETWEEN CASE WHEN o.n >= 200 THEN o.low WHEN l.n >= 200 THEN l.low ELSE e.low END AND CASE WHEN o.n >= 200 THEN o.high WHEN l.n >= 200 THEN l.high ELSE e.high END) AS inside
-       FROM m JOIN fe o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
-       JOIN fe l ON l.level = 1 AND l.metric = m.metric AND l.lang IS NOT DISTINCT FROM m.lang JOIN fe e ON e.level = 3 AND e.metric = m.metric GROUP BY m.rid),
-z AS (SELECT f.*, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed, inside FROM f JOIN ok ON f.rid = ok.rid)
+        CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rp.n, 0) AS BIGINT) AS n_repeat_words, coalesce(dl.lines, 0) AS n_lines,
+        CAST(len(regexp_extract_all(text, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]')) AS BIGINT) AS n_punctuation,
+        CAST(len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS BIGINT) AS n_upper_words,
+        CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS BIGINT) AS n_doubled_words FROM d LEFT JOIN dl ON d.rid = dl.rid LEFT JOIN rp ON d.rid = rp.rid)"""
+
+
+def _case(values: dict[str, str], otherwise: str) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {otherwise} END"
+
+
+def _quality() -> str:
+    names = [f"p{q}" for q in rules.PERCENTILES]
+    entry = ", ".join(f"{{'metric': '{m}', 'v': CAST(greatest({over} - {free}, 0) * {factor} // greatest({under}, 1) AS BIGINT)}}" for m, over, free, under, factor, *_ in rules.METRICS)
+    shift = f"greatest(length(bin(v)) - {rules.EXACT_BITS}, 0)"
+    reach = lambda outer, inner, sign: f"greatest({sign}(p{outer} - p{inner}), p{outer} // {1 << (rules.EXACT_BITS - 1)})"
+    high = _case({m[0]: f"p{m[6]} + {m[7]} * {reach(m[6], m[5], '')}" for m in rules.METRICS}, "NULL")
+    low = _case({m[0]: f"p{100 - m[6]} - {m[7]} * {reach(100 - m[6], m[5], '-')}" for m in rules.METRICS if m[8]}, "-1")
+    drawn = lambda n, own, to: f"({n} * {own} + {rules.PRIOR} * {to}) // ({n} + {rules.PRIOR})"
+    return f"""
+WITH {_FEATURES},
+m AS (SELECT rid, lang, source, base_failed, unnest([{entry}], recursive := true) FROM (SELECT *, n_words < {rules.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {rules.MOST_REPEATED} AS base_failed FROM f)),
+b AS (SELECT rid, lang, source, base_failed, metric, (v >> {shift}) << {shift} AS bucket FROM m),
+g AS (SELECT 0 AS level, lang, source, metric, bucket FROM b WHERE NOT base_failed UNION ALL SELECT 1, lang, NULL, metric, bucket FROM b WHERE NOT base_failed UNION ALL SELECT 2, NULL, NULL, metric, bucket FROM b WHERE NOT base_failed),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS nth, count(*) OVER (PARTITION BY level, lang, source, metric) AS n FROM g),
+q AS (SELECT level, lang, source, metric, max(n) AS n, {", ".join(f"min(CASE WHEN nth * 100 >= n * {p} THEN bucket END) AS p{p}" for p in rules.PERCENTILES)} FROM r GROUP BY level, lang, source, metric),
+l AS (SELECT l.lang, l.metric, {", ".join(drawn("l.n", f"l.{c}", f"e.{c}") + f" AS {c}" for c in names)} FROM q l JOIN q e ON e.level = 2 AND e.metric = l.metric WHERE l.level = 1),
+o AS (SELECT o.lang, o.source, o.metric, {", ".join(drawn("o.n", f"o.{c}", f"l.{c}") + f" AS {c}" for c in names)} FROM q o JOIN l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric WHERE o.level = 0),
+fe AS (SELECT lang, source, metric, {low} AS low, {high} AS high FROM o),
+ok AS (SELECT rid, bool_and(coalesce(bucket BETWEEN low AND high, FALSE)) AS inside FROM b LEFT JOIN fe ON fe.lang IS NOT DISTINCT FROM b.lang AND fe.source IS NOT DISTINCT FROM b.source AND fe.metric = b.metric GROUP BY rid),
+z AS (SELECT f.*, n_words < {rules.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {rules.MOST_REPEATED} AS base_failed, inside FROM f JOIN ok ON f.rid = ok.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM z
 """
 
+
+QUALITY_RULES = _quality()
+
 ORACLES = {"op1_sharding": SHARDING, "op5_near_vectors": NEAR_VECTORS, "op6_mixing": MIXING, "op7_quality_rules": QUALITY_RULES}

@@ -62,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     told = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"), "n_examples")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"), F.col("n_examples").cast("long").alias("n_examples"), F.col("n_owned").cast("long").alias("n_owned"))
 
 
 __all__ = ["ORACLES", "QUERIES"]
