@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import mixing, near_texts, packing, quality_rules, secret_scan
-from veilframe.llm.common import row_key, stored
+from veilframe.llm.common import row_key, stored, whole_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes of it: whole repetitions, then one more whose chance is the fraction left."""
-    takes = mixing.mix(docs.withColumn("_key", row_key("source")), carried=("_key",)).select("_key", "doc_id", "size", "taken")
-    copies = takes.groupBy("_key").agg(F.sum(repetitions()).cast("int").alias("_n")).where("_n > 0")
+    takes = mixing.mix(docs.select("doc_id", "source", "text", row_key("source").alias("key")), carried=("key",)).select("key", "doc_id", "size", "taken")
+    copies = takes.groupBy("key").agg(F.sum(repetitions()).cast("int").alias("n")).where("n > 0")
     # rows of equal id, text and source share the sum of their copies
-    out = docs.withColumn("_key", row_key("source")).join(copies, "_key").dropDuplicates(["_key"])
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    out = whole_rows(docs, key=row_key("source")).join(copies, "key").dropDuplicates(["key"])
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def repetitions():
