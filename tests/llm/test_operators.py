@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -400,7 +401,33 @@ def test_documents_inherit_from_notices(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     monkeypatch.setattr(queries, "table", lambda *a: df)
     got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in queries.op9_license_scan(spark, "").collect()}
-    assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "s/en/LICENSE-1.txt"), 3: (None, None, None), -4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), None: (None, "MIT", "s/en/LICENSE-1.txt")}
+    assert got == {1: ("MIT", "MIT", "s/en/LICENSE-1"), 2: (None, "MIT", "s/en/LICENSE-1"), 3: (None, None, None), -4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "s/de/-4/LICENSE"), None: (None, "MIT", "s/en/LICENSE-1")}
+
+
+def _cosine(a, b, df, n):
+    idf = lambda t: 1 + math.log((1 + n) / (1 + df[t]))
+    x, y = ({t: c * idf(t) for t, c in v.items()} for v in (a, b))
+    size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    return sum(w * y.get(t, 0) for t, w in x.items()) / (size(x) * size(y))
+
+
+def test_license_cosines_equal_a_plain_computation(spark):
+    """Own licences and cosines of the query's table, from vectors in plain dictionaries; and every document with a header inherits it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    parts = {r.doc_id: license_scan.passages(None, r.text or "") for r in rows}
+    bags = {t: collections.Counter(t.split(" ")) for p in parts.values() for t, _ in p}
+    plates = [(name, collections.Counter(license_scan.terms(t))) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    df = collections.Counter(t for bag in [*bags.values(), *(b for _, b in plates)] for t in bag)
+    n = len(bags) + len(plates)
+    best = {t: max(((round(_cosine(bag, plate, df, n), 6), -k, name) for k, (name, plate) in enumerate(plates)), default=None) for t, bag in bags.items()}
+    want = {}
+    for k, p in parts.items():
+        hits = [(best[t][0], best[t][2]) for t, window in p if best[t][0] >= (license_scan.WINDOW_COSINE if window else license_scan.LEAST_COSINE)]
+        want[k] = max(hits, default=(0.0, None))
+    got = {r.doc_id: r for r in queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert {k: (pytest.approx(r.similarity, abs=2e-6), r.own_license) for k, r in got.items()} == want
+    stated = [r for r in got.values() if r.own_license]
+    assert len(stated) > 20 and all(r.license == r.own_license and r.inherited_from == f"{r.path}/LICENSE" for r in stated)
 
 
 def test_corpus_filter_fences_reject(spark):

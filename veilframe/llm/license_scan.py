@@ -1,10 +1,9 @@
-"""Licence scan: sparse TF-IDF cosine of licence lines to templates, then inheritance from the nearest ancestor directory."""
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,141 +11,215 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored, text_of
 
-#: Notices of public licences (fixed values).
+#: Titles and notices of public licences (fixed values).
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Licensed under the MIT license"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
-}
-#: Lines that may state a licence, names of licence files, terms, and the least cosine of a match.
-NOTICE = re.compile(r"licen[cs]e|copyright|spdx|creative commons|public domain|redistribution|permission is hereby|free software", re.IGNORECASE)
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT license", "The MIT License (MIT)", "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0-only",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Simplified BSD License"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "Unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "SPDX-License-Identifier: CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0", "Creative Commons CC0 1.0 Universal Public Domain Dedication"],
+}
+#: Words that may state a licence (over line ends and comment marks), names of licence files, marks of comment lines, terms.
+NOTICE = re.compile(r"licen[cs]e|copyright|spdx|creative[\s#*/;]+commons|public[\s#*/;]+domain|redistribution|permission[\s#*/;]+(?:is[\s#*/;]+hereby|to[\s#*/;]+use)|free[\s#*/;]+software", re.IGNORECASE)
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
+COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|<!--)")
 TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)?")
-LEAST_COSINE = 0.6
-#: Notices in running text, whose words may stand on several lines; characters looked at on either side; least cosine of a window of a template's length.
-WRAPPED = re.compile(NOTICE.pattern.replace(" ", r"[\s#*/;]+"), re.IGNORECASE)
-AROUND, WINDOW_COSINE = 400, 0.8
+#: Least cosine of a match of a whole header or licence file, and of a window of a template's length; characters looked at on either side of a place.
+LEAST_COSINE, WINDOW_COSINE, AROUND = 0.6, 0.8, 400
+#: Least share of a window's terms that its template must hold for the window to be compared.
+WINDOW_SHARE = 0.6
+#: A term is frequent if it occurs in more than one of so many passages; rows of a table up to which it is broadcast; parts of hot directories.
+RARE, FEW, SALTS = 1000, 20_000, 16
 
 
-def terms(line: str) -> Counter:
-    return Counter(TERM.findall(line.lower()))
+def terms(text: str) -> list[str]:
+    return TERM.findall(text.lower())
 
 
-TERMS = sorted({t for notices in TEMPLATES.values() for n in notices for t in terms(n)})
+_TEMPLATES = [(name, terms(text)) for name, texts in TEMPLATES.items() for text in texts]
+_SETS = [(frozenset(t), len(t)) for _, t in _TEMPLATES]
 
 
-def notices(files: DataFrame) -> DataFrame:
-    """``path, lines, around``: the lines of each whole text that may state a licence, and the text around each such place, over lines."""
+def headers(text: str) -> list[str]:
+    """Maximal runs of lines that are comments or may state a licence, those that do."""
+    lines = text.split("\n")
+    part = [bool(NOTICE.search(x) or COMMENT.match(x)) for x in lines]
+    runs = ["\n".join(lines[k] for k, _ in run) for on, run in itertools.groupby(enumerate(part), key=lambda x: x[1]) if on]
+    return [r for r in runs if NOTICE.search(r)]
+
+
+def windows(text: str) -> set[str]:
+    """For each place that may state a licence and each template, the window of the template's length around it that shares most terms, if many."""
+    out = set()
+    for m in NOTICE.finditer(text):
+        a = max(0, m.start() - AROUND)
+        found = [(x.end(), x[0]) for x in TERM.finditer(text[a : m.end() + AROUND].lower())]
+        at = next((k for k, (end, _) in enumerate(found) if end > m.start() - a), 0)
+        words = [t for _, t in found]
+        for held, n in _SETS:
+            lo, hi = max(0, at - n + 1), max(0, min(at, len(words) - n))
+            upto = list(itertools.accumulate((w in held for w in words[lo : hi + n]), initial=0))
+            width = min(n, len(words) - lo)
+            best = max(range(lo, hi + 1), key=lambda k: upto[min(k - lo + n, len(upto) - 1)] - upto[k - lo], default=lo)
+            if upto[min(best - lo + n, len(upto) - 1)] - upto[best - lo] >= WINDOW_SHARE * max(width, 1):
+                out.add(" ".join(words[best : best + n]))
+    return out
+
+
+def passages(path: str | None, text: str) -> list[tuple[str, bool]]:
+    """Terms of what is compared: the whole text of a licence file, else each header, and windows (marked true)."""
+    if not NOTICE.search(text) and not (path and re.search(LICENSE_FILE, path)):
+        return []
+    whole = [text] if path and re.search(LICENSE_FILE, path) else headers(text)
+    return sorted({(" ".join(terms(x)), False) for x in whole} | {(x, True) for x in windows(text)})
+
+
+def alone(text: str) -> bool:
+    """Whether each line with a word may state a licence: a licence file by its content."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    return bool(lines) and all(NOTICE.search(x) for x in lines)
+
+
+def noticed(files: DataFrame, directories: bool) -> DataFrame:
+    """``path, gives, parts``: for each file the path of the licence file that it is or brings, if any, and its :func:`passages` as ``terms, window``."""
+    kind = pa.list_(pa.struct([("terms", pa.string()), ("window", pa.bool_())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, around = [], []
-        for text in batch.column("text").to_pylist():
-            places = list(WRAPPED.finditer(text))
-            found.append([x.strip() for x in text.split("\n") if NOTICE.search(x)] if places else [])
-            # the place's own offset in its stretch goes first
-            around.append([f"{m.start() - (a := max(0, m.start() - AROUND))} {text[a : m.end() + AROUND]}" for m in places])
-        kind = pa.list_(pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, kind), pa.array(around, kind)], ["path", "lines", "around"])
-
-    return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, lines array<string>, around array<string>")
-
-
-def notice_alone() -> Column:
-    """Whether a ``text`` has lines and each may state a licence: a licence file by its content, where no name tells."""
-    lines = F.filter(F.split(text_of(), "\n"), lambda x: F.trim(x) != "")
-    return F.coalesce(text_of().rlike(f"(?i){NOTICE.pattern}"), F.lit(False)) & F.forall(lines, lambda x: x.rlike(f"(?i){NOTICE.pattern}"))
-
-
-def term_weights(found: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of the templates' terms over all notice lines of the corpus (as many numbers as the templates have terms)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("line")), F.lit(TERM.pattern), F.lit(0)))
-    lines = found.select(F.explode("lines").alias("line"))
-    seen = lines.select(F.explode(F.array_intersect(words, F.array(*[F.lit(t) for t in TERMS]))).alias("term")).groupBy("term").count()
-    n = lines.count()
-    held = {r["term"]: r["count"] for r in seen.collect()}
-    return {t: 1 + math.log((1 + n) / (1 + held.get(t, 0))) for t in TERMS} | {"": 1 + math.log(1 + n)}
-
-
-def best_template(line: str, vectors: list[tuple[str, dict[str, float]]], weight: dict[str, float]) -> tuple[str, float]:
-    """Nearest template of a line and their cosine.  Terms that no template has count towards the line's length with the weight of an unseen term, within reason."""
-    count = terms(line)
-    vector = {t: n * weight[t] for t, n in count.items() if t in weight}
-    other = sum(n for t, n in count.items() if t not in weight)
-    norm = math.sqrt(sum(x * x for x in vector.values()) + other)
-    best = ("", 0.0)
-    for name, template in vectors:
-        got = sum(x * template.get(t, 0.0) for t, x in vector.items()) / norm if norm else 0.0
-        if got > best[1] + 1e-12:
-            best = (name, got)
-    return best
-
-
-def best_window(stretch: str, vectors: list[tuple[str, dict[str, float]]], lengths: list[int], weight: dict[str, float]) -> tuple[str, float]:
-    """Nearest template of the windows of its own length that hold a place, and their cosine."""
-    offset, text = stretch.split(" ", 1)
-    found = [(m.end(), m[0]) for m in TERM.finditer(text.lower())]
-    at = next((k for k, (end, _) in enumerate(found) if end > int(offset)), 0)
-    words = [t for _, t in found]
-    best = ("", 0.0)
-    for vector, n in zip(vectors, lengths, strict=True):
-        for a in range(max(0, at - n + 1), max(0, min(at, len(words) - n)) + 1):
-            got = best_template(" ".join(words[a : a + n]), [vector], weight)
-            if got[1] > best[1] + 1e-12:
-                best = got
-    return best
-
-
-def scan(files: DataFrame) -> DataFrame:
+        gives, parts = [], []
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            parts.append([{"terms": t, "window": w} for t, w in passages(path, text)])
+            if path is None:
+                gives.append(None)
+            elif not directories:
+                gives.append(path if re.search(LICENSE_FILE, path) else None)
+            elif parts[-1] and alone(text):
+                above, _, name = path.rpartition("/")
+                gives.append(f"{above}/LICENSE-{name}" if above else f"LICENSE-{name}")
+            else:
+                gives.append(f"{path}/LICENSE" if parts[-1] else None)
+        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(gives, pa.string()), pa.array(parts, kind)], ["path", "gives", "parts"])
+
+    return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, gives string, parts array<struct<terms:string,window:boolean>>")
+
+
+def similarities(texts: DataFrame) -> DataFrame:
+    """``id, license, cosine``: nearest template of each distinct passage of ``id, terms`` with a cosine of at least ``LEAST_COSINE``.
+
+    Sparse TF-IDF vectors as rows of ``id, term, tf``; document frequencies of all terms, over all distinct passages and the templates.
+    A frequent term's weight is broadcast (their number is bounded by passages' mean length times ``RARE``), a rare term's is joined.
+    """
+    spark = texts.sparkSession
+    known = spark.createDataFrame([(f"template {k}", " ".join(t)) for k, (_, t) in enumerate(_TEMPLATES)], "id string, terms string")
+    rows = stored(texts.unionByName(known).select("id", F.explode(F.split("terms", " ")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "terms")
+    n = texts.count() + len(_TEMPLATES)
+    weight = (1 + F.log((1 + F.lit(n)) / (1 + F.col("df")))).alias("idf")
+    frequency = stored(rows.groupBy("term").agg(F.count("*").alias("df")), "term-frequency")
+    often = F.col("df") * RARE > n
+    hot = F.broadcast(frequency.where(often).select("term", weight))
+    weighed = rows.join(hot, "term").unionByName(rows.join(hot, "term", "left_anti").join(frequency.where(~often).select("term", weight), "term"))
+    vectors = stored(weighed.select("id", "term", (F.col("tf") * F.col("idf")).alias("w")), "term-weights")
+    norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    template = F.col("id").startswith("template ")
+    # as many rows as the templates have terms
+    other = vectors.where(template).select(F.substring("id", 10, 9).cast("int").alias("k"), "term", F.col("w").alias("t"))
+    lengths = norms.where(template).select(F.substring("id", 10, 9).cast("int").alias("k"), F.col("norm").alias("t_norm"))
+    dots = vectors.where(~template).join(F.broadcast(other), "term").groupBy("id", "k").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    cosines = dots.join(norms, "id").join(F.broadcast(lengths), "k").select("id", "k", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("cosine"))
+    best = cosines.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("k")).alias("first"))).alias("b")).where(F.col("b.cosine") >= LEAST_COSINE)
+    name = F.element_at(F.array(*[F.lit(x) for x, _ in _TEMPLATES]), (1 - F.col("b.first")).cast("int"))
+    return best.select("id", name.alias("license"), F.col("b.cosine").alias("cosine"))
+
+
+def _above(path: Column) -> Column:
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
+
+
+def nearest(dirs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``dir, from``: the licence file in a directory itself, else in its nearest ancestor.
+
+    ``dirs``: distinct ``dir``; ``sources``: ``dir, from``, one row each.  A directory's own file is found by an equal path.  Of the others only the
+    distinct parents are joined with all their ancestors; so a directory with very many below it is one row in that join.
+    """
+    direct = stored(dirs.join(sources, "dir"), "own-directories")
+    open_ = dirs.join(direct, "dir", "left_anti").select("dir", _above(F.when(F.col("dir") != "", F.col("dir"))).alias("up"))
+    parts = F.split("up", "/")
+    chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("dir")))
+    parents = open_.select("up").where("up IS NOT NULL").distinct().select("up", F.explode(chain).alias("a")).select("up", "a.depth", "a.dir")
+    found = stored(parents.join(sources, "dir").groupBy("up").agg(F.max_by("from", "depth").alias("from")), "ancestors")
+    if found.count() <= FEW:
+        far = open_.join(F.broadcast(found), "up")
+    else:
+        part = F.pmod(F.xxhash64("dir"), F.lit(SALTS)).cast("int")
+        far = open_.withColumn("part", part).join(found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["up", "part"])
+    return direct.unionByName(far.select("dir", "from"))
+
+
+def scan(files: DataFrame, directories: bool = False) -> DataFrame:
     """Licences of files, their own or inherited.
 
-    Every whole text is searched for notice lines; each line's TF-IDF vector is compared with all templates, and the best match of at
-    least 0.6 is the file's own licence.  Where no line equals a template, windows of the templates' lengths around each place are compared
-    as well, over line ends, and count from 0.8: a notice inside a long line or one wrapped over lines.  A file without one takes the licence of the licence file (``LICENSE``, ``COPYING`` and the
-    like) in its nearest ancestor directory: ancestors of distinct directories are joined by path, so the number of files in a directory
-    does not matter.
+    Headers (runs of comment and notice lines), whole licence files and windows of the templates' lengths around each place that may state a
+    licence become sparse TF-IDF vectors, distinct ones once; the nearest template by exact cosine is the licence, from 0.6 for headers and
+    files and from 0.8 for windows (notices inside long or wrapped lines).  A file without one takes the licence of the licence file
+    (``LICENSE``, ``COPYING`` and the like) in its nearest ancestor directory, by joins of paths.
+
+    With ``directories`` each path is a directory that holds one text, and the text's headers are that directory's ``LICENSE``; a text that is
+    nothing but notices is a ``LICENSE-`` file of the directory above.  Then every licence comes by inheritance.
 
     ``files`` has ``path, text``.  Returns ``path, own_license, similarity, license, inherited_from``, one row for each row of
     ``files``; repeated rows stay repeated.  A null text has no notices; a null path inherits nothing; of several licence files in a
     directory the first by name counts; ties between templates go to the first by table order; an empty table gives an empty
     result; further columns are ignored.
     """
-    found = stored(notices(files), "notices")
-    weight = term_weights(found)
-    vectors = []
-    for name, texts in TEMPLATES.items():
-        for text in texts:
-            v = {t: n * weight[t] for t, n in terms(text).items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            vectors.append((name, {t: x / norm for t, x in v.items()}))
-
-    lengths = [sum(terms(text).values()) for texts in TEMPLATES.values() for text in texts]
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = [], []
-        for lines, around in zip(batch.column("lines").to_pylist(), batch.column("around").to_pylist(), strict=True):
-            best = max((best_template(x, vectors, weight) for x in lines), key=lambda m: m[1], default=("", 0.0))
-            if best[1] < 1 - 1e-9:
-                window = max((best_window(x, vectors, lengths, weight) for x in around), key=lambda m: m[1], default=("", 0.0))
-                best = window if window[1] >= WINDOW_COSINE and window[1] > best[1] else best
-            names.append(best[0] if best[1] >= LEAST_COSINE else None)
-            scores.append(round(best[1], 6))
-        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["path", "own_license", "similarity"])
-
-    directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    own = stored(map_arrow(found, work, "path string, own_license string, similarity double").withColumn("dir", directory), "own-licenses")
-    sources = own.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy("dir").agg(F.min(F.struct("path", "own_license")).alias("from"))
-    parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))
-    dirs = own.where(F.col("own_license").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
-    nearest = dirs.select("dir", F.explode(above).alias("a")).join(sources.withColumnRenamed("dir", "up"), F.col("a.up") == F.col("up"))
-    nearest = stored(nearest.groupBy("dir").agg(F.max_by("from", F.col("a.depth")).alias("from")), "inherited").withColumnRenamed("dir", "i_dir")
-    named = F.broadcast(nearest) if nearest.count() <= 20_000 else nearest
-    out = own.join(named, own["own_license"].isNull() & (own["dir"] == F.col("i_dir")), "left")
-    return out.select("path", "own_license", "similarity", F.coalesce("own_license", "from.own_license").alias("license"), F.when(F.col("own_license").isNull(), F.col("from.path")).alias("inherited_from"))
+    found = stored(noticed(files, directories), "notices")
+    dir_ = F.col("path") if directories else _above(F.col("path"))
+    held = found.where(F.size("parts") > 0).select("path", "gives", "parts").distinct()
+    held = held.select(F.struct("path", "gives", "parts").alias("file"), F.explode("parts").alias("p")).select(F.xxhash64("file.path", F.col("file.path").isNull(), "file.gives", "file.parts").alias("file"), F.md5(F.col("p.terms").cast("binary")).alias("id"), "p.terms", "p.window")
+    held = stored(held, "passages")
+    close = stored(similarities(held.select("id", "terms").dropDuplicates(["id"])), "similarities")
+    matched = held.select("file", "id", "window").join(F.broadcast(close) if close.count() <= FEW else close, "id").where(~F.col("window") | (F.col("cosine") >= WINDOW_COSINE))
+    best = matched.groupBy("file").agg(F.max(F.struct("cosine", "license")).alias("b"))
+    own = found.withColumn("file", F.when(F.size("parts") > 0, F.xxhash64("path", F.col("path").isNull(), "gives", "parts"))).join(best, "file", "left")
+    own = stored(own.select("path", "gives", dir_.alias("dir"), F.col("b.license").alias("own_license"), F.coalesce("b.cosine", F.lit(0.0)).alias("similarity")), "own-licenses")
+    sources = stored(own.where("own_license IS NOT NULL AND gives IS NOT NULL").groupBy(_above(F.col("gives")).alias("dir")).agg(F.min(F.struct(F.col("gives").alias("path"), F.col("own_license").alias("license"))).alias("from")), "licence-files")
+    lacking = own.where("dir IS NOT NULL") if directories else own.where("own_license IS NULL AND dir IS NOT NULL")
+    near = stored(nearest(lacking.select("dir").distinct(), sources), "inherited").select(F.col("dir").alias("i_dir"), "from")
+    if near.count() <= FEW:
+        out = own.join(F.broadcast(near), F.col("dir") == F.col("i_dir"), "left")
+    else:
+        part = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int") if not directories else F.lit(0)
+        spread = F.sequence(F.lit(0), F.lit(0 if directories else SALTS - 1))
+        out = own.withColumn("part", part).join(near.withColumn("i_part", F.explode(spread)), (F.col("dir") == F.col("i_dir")) & (F.col("part") == F.col("i_part")), "left")
+    inherits = F.lit(True) if directories else F.col("own_license").isNull()
+    taken = F.when(inherits, F.col("from.license"))
+    return out.select("path", "own_license", "similarity", (taken if directories else F.coalesce("own_license", taken)).alias("license"), F.when(inherits, F.col("from.path")).alias("inherited_from"))

@@ -50,12 +50,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id.txt``; those of notice lines alone are licence files, ``source/lang/LICENSE-doc_id.txt``."""
+    """Documents as directories ``source/lang/doc_id``: a document's headers are the directory's licence file, one of notices alone is a licence file of ``source/lang``."""
     docs = table(spark, sf_dir, "documents")
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    files = docs.select(F.concat_ws("/", part("source"), part("lang"), F.concat(F.when(license_scan.notice_alone(), "LICENSE-").otherwise(""), part("doc_id"), F.lit(".txt"))).alias("path"), "text")
-    out = license_scan.scan(files)
-    return out.select(F.regexp_extract("path", r"/(?:LICENSE-)?(-?\d+)\.txt$", 1).try_cast("long").alias("doc_id"), "path", "own_license", "similarity", "license", "inherited_from")
+    out = license_scan.scan(docs.select(F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text"), directories=True)
+    return out.select(F.regexp_extract("path", r"/(-?\d+)$", 1).try_cast("long").alias("doc_id"), "path", "own_license", "similarity", "license", "inherited_from")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
