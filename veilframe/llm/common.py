@@ -65,8 +65,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes in an Arrow batch, where the session has Spark's default of 64 MB: a worker holds a batch, its Python values and its result at once.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"
+
+
 def _findable(spark: SparkSession) -> None:
-    """Lets workers look for this package where the driver found it, too (on a cluster it comes with the job's files)."""
+    """Lets workers look for this package where the driver found it, too (on a cluster it comes with the job's files), and bounds their batches."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     env, root = spark.sparkContext.environment, str(pathlib.Path(__file__).parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))

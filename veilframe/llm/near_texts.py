@@ -1,4 +1,8 @@
-"""Near-duplicate texts: candidate pairs by bands of minimum hashes, each pair verified by the exact Jaccard of its five-word shingles."""
+"""Near-duplicate texts by similarity: candidates from the SimHash trie join and from bands of minimum hashes, each pair verified by exact Jaccard.
+
+Four bits of 64 find nearly every pair above a similarity of some 0.95 and all large groups of near copies, but few pairs at 0.8; a budget
+that reaches those would leave the trie nothing to prune.  So what the trie join leaves apart meets in buckets of minimum hashes.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, map_arrow, only_rows, row_key, stored, text_of
 from .components import connected
+from .simhash import fingerprint_of, links, shingle_hashes
 
 #: Words in a shingle, hash seed, least similarity of a link in fifths (4 of 5: 0.8).
 SHINGLE, SEED, LEAST_FIFTHS = 5, 42, 4
@@ -22,19 +27,13 @@ _FACTOR, _SHIFT = (_RNG.integers(0, 1 << 32, (BANDS * DEPTH, 1), np.uint32) for
 _FACTOR |= np.uint32(1)
 #: Shingles hashed at once; keys that are broadcast rather than joined.
 PART, FEW = 1024, 200_000
+#: Pairs of one text from which on they are dealt to parts, and the parts.
+PAIRS, SALTS = 1000, 32
 
 
 def shingles(text: str) -> np.ndarray:
     """Distinct hashes of the text's five-word shingles, sorted; a shorter text is one shingle, one without words has none."""
-    words = text.encode().lower().split()  # as in simhash.fingerprint
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)], np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -47,18 +46,20 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[k * wide : (k + 1) * wide], k) - (1 << 63) for k in range(BANDS)]
 
 
-def buckets(texts: DataFrame) -> DataFrame:
-    """``key, bucket`` of ``key, text``: a row for each band; a batch's copies once."""
+def signatures(texts: DataFrame) -> DataFrame:
+    """``key, fp, buckets`` of ``key, text``: fingerprint and bucket of each band, of one pass over the shingles; a batch's copies once."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = {}
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if key not in found:
-                found[key] = bands(shingles(text))
-        keys = np.repeat(np.array(list(found), np.int64), BANDS)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(list(found.values()), np.int64).ravel())], ["key", "bucket"])
+                hashes = shingle_hashes(text, SHINGLE)
+                found[key] = fingerprint_of(hashes), bands(np.unique(hashes))
+        flat = pa.array(np.array([b for _, b in found.values()], np.int64).ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), flat)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([f for f, _ in found.values()], pa.int64()), lists], ["key", "fp", "buckets"])
 
-    return map_arrow(texts, work, "key long, bucket long")
+    return map_arrow(texts, work, "key long, fp long, buckets array<long>")
 
 
 def shingle_table(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -87,33 +88,56 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
                 near.append(both * 5 >= (len(p) + len(q) - both) * LEAST_FIFTHS)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    side = lambda name, hashes: table.select(F.col("key").alias(name), F.col("hashes").alias(hashes))
-    return arrow_map(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y"), run, "a long, b long")
+    # most pairs have one text of a group in common: such a text is copied to a few tasks, its pairs dealt over them
+    many = pairs.groupBy("a").count().where(F.col("count") > PAIRS).select("a", F.lit(SALTS).alias("parts"))
+    many = stored(many, "hubs")
+    held = F.broadcast(many) if many.count() <= FEW else many
+    dealt = pairs.join(held, "a", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("parts")
+    left = table.select(F.col("key").alias("a"), F.col("hashes").alias("x")).join(held, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    right = table.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    return arrow_map(dealt.join(left, ["a", "salt"]).join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(texts: DataFrame) -> DataFrame:
     """``node, root`` of the keys of ``key, text`` that have links.
 
-    A bucket's texts meet its smallest key first, so a bucket of one group costs a pair a text.  What that leaves apart meets in pairs:
-    every two texts of a bucket that are not in one component yet.  Nothing is capped: buckets whose texts are mostly dissimilar cost pairs.
+    First come the links of the trie join.  Then a bucket's texts meet its smallest key, unless they are in one component already, so a bucket
+    of one group costs at most a pair a text.  What that leaves apart meets in pairs: every two texts of a bucket that are not in one
+    component yet.  Nothing is capped: buckets whose texts are mostly dissimilar cost pairs.
     """
-    raw = stored(buckets(texts), "buckets")
-    live = raw.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("bucket", "lead")
-    members = stored(raw.join(live, "bucket").distinct(), "members")
-    table = stored(shingle_table(texts, stored(members.select("key").distinct(), "shared")), "shingles")
-    first = stored(members.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    edges = stored(verified(first, table), "links")
-    roots = stored(connected(edges), "roots")
-    placed = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    placed = stored(placed, "placed")
+    raw = stored(signatures(texts).dropDuplicates(["key"]), "signatures")
+    prints = stored(raw.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprints")
+    near = stored(links(prints.select("fp")), "near-fingerprints")
+    lead = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("lead").alias(name))
+    close = near.join(lead("a", "p"), "a").join(lead("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    same = raw.join(prints, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    close = stored(close.union(same).distinct(), "pairs")
+    rows = raw.select("key", F.explode("buckets").alias("bucket"))
+    live = rows.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("bucket")
+    members = stored(rows.join(live, "bucket").distinct(), "members")
+    wanted = members.select("key").union(close.select(F.explode(F.array("a", "b")))).distinct()
+    table = stored(shingle_table(texts, stored(wanted, "shared")), "shingles")
+    edges = stored(verified(close, table), "links")
+    tried, placed = close, _placed(members, edges)
+    leads = placed.groupBy("bucket").agg(F.min(F.struct("key", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "m")
+    first = placed.join(leads, "bucket").where("root <> m.root").select(F.col("m.key").alias("a"), F.col("key").alias("b")).distinct()
+    first = stored(first.join(tried, ["a", "b"], "left_anti"), "pairs")
+    edges = stored(edges.union(verified(first, table)), "links")
+    placed = _placed(members, edges)
     apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rest = stored(placed.join(apart, "bucket"), "apart")
     other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
     second = rest.withColumnRenamed("key", "a").join(other, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
-    more = verified(stored(second.join(first, ["a", "b"], "left_anti"), "pairs"), table)
+    more = verified(stored(second.join(tried.union(first), ["a", "b"], "left_anti"), "pairs"), table)
     return connected(stored(edges.union(more), "links"))
 
 
+def _placed(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``bucket, key, root`` under the links so far."""
+    roots = stored(connected(edges), "roots")
+    return stored(members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "placed")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` (all columns) of each component of near-duplicate texts: that of the smallest ``doc_id``, null last.
 

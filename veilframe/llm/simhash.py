@@ -23,25 +23,33 @@ NODE, STEP = 20_000, 50_000
 FRONTIER, LEAF_PAIRS = 400_000, 32
 
 
-def fingerprint(text: str) -> int:
-    """64-bit SimHash of the whole text, as a signed long; 0 for a text without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.encode().lower().split()  # bytes: lower-cases A-Z alone and splits at the six ASCII blanks alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)]
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends)]
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes, as a signed long; 0 for none."""
     votes = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[k : k + (1 << 16)].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str) -> int:
+    """64-bit SimHash of the whole text, as a signed long; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, key, fp`` (longs but for the id) of every row, ``key`` hashing id and text; one narrow pass."""
 
@@ -118,7 +126,7 @@ def _turned(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
-def trie_tasks(prints: DataFrame, node: int = NODE) -> DataFrame:
+def trie_tasks(prints: DataFrame, node: int = NODE, budget: int = BUDGET) -> DataFrame:
     """``field, prefix, left, right, side, turned``: which fingerprints meet in which node pair.
 
     Each fingerprint is turned so that one field after another leads; equal leading fields are a trie node.  A node with more than
@@ -146,14 +154,14 @@ def trie_tasks(prints: DataFrame, node: int = NODE) -> DataFrame:
     depth = F.least("left.depth", "right.depth")
     cut = lambda side: F.call_function("shiftright", F.col(f"{side}.bits"), F.col(f"{side}.depth") - depth)
     pairs = nodes.withColumnRenamed("at", "left").join(nodes.withColumnRenamed("at", "right"), whole).where("left <= right")
-    pairs = pairs.where(F.bit_count(cut("left").bitwiseXOR(cut("right"))) <= BUDGET)
+    pairs = pairs.where(F.bit_count(cut("left").bitwiseXOR(cut("right"))) <= budget)
     side = lambda name, k: placed.withColumnRenamed("at", name).join(pairs if k == 0 else pairs.where("left <> right"), [*whole, name]).select(*whole, "left", "right", F.lit(k).alias("side"), "turned")
     return cold.union(side("left", 0)).union(side("right", 1))
 
 
 def links(prints: DataFrame, node: int = NODE, budget: int = BUDGET) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (``fp``) within ``budget`` bits: those that span each task's components, never all pairs."""
-    tasks = trie_tasks(prints, node)
+    """Edges ``a, b`` between distinct fingerprints (``fp``) within ``budget`` bits (fewer than the fields): those that span each task's components, never all pairs."""
+    tasks = trie_tasks(prints, node, budget)
     key = ["field", "prefix", "left", "right"]
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.repartition(parts, *key).sortWithinPartitions(*key, "side")
