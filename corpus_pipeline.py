@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of texts whose five-word shingles have a Jaccard of 0.8 or more."""
+    """The document of the smallest id of each component of texts whose five-word shingles have a Jaccard of 0.8 or more: the SimHash trie join's links, then what it leaves apart."""
     return near_texts.keep_one(docs)
 
 
@@ -50,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scans", secrets), ("mixing to target weights", mixed), ("packing", packed)]
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("secret scans", secrets), ("mixing to target weights", mixed), ("packing", packed)]
 ORACLE_SQL: str | None = None
 
 
