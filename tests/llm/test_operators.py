@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from veilframe.llm import components, embedding_dedup, license_scan, mixing, packing, quality_knn, quality_rules, queries, secret_scan, sharding, simhash, token_counts
+from veilframe.llm import components, embedding_dedup, license_scan, mixing, near_texts, packing, quality_knn, quality_rules, queries, secret_scan, sharding, simhash, token_counts
 from veilframe.llm.bpe_fst import BpeTransducer
 from veilframe.llm.bpe_ids import ids_of
 from veilframe.llm.common import vocabulary
@@ -442,3 +442,26 @@ def test_corpus_filter_fences_reject(spark):
     data = [(k, text(60), "en", "s") for k in range(300)] + [(1000 + k, t, "en", "s") for k, t in enumerate([*bad, half])]
     got = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
     assert got == set(range(300))
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_linked_texts_equal_brute_force(spark, monkeypatch, block):
+    """Links within buckets, however they are cut into blocks: components equal those of all pairs."""
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(["x", "y"]) + w if rng.random() < 0.02 else w for w in base) for _ in range(60)] + ["", "a b"]
+    sets = [near_texts.shingles(t) for t in texts]
+    root = np.array([k % 7 if k < 50 else k for k in range(len(texts))])
+    want = list(range(len(texts)))
+    find = lambda k: k if want[k] == k else find(want[k])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if root[i] != root[j] and both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4:
+                want[max(find(i), find(j))] = min(find(i), find(j))
+    rest = spark.createDataFrame([(1, k, int(r)) for k, r in enumerate(root)], "bucket long, key long, root long")
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "key long, hashes binary")
+    got = {r.node: r.root for r in components.connected(near_texts.linked(rest, table)).collect()}
+    assert {k: got.get(k, k) for k in range(len(texts))} == {k: find(k) for k in range(len(texts))}
+    assert len(set(got.values())) >= 1

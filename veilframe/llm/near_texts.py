@@ -6,6 +6,7 @@ that reaches those would leave the trie nothing to prune.  So what the trie join
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, map_arrow, only_rows, row_key, stored, text_of
-from .components import connected
+from .common import arrow_map, map_arrow, only_rows, partitions, row_key, stored, text_of
+from .components import connected, local_roots
 from .simhash import fingerprint_of, links, shingle_hashes
 
 #: Words in a shingle, hash seed, least similarity of a link in fifths (4 of 5: 0.8).
@@ -29,6 +30,8 @@ _FACTOR |= np.uint32(1)
 PART, FEW = 1024, 200_000
 #: Pairs of one text from which on they are dealt to parts, and the parts.
 PAIRS, SALTS = 1000, 32
+#: Texts in a block of a bucket, and shingles in a block of a product.
+BLOCK, COLUMNS = 500, 4096
 
 
 def shingles(text: str) -> np.ndarray:
@@ -102,8 +105,8 @@ def components(texts: DataFrame) -> DataFrame:
     """``node, root`` of the keys of ``key, text`` that have links.
 
     First come the links of the trie join.  Then a bucket's texts meet its smallest key, unless they are in one component already, so a bucket
-    of one group costs at most a pair a text.  What that leaves apart meets in pairs: every two texts of a bucket that are not in one
-    component yet.  Nothing is capped: buckets whose texts are mostly dissimilar cost pairs.
+    of one group costs at most a pair a text.  What that leaves apart meets within tasks: every two texts of a bucket that are not in one
+    component yet.  Nothing is capped, and no pairs are written but those with the bucket's first text.
     """
     raw = stored(signatures(texts).dropDuplicates(["key"]), "signatures")
     prints = stored(raw.groupBy("fp").agg(F.min("key").alias("lead")), "fingerprints")
@@ -125,13 +128,86 @@ def components(texts: DataFrame) -> DataFrame:
     edges = stored(edges.union(verified(first, table)), "links")
     placed = _placed(members, edges)
     apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = stored(placed.join(apart, "bucket"), "apart")
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("root_b"))
-    second = rest.withColumnRenamed("key", "a").join(other, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
-    more = verified(stored(second.join(tried.union(first), ["a", "b"], "left_anti"), "pairs"), table)
+    more = stored(linked(placed.join(apart, "bucket"), table), "links")
     return connected(stored(edges.union(more), "links"))
 
 
+def linked(rest: DataFrame, table: DataFrame) -> DataFrame:
+    """Links ``a, b`` among texts of one bucket that are in different components so far: exact Jaccards within tasks, which return spanning links and no pairs.
+
+    A bucket is a task.  In one with very many texts the texts of its largest component need not meet each other: they are dealt to parts, each
+    of which meets all others, again in blocks.
+    """
+    counts = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    info = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    info = stored(info.select("bucket", F.col("m.root").alias("major"), parts(F.col("m.n")).alias("p"), parts(F.col("all") - F.col("m.n")).alias("q")), "bucket-parts")
+    rows = rest.join(info, "bucket").withColumn("hash", F.xxhash64("key"))
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.pmod("hash", F.col("q"))
+    as_major = F.transform(upto("q"), lambda j: task(F.pmod("hash", F.col("p")), j, 0))
+    as_minor = F.transform(upto("p"), lambda i: task(i, block, 1))
+    across = F.transform(F.filter(upto("q"), lambda j: j != block), lambda j: task(-1 - F.least(j, block), F.greatest(j, block), F.when(block < j, 0).otherwise(1)))
+    rows = rows.select("bucket", "key", "root", F.explode(F.when(F.col("root") == F.col("major"), as_major).otherwise(F.concat(as_minor, across))).alias("t"))
+    rows = rows.select("key", "root", F.xxhash64("bucket", "t.i", "t.j").alias("task"), (F.col("t.i") == 0).alias("inner"), "t.side").join(table, "key")
+    dealt = rows.repartition(partitions(rest.sparkSession), "task").sortWithinPartitions("task", "side", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            tasks = now.column("task").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], tasks[1:] != tasks[:-1]])).tolist()
+            for a, b in itertools.pairwise(edge):
+                yield from joined(now.slice(a, b - a))
+            held = now.slice(edge[-1])
+        if held is not None and held.num_rows:
+            yield from joined(held)
+
+    def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, root, key = (rows.column(c).to_numpy() for c in ("side", "root", "key"))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("hashes")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = left, right
+        if rows.column("inner")[0].as_py():  # the block's own texts meet here, too
+            a = np.concatenate([left, right])
+        label = np.arange(rows.num_rows)
+        label = local_roots(rows.num_rows, *near_pairs(a, b, sets, root), label)
+        on = np.flatnonzero(label != np.arange(rows.num_rows))
+        if len(on):
+            yield pa.RecordBatch.from_arrays([pa.array(key[label[on]]), pa.array(key[on])], ["a", "b"])
+
+    return arrow_map(dealt.select("task", "inner", "side", "root", "key", "hashes"), run, "a long, b long")
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``a`` and ``b``, of different roots, whose sets have a Jaccard of 0.8 or more, by products of sparse blocks."""
+    size = np.array([len(x) for x in sets])
+
+    def table(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([sets[k] for k in rows]), np.repeat(np.arange(len(rows)), size[rows])
+
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word_a, row_a = table(a)
+    word_b, row_b = table(b)
+    shared = np.intersect1d(word_a, word_b)  # only these can count
+    on_a, on_b = np.isin(word_a, shared), np.isin(word_b, shared)
+    at_a, row_a, at_b, row_b = np.searchsorted(shared, word_a[on_a]), row_a[on_a], np.searchsorted(shared, word_b[on_b]), row_b[on_b]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        x, y = (np.zeros((n, min(COLUMNS, len(shared) - lo)), np.float32) for n in (len(a), len(b)))
+        for m, at, row in ((x, at_a, row_a), (y, at_b, row_b)):
+            here = (at >= lo) & (at < lo + COLUMNS)
+            m[row[here], at[here] - lo] = 1
+        both += x @ y.T
+    either = size[a][:, None] + size[b][None, :] - both
+    i, j = np.nonzero((both * 5 >= either * LEAST_FIFTHS) & (root[a][:, None] != root[b][None, :]))
+    return a[i], b[j]
+
+
 def _placed(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``bucket, key, root`` under the links so far."""
     roots = stored(connected(edges), "roots")
