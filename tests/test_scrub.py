@@ -25,7 +25,7 @@ CASES = {
         ("IBAN: DE89 3704 0044 0532 0130 00", "IBAN: [Konto]"), ("Betrag 1.234,50 EUR", "Betrag [Betrag]"), ("Passwort: geheim", "Passwort: [Geheim]"),
     ],
     "zh": [
-        ("手机：13812345678 邮箱：a@b.co", "手机：【电话】 邮箱：【邮箱】"), ("会话ID\nABCDEF123456", "会话ID【敏感】6"), ("上海市浦东新区世纪大道100号", "【地址】"), ("北京云科技有限公司", "【公司】有限公司"), ("密码：abc", "密码：【敏感】"),
+        ("手机：13812345678 邮箱：a@b.co", "手机：【电话】 邮箱：【邮箱】"), ("会话ID\nABCDEF123456", "会话ID\n【敏感】"), ("上海市浦东新区世纪大道100号", "【地址】"), ("北京云科技有限公司", "【公司】有限公司"), ("密码：abc", "密码：【敏感】"),
     ],
 }
 
@@ -117,10 +117,53 @@ def test_scrub_routes_by_language(spark):
     assert got == {0: ("de", "Telefon: [Telefon]"), 1: ("en", "SSN: [Secret]"), 2: ("en", "SSN: [Secret]"), 3: ("zh", "手机：【电话】"), 4: ("en", "x")}
 
 
-def test_plan_is_narrow_and_native(spark):
-    data = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a@b.co").alias("text"))
-    plan = scrub.match(data, ScrubConfig(lang="en"))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+def test_plan_is_narrow(spark, tmp_path):
+    """One scan, no shuffle, patterns in the plan, and one Arrow step that settles the hits."""
+    spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a@b.co").alias("text"), F.lit("de").alias("lang")).write.parquet(str(tmp_path / "t"))
+    plan = scrub.scrub(spark.read.parquet(str(tmp_path / "t")), ScrubConfig(lang="en"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("isnotnull", "") and plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
+
+
+def test_amounts_of_many_groups_and_marks_of_its_own(spark):
+    long = "USD 1" + ",000" * 5000
+    texts = [f"Total: {long}.50 due", f"{long} x", "a \ue100b\ue101 SSN: 123-45-6789 \ue102", "Total: USD 1" + ",000" * 70 + ",00"]
+    data = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r.text_masked for r in scrub.match(data, ScrubConfig(lang="en")).orderBy("id").collect()]
+    assert got == ["Total: [Amount] due", "[Amount] x", "a \ue100b\ue101 SSN: [Secret] \ue102", "Total: [Amount]"]
+
+
+def test_values_apart_from_their_label(spark):
+    data = spark.createDataFrame([("会话ID\nABCDEF123456",)], "text string")
+    assert scrub.match(data, ScrubConfig(lang="zh")).first().text_masked == "会话ID\n【敏感】"
+    assert scrub.match(data, ScrubConfig(lang="zh", parity=True)).first().text_masked == "会话ID【敏感】6"
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def seconds(words):
+        data = spark.createDataFrame([(" ".join(f"user{k}@mail.example.com" if k % 2 else "word" for k in range(words)),)], "text string").repartition(1)
+        began = time.time()
+        row = scrub.match(data, ScrubConfig(lang="en")).first()
+        assert row.hit_count == words // 2
+        return time.time() - began
+
+    seconds(200)
+    small, large = seconds(10_000), seconds(80_000)
+    assert large < 24 * small, (small, large)
+
+
+def test_required_strings_are_in_every_match(spark):
+    """A rule's cheap test holds wherever its pattern matches, in any case."""
+    odd = ["PAßPORT: 1", "\u017fecret: abc", "\u0130P: 1", "Pa\u017f\u017fport: AB12345"]
+    texts = [t for pairs in CASES.values() for t, _ in pairs if t] + odd
+    texts += [t.upper() for t in texts]
+    data = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for lang in C.PACKS:
+        for rule in plan_rules(ScrubConfig(lang=lang, enabled=frozenset(C.PACKS[lang].PRIORITY))):
+            if rule.needs:
+                wrong = data.where(F.expr(f"text RLIKE {spans.quoted(rule.pattern)} AND NOT ({spans.needed(rule, spans.folded_sql('text'), chr(34).join(['text RLIKE ', '[0-9]', '']))})"))
+                assert wrong.count() == 0, rule.key
 
 
 def test_sequential_mode(spark):

@@ -9,18 +9,21 @@ SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 LINE_ENDS = r"\n\r\u2028\u2029"
 #: ASCII word boundary, whatever the text's script.
 BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-#: Repetitions of a group that may be taken where the original has no bound and more follows; Java recurses for each.
-MOST_REPEATS = 40
+#: Repetitions of a group that go in one possessive block while as many are left after it; Java recurses for each one that may be given back.
+BLOCK = 32
 HAN = "\u4e00-\u9fff"
 SPECIAL = set("\\^$.|?*+()[]{}/")
 
 
 def to_java(pattern: str, flags: str = "") -> str:
-    """Java form of a pattern: ASCII ``\\b``, Unicode ``\\s``, absolute ``$``, line ends of ``.``, and no unbounded repetition of a group.
+    """Java form of a pattern: ASCII ``\\b``, Unicode ``\\s``, absolute ``$``, line ends of ``.``, and no repetition of a group that recurses without bound.
 
-    A repeated group at the very end becomes possessive (nothing after it could make it give back), any other is bounded.
+    A repeated group at the very end becomes possessive (nothing after it could make it give back).  Any other takes possessive blocks as
+    long as another block is left, and the rest one by one: it can still give back as many, and has no upper limit.
     """
     out, k, depth, n = [], 0, False, len(pattern)
+    opened: list[int] = []
+    begun = 0  # where the last closed group began in ``out``
     multi = "m" in flags
     while k < n:
         c = pattern[k]
@@ -59,8 +62,15 @@ def to_java(pattern: str, flags: str = "") -> str:
             if not lazy and not pattern[k + 1 :].strip(")"):
                 out.append(c + "+")
             else:
-                out.append(f"{{{int(c == '+')},{MOST_REPEATS}}}")
+                group = "".join(out[begun:])
+                if not group.startswith("(?:") or re.search(r"(?<!\\)\((?!\?)|\(\?<[A-Za-z]", group) or lazy:
+                    raise ValueError(f"a repeated group must not capture or be lazy: {group}")
+                out[begun:] = [f"(?:{group}{{{BLOCK}}}+(?={group}{{{BLOCK}}}+))*+", group, f"{{{int(c == '+')},{2 * BLOCK}}}"]
         else:
+            if c == "(":
+                opened.append(len(out))
+            elif c == ")":
+                begun = opened.pop()
             out.append(c)
         k += 1
     case = "(?iu)" if "i" in flags and "u" in flags else "(?i)" if "i" in flags else ""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import config as C
 from ..plans.config import ScrubConfig, norm_lang
-from .spans import clean, let, raw_hits, resolve, spliced, standard_hits, unmarked
+from .spans import HIT, clean, let, raw_hits, settled, standard_hits, unmarked
 
 
 def by_key(hits: Column) -> Column:
@@ -42,36 +42,48 @@ def risk(counts: Column, length: Column, from_pdf: Column) -> Column:
     return F.struct(score.alias("score"), level.alias("level"), top.alias("top"))
 
 
+def _matched(docs: DataFrame, config: ScrubConfig, langs: dict[str, Column], text: str) -> DataFrame:
+    """``docs`` with the results of :func:`match`; ``langs``: pack and the rows it is for."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    hits = None
+    given = docs.select(row, whole.alias("whole"), unmarked(whole).alias("_text"), *[test.alias(f"is_{p}") for p, test in langs.items()])
+    for pack in langs:
+        raw = raw_hits("_text", replace(config, lang=pack))
+        hits = F.when(F.col(f"is_{pack}"), raw) if hits is None else hits.when(F.col(f"is_{pack}"), raw)
+    lang = F.coalesce(*[F.when(F.col(f"is_{p}"), F.lit(p)) for p in langs])
+    # each step in a projection of its own, read more than once by the next: the optimizer copies nothing
+    found = given.select("row", "whole", lang.alias("pack"), hits.alias("raw"))
+    done = found.select("row", "whole", "pack", "raw", settled(F.col("raw"), F.col("whole")).alias("s"))
+    length = F.octet_length(F.encode("whole", "UTF-16BE")) / 2
+    kept = F.transform(F.col("s.kept"), lambda k: F.get("raw", k))
+    told = let(standard_hits(kept, F.col("s.starts"), F.col("s.ends"), F.col("pack")), lambda h: F.struct(h.alias("hits"), summary(h).alias("s")))
+    fields = ["hit_count", "masked_length", "by_key", "category_counts"]
+    done = done.select("row", F.col("s.masked").alias("text_masked"), length.alias("length"), told.alias("t"))
+    return done.select("row.*", "t.hits", "text_masked", *[F.col(f"t.s.{f}") for f in fields], risk(F.col("t.s.by_key"), F.col("length"), F.lit(config.from_pdf)).alias("risk"))
+
+
 def match(docs: DataFrame, config: ScrubConfig, text: str = "text") -> DataFrame:
     """Adds ``hits`` (standard records), ``text_masked``, ``hit_count``, ``masked_length``, ``by_key``, ``category_counts``, ``risk`` to ``docs``.
 
     A null text is empty.  Nothing is shuffled; the plan is projections over the scan.
     """
-    lang = norm_lang(config.lang) or "zh"
-    given = docs.withColumn("_text", unmarked(F.col(text)))
-    whole = F.col("_text")
-    length = F.octet_length(F.encode(whole, "UTF-16BE")) / 2
-    # one expression, each step bound once: the optimizer has nothing to copy into later projections or generators
-    found = let(resolve(raw_hits("_text", config)), lambda h: F.struct(standard_hits(h, whole, lang).alias("hits"), spliced(whole, h, lambda x: x["placeholder"]).alias("text_masked")))
-    told = let(found, lambda r: F.struct(r["hits"].alias("hits"), r["text_masked"].alias("text_masked"), summary(r["hits"]).alias("s")))
-    fields = ["hit_count", "masked_length", "by_key", "category_counts"]
-    done = let(told, lambda r: F.struct(r["hits"].alias("hits"), r["text_masked"].alias("text_masked"), *[r["s"][f].alias(f) for f in fields], risk(r["s"]["by_key"], length, F.lit(config.from_pdf)).alias("risk")))
-    return given.withColumn("_r", done).select(*docs.columns, "_r.*")
+    return _matched(docs, config, {norm_lang(config.lang) or "zh": F.lit(True)}, text)
 
 
 def scrub(docs: DataFrame, config: ScrubConfig, lang: str = "lang", text: str = "text") -> DataFrame:
-    """:func:`match` for each language's rules: one branch for each pack, joined by a union; rows of other languages take the configured one."""
+    """:func:`match` for each row's language, in one pass over the input; rows of other languages take the configured one.  Adds ``rule_lang``."""
     known = F.lower(F.col(lang).cast("string"))
     routed = docs.withColumn("rule_lang", F.when(known.isin(*C.PACKS), known).otherwise(F.lit(norm_lang(config.lang) or "zh")))
-    parts = [match(routed.where(F.col("rule_lang") == p), replace(config, lang=p), text) for p in C.PACKS]
-    return reduce(DataFrame.unionByName, parts)
+    return _matched(routed, config, {p: F.col("rule_lang") == p for p in C.PACKS}, text)
 
 
 def mask_text(docs: DataFrame, config: ScrubConfig, token: str = "███", text: str = "text") -> DataFrame:
     """``raw`` and ``masked_text``: every hit of the cleaned text replaced by one fixed token.  Blank texts have no hits."""
-    given = docs.withColumn("raw", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_text", unmarked(clean(F.col(text))))
-    hits = F.when(F.trim("_text") != "", resolve(raw_hits("_text", replace(config, enabled=config.enabled or frozenset())))).otherwise(F.array())
-    return given.withColumn("_hits", hits).withColumn("masked_text", spliced(F.col("_text"), F.col("_hits"), lambda h: F.lit(token))).drop("_text", "_hits")
+    given = docs.withColumn("raw", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_whole", clean(F.col(text)))
+    given = given.withColumn("_text", unmarked(F.col("_whole")))
+    hits = F.when(F.trim("_text") != "", raw_hits("_text", replace(config, enabled=config.enabled or frozenset()))).otherwise(F.array().cast(f"array<{HIT}>"))
+    return given.withColumn("_hits", hits).withColumn("masked_text", settled(F.col("_hits"), F.col("_whole"), lambda h: F.lit(token))["masked"]).drop("_text", "_hits", "_whole")
 
 
 def highlighted(masked: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.dialect import groups, term_pattern, to_java
+from ..functions.required import folded, required
 from . import pack_de, pack_en, pack_zh
 
 PACKS = {"en": pack_en, "de": pack_de, "zh": pack_zh}
@@ -80,18 +81,22 @@ class Rule:
     groups: int = 0
     placeholder: str = ""
     term: str = ""
-    needs: tuple[str, ...] = ()
+    needs: tuple[frozenset[str], ...] = ()
 
 
 @dataclass(frozen=True)
 class ScrubConfig:
-    """Everything a run depends on.  ``enabled``: keys switched on by the user; None takes the catalogue's defaults."""
+    """Everything a run depends on.  ``enabled``: keys switched on by the user; None takes the catalogue's defaults.
+
+    ``parity`` keeps the original's shifted ranges of values that stand apart from their label.
+    """
 
     lang: str = "zh"
     enabled: frozenset[str] | None = None
     money_mode: str = "m1"
     terms: tuple[str, ...] = ()
     from_pdf: bool = False
+    parity: bool = False
     extra_rules: tuple[Rule, ...] = field(default=())
 
 
@@ -127,19 +132,10 @@ def term_rules(config: ScrubConfig) -> list[Rule]:
     for term in (t.strip() for t in config.terms):
         if term and len(term) <= LONGEST_TERM and term.lower() not in out:
             pattern, group = term_pattern(term)
-            out[term.lower()] = Rule("manual_term", "TERM", "manual", -100000, pattern, group, mark, term)
+            out[term.lower()] = Rule("manual_term", "TERM", "manual", -100000, pattern, group, mark, term, needs=(frozenset([folded(term)]),))
     return list(out.values())
 
 
-def _needs(key: str, pattern: str) -> tuple[str, ...]:
-    """Strings one of which any matching text holds: a cheap test before the pattern."""
-    if key in ("email", "handle"):
-        return ("@",)
-    if re.match(r"\((?:[^()\[\]]|\[[^\]]*\]|\((?:[^()]|\([^()]*\))*\))*\[:：=\]\[ \\t\]\*\)", pattern):
-        return (":", "：", "=")
-    return ()
-
-
 def plan_rules(config: ScrubConfig) -> list[Rule]:
     """Rules that run, manual terms first, then the pack's in its order; disabled rules are never compiled."""
     lang = norm_lang(config.lang) or "zh"
@@ -150,7 +146,7 @@ def plan_rules(config: ScrubConfig) -> list[Rule]:
         on = (config.money_mode or "m1").lower() != "off" if key == "money" else key in enabled
         if on and key in rules:
             tag, mode, flags, pattern = rules[key]
-            out.append(Rule(key, tag, mode, order, to_java(pattern, flags), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=_needs(key, pattern)))
+            out.append(Rule(key, tag, mode, order, to_java(pattern, flags), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=required(pattern)))
     return out + list(config.extra_rules)
 
 

@@ -30,8 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of very few files over the cores: such a file may be one row group and so one task.  Larger tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def texts(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(TEXTS[lang]).alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(F.col("c_custkey").alias("doc_id"), F.expr(TEXTS[lang]).alias("text"))
 
 
 def _plain(rule_flags: str, pattern: str) -> str | None:
@@ -42,7 +48,7 @@ def _plain(rule_flags: str, pattern: str) -> str | None:
     out = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), out)
     spaces = re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m[1], 16)), SPACES)
     inside, done = False, []
-    for token in re.findall(r"\\\\.|.", out, re.DOTALL):
+    for token in re.findall(r"\\.|.", out, re.DOTALL):
         inside = token == "[" or (inside and token != "]")
         done.append((spaces if inside else f"[{spaces}]") if token == "\\s" else token)
     return ("(?i)" if "i" in rule_flags else "") + "".join(done)
@@ -79,7 +85,7 @@ def rule_matches_sql(lang: str) -> str:
 
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents masked by their language's rules, with counts and risk."""
-    done = scrub.scrub(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ScrubConfig(lang="en"))
+    done = scrub.scrub(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), ScrubConfig(lang="en"))
     return done.select("doc_id", "rule_lang", "hit_count", "masked_length", F.md5(F.col("text_masked").cast("binary")).alias("masked_md5"), F.col("risk.score").alias("score"), F.col("risk.level").alias("level"))
 
 
@@ -93,7 +99,7 @@ def scrub_texts(lang: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def hits_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of all documents by language and key."""
-    done = scrub.scrub(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ScrubConfig(lang="en"))
+    done = scrub.scrub(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), ScrubConfig(lang="en"))
     return scrub.hit_rows(done, "doc_id", "rule_lang").groupBy("rule_lang", "key", "category").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
@@ -117,11 +123,9 @@ TERMS = ("the", "of", "und", "que")
 def manual_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a user's terms masked, by the terms alone."""
     rules = term_rules(ScrubConfig(lang="en", terms=TERMS))
-    docs = table(spark, sf_dir, "documents").select("doc_id", spans.unmarked(F.col("text")).alias("_text"))
-    found = ", ".join(spans.rule_hits("_text", r, "en") for r in rules)
-    hits = spans.resolve(F.expr(f"flatten(filter(array({found}), h -> h IS NOT NULL))"))
-    done = docs.withColumn("hits", hits)
-    return done.select("doc_id", F.size("hits").cast("long").alias("hit_count"), F.md5(spans.spliced(F.col("_text"), F.col("hits"), lambda h: h["placeholder"]).cast("binary")).alias("masked_md5"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", spans.unmarked(F.col("text")).alias("_text"))
+    done = docs.withColumn("hits", spans.hits_of("_text", rules, "en")).withColumn("s", spans.settled(F.col("hits"), F.col("_text")))
+    return done.select("doc_id", F.size("s.kept").cast("long").alias("hit_count"), F.md5(F.col("s.masked").cast("binary")).alias("masked_md5"))
 
 
 MANUAL_TERMS_SQL = f"""
