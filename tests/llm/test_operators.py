@@ -276,9 +276,18 @@ def test_cross_polytope_recall():
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     pair = 0.98 * x + np.sqrt(1 - 0.98**2) * y  # right at the threshold
-    for hashes in (1, 2):
-        a, b = embedding_dedup.codes(x, hashes), embedding_dedup.codes(pair, hashes)
-        assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.999
+    for many in (1_000, 51_282, 2_000_000, 50_000_000, 10**9):  # one to four hashes
+        looks = embedding_dedup.widths(many, x.shape[1])
+        a, b = embedding_dedup.codes(x, looks), embedding_dedup.codes(pair, looks)
+        assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.999, looks
+
+
+def test_an_id_may_stand_for_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = [0.01, 1.0, 0.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0), (1, b, 1), (2, near, 0), (3, near, 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
 
 
 @pytest.mark.parametrize("limit", [400, 10**9])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from .components import connected, local_roots
 THRESHOLD, TABLES, PROBES, SEED = 0.98, 10, 4, 42
 #: Runners-up of each hash that probes combine.
 RUNNERS = 3
-#: Vectors that one hash should tell apart before another is added: a hash has twice the dimension as many values.
-PER_HASH = 20_000
+#: Vectors to a bucket that the number of hash values aims at, so that buckets do not grow with the table.
+PER_BUCKET = 400
 #: Most vectors in a block; buckets beyond it are cut into blocks, and blocks pair up over tasks.
 BLOCK = 2_000
 
@@ -40,31 +41,47 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(dim)
 
 
-def codes(x: np.ndarray, hashes: int) -> np.ndarray:
+def widths(many: int, dim: int) -> tuple[int, ...]:
+    """Coordinates that each hash of a table looks at, for ``many`` vectors: whole rotations, then as many coordinates of another as are wanting.
+
+    A hash over w coordinates has 2 w values, so their number follows the table in steps of two, whatever the dimension.
+    """
+    wide = 1 << max(1, (dim - 1).bit_length())
+    out, left = [], max(2.0, many / PER_BUCKET)
+    while left > 2 * wide:
+        out.append(wide)
+        left /= 2 * wide
+    last = 1 << max(0, math.ceil(math.log2(left)) - 1)
+    return (*out, last) if left > 1 or not out else tuple(out)
+
+
+def codes(x: np.ndarray, looks: tuple[int, ...]) -> np.ndarray:
     """Bucket codes ``(rows, TABLES, PROBES)`` of unit rows: the likeliest combinations of nearest cross-polytope vertices, sorted."""
     n, dim = x.shape
     wide = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((n, wide))
     padded[:, :dim] = x
     out = np.empty((n, TABLES, PROBES), np.int64)
-    take = min(RUNNERS if hashes > 1 else PROBES, wide)
     for t in range(TABLES):
         vertex, loss = [], []
-        for h in range(hashes):
+        for h, look in enumerate(looks):
             y = padded
             for s in signs(t, h, wide):
                 y = hadamard(y * s)
-            size = np.abs(y)
-            top = np.argsort(-size, axis=1, kind="stable")[:, :take]
-            best = np.take_along_axis(size, top, 1)
-            vertex.append(top * 2 + (np.take_along_axis(y, top, 1) > 0))
+            y = y[:, :look]
+            # vertices of both signs: with few coordinates the opposite one is among the nearest
+            near = np.concatenate([y, -y], axis=1)
+            take = min(RUNNERS if len(looks) > 1 else PROBES, 2 * look)
+            top = np.argsort(-near, axis=1, kind="stable")[:, :take]
+            best = np.take_along_axis(near, top, 1)
+            vertex.append(top)
             loss.append(best[:, :1] - best)
-        mixes = list(itertools.product(range(take), repeat=hashes))
-        cost = np.stack([sum(loss[h][:, m[h]] for h in range(hashes)) for m in mixes], axis=1)
-        code = np.stack([functools.reduce(lambda c, h, m=m: c * (2 * wide) + vertex[h][:, m[h]], range(hashes), np.zeros(n, np.int64)) for m in mixes], axis=1)
+        mixes = list(itertools.product(*[range(v.shape[1]) for v in vertex]))
+        cost = np.stack([sum(l[:, k] for l, k in zip(loss, m, strict=True)) for m in mixes], axis=1)
+        code = np.stack([functools.reduce(lambda c, vk: c * (2 * wide) + vk[0][:, vk[1]], zip(vertex, m, strict=True), np.zeros(n, np.int64)) for m in mixes], axis=1)
         chosen = np.argsort(cost, axis=1, kind="stable")[:, : min(PROBES, len(mixes))]
         got = np.take_along_axis(code, chosen, 1)
-        out[:, t] = np.sort(got if got.shape[1] == PROBES else np.repeat(got[:, :1], PROBES, 1), axis=1)
+        out[:, t] = np.sort(got if got.shape[1] == PROBES else np.concatenate([got, np.repeat(got[:, :1], PROBES - got.shape[1], 1)], axis=1), axis=1)
     return out
 
 
@@ -75,7 +92,7 @@ def unit(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def bucket_keys(reps: DataFrame, hashes: int) -> DataFrame:
+def bucket_keys(reps: DataFrame, many: int) -> DataFrame:
     """``label, dim, rep, bucket``: the buckets of each distinct vector in every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +100,7 @@ def bucket_keys(reps: DataFrame, hashes: int) -> DataFrame:
             dims = np.array(batch.column("dim").to_pylist())
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                c = codes(unit(part.column("embedding")), hashes)
+                c = codes(unit(part.column("embedding")), widths(many, dim))
                 c = c * TABLES + np.arange(TABLES)[None, :, None]
                 flat = c.reshape(len(c), -1)
                 fresh = np.ones(flat.shape, bool)
@@ -112,9 +129,9 @@ def tasks(keys: DataFrame, block: int) -> DataFrame:
     return keys.join(hot, key, "left_anti").select(*key, zero.alias("left"), zero.alias("right"), zero.alias("part"), "rep").union(split)
 
 
-def verified(reps: DataFrame, hashes: int, threshold: float, block: int) -> DataFrame:
+def verified(reps: DataFrame, many: int, threshold: float, block: int) -> DataFrame:
     """``rep, links, root``: links of each distinct vector found in a task, and its smallest companion there.  A pair is counted in the first bucket it shares."""
-    met = tasks(stored(bucket_keys(reps, hashes), "buckets"), block).join(reps.select("rep", "embedding", "copies"), "rep")
+    met = tasks(stored(bucket_keys(reps, many), "buckets"), block).join(reps.select("rep", "embedding", "copies"), "rep")
     key = ["label", "dim", "bucket", "left", "right"]
     dealt = met.repartition(partitions(reps.sparkSession), *key).sortWithinPartitions(*key).select(F.xxhash64(*key).alias("task"), "bucket", "left", "right", "part", "rep", "copies", "embedding")
 
@@ -145,7 +162,7 @@ def verified(reps: DataFrame, hashes: int, threshold: float, block: int) -> Data
         if not len(i):
             return
         involved, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        code, table, mine = codes(x[involved], hashes), bucket % TABLES, bucket // TABLES
+        code, table, mine = codes(x[involved], widths(many, x.shape[1])), bucket % TABLES, bucket // TABLES
         ci, cj = at[: len(i)], at[len(i) :]
         first = np.empty(len(i), bool)
         for lo in range(0, len(i), 100_000):
@@ -183,15 +200,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     group = [F.col("label"), F.col("embedding")]
     valid = rows.where(usable)
-    reps = stored(valid.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "distinct-vectors")
-    hashes, many = 1, reps.count()
-    while many > PER_HASH * 64**hashes:
-        hashes += 1
-    found = stored(verified(reps, hashes, threshold, block), "links")
-    roots = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # a node is a vector of a label, told by a hash: an id may stand for several vectors
+    reps = valid.groupBy(*group).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64(*group))
+    reps = stored(reps.withColumn("dim", F.size("embedding")), "distinct-vectors")
+    found = stored(verified(reps, reps.count(), threshold, block), "links")
+    roots = stored(connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "roots").withColumnRenamed("node", "rep")
+    components = roots.join(reps.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("component_id"))
     links = found.groupBy("rep").agg(F.sum("links").alias("others"))
-    told = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select(F.col("label").alias("r_label"), F.col("embedding").alias("r_embedding"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    told = reps.join(links, "rep", "left").join(roots.join(components, "root").select("rep", "component_id"), "rep", "left")
+    told = told.select(F.col("label").alias("r_label"), F.col("embedding").alias("r_embedding"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     # hash first: comparing whole vectors only where a 64-bit key agrees keeps the join's key short
     keyed = rows.withColumn("hash", F.when(usable, F.xxhash64("label", "embedding")))
     told = told.withColumn("r_hash", F.xxhash64("r_label", "r_embedding"))
