@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-#: Byte limit of a shard, directory bits settled in one round, and bits of the content hash (then come bits of the row's place).
-LIMIT, ROUND_BITS, HASH_BITS = 1 << 20, 20, 60
+#: Byte limit of a shard, directory bits settled in the first round, in a later one and in the last (bits of the row's place), and bits of the content hash.
+#: The first round has at most a million cells; a later one few below each open cell, so that its sums shrink before they are shuffled.
+LIMIT, ROUND_BITS, NEXT_BITS, HASH_BITS = 1 << 20, 20, 8, 60
 #: Depths at which a prefix is short, and parts that the cells below one are dealt to.
 SHORT, PARTS = 8, 64
 
@@ -19,23 +20,29 @@ def _hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(told.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _width(first: int) -> int:
+    """Bits settled in the round that begins at bit ``first``."""
+    return NEXT_BITS if 0 < first < HASH_BITS else ROUND_BITS
+
+
 def _bits(first: int) -> Column:
-    """``ROUND_BITS`` bits from ``first`` on; past the content hash, bits of the row's place, so that equal rows part as well."""
+    """The round's bits from ``first`` on; past the content hash, bits of the row's place, so that equal rows part as well."""
+    wide = _width(first)
     if first < HASH_BITS:
-        return F.shiftright(F.col("hash"), HASH_BITS - first - ROUND_BITS).bitwiseAND((1 << ROUND_BITS) - 1)
-    return F.pmod(F.xxhash64("place"), F.lit(1 << ROUND_BITS))
+        return F.shiftright(F.col("hash"), HASH_BITS - first - wide).bitwiseAND((1 << wide) - 1)
+    return F.pmod(F.xxhash64("place"), F.lit(1 << wide))
 
 
-def _directory(rows: DataFrame, limit: int, last: bool) -> DataFrame:
-    """``above, cell, depth``: for each cell of ``ROUND_BITS`` bits below a prefix ``above``, the least depth at which its bucket fits; null depth: none does.
+def _directory(rows: DataFrame, limit: int, last: bool, wide: int) -> DataFrame:
+    """``above, cell, depth``: for each cell of ``wide`` bits below a prefix ``above``, the least depth at which its bucket fits; null depth: none does.
 
     Sizes of cells are summed once; the sizes of all shorter prefixes are sums of those, so no level reads the documents again.
     """
     cells = stored(rows.groupBy("above", "cell").agg(F.sum("n_bytes").alias("held"), F.count("*").alias("n")), "cells")
-    levels = cells.select("above", "cell", "held", "n", F.explode(F.sequence(F.lit(0), F.lit(ROUND_BITS))).alias("depth"))
-    levels = levels.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(ROUND_BITS) - F.col("depth")))
+    levels = cells.select("above", "cell", "held", "n", F.explode(F.sequence(F.lit(0), F.lit(wide))).alias("depth"))
+    levels = levels.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(wide) - F.col("depth")))
     sums = levels.groupBy("above", "depth", "prefix").agg(F.sum("held").alias("held"), F.sum("n").alias("n"))
-    fits = sums.where((F.col("held") <= limit) | (F.col("n") == 1) | (F.lit(last) & (F.col("depth") == ROUND_BITS))).select("above", "depth", "prefix")
+    fits = sums.where((F.col("held") <= limit) | (F.col("n") == 1) | (F.lit(last) & (F.col("depth") == wide))).select("above", "depth", "prefix")
     # a short prefix has very many cells: they meet it in parts
     short = F.col("depth") < SHORT
     spread = fits.withColumn("part", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -47,7 +54,7 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Assigns every document to a shard whose texts hold at most ``limit`` bytes.
 
     The directory is indexed by prefixes of hash bits.  Starting from one bucket, only oversized buckets split on their next bit; the
-    split of 20 bits at a time is found from the sums of the finest cells, and only documents of cells that are still too large go
+    split of a round's bits is found from the sums of the finest cells, and only documents of cells that are still too large go
     another round.  A text over the limit is a shard of its own.  Equal rows have equal content bits and split on the bits of their place.
 
     Returns ``doc_id, n_bytes, shard`` (the bits), ``depth, shard_bytes, shard_docs`` for every row of ``docs``; repeated rows stay
@@ -60,13 +67,14 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     done, first = [], 0
     while True:
         last = first >= HASH_BITS
-        directory = _directory(open_, limit, last)
+        wide = _width(first)
+        directory = _directory(open_, limit, last, wide)
         placed = open_.join(directory, ["above", "cell"])
-        bits = F.lpad(F.bin("cell"), ROUND_BITS, "0")
-        done.append(placed.where(F.col("depth").isNotNull()).select("doc_id", "n_bytes", F.concat("above", F.expr(f"substring(lpad(bin(cell), {ROUND_BITS}, '0'), 1, depth)")).alias("shard")))
+        bits = F.lpad(F.bin("cell"), wide, "0")
+        done.append(placed.where(F.col("depth").isNotNull()).select("doc_id", "n_bytes", F.concat("above", F.expr(f"substring(lpad(bin(cell), {wide}, '0'), 1, depth)")).alias("shard")))
         if last or directory.where(F.col("depth").isNull()).isEmpty():
             break
-        first += ROUND_BITS
+        first += wide
         open_ = stored(placed.where(F.col("depth").isNull()).withColumn("above", F.concat("above", bits)).drop("depth").withColumn("cell", _bits(first)), "shard-keys")
     out = done[0]
     for more in done[1:]:
