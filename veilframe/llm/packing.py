@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_ids import ids_of
@@ -65,8 +65,9 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, spot``: packed ids with the closing id 0 (16 bits each where the vocabulary allows), and the sort key along the curve."""
+def tokenized(docs: DataFrame, path: str, bounds: list[int] | None = None) -> DataFrame:
+    """``doc_id, ids, spot, part``: packed ids with the closing id 0 (16 bits each where the vocabulary allows), the sort key along the curve, and how many bounds are not above it."""
+    edges = np.array(bounds or [], np.int64)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = ids_of(path)
@@ -75,11 +76,11 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         tie = np.array(batch.column("tie").to_pylist(), np.int64)
         spot = hilbert(curve_cells(ids)) << TIE_BITS | tie
         packed = [x.astype(kind).tobytes() + bytes(int(kind[-1])) for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(spot, pa.int64())], ["doc_id", "ids", "spot"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(spot, pa.int64()), pa.array(np.searchsorted(edges, spot, side="right"), pa.int32())], ["doc_id", "ids", "spot", "part"])
 
     rows = docs.select("doc_id", text_of().alias("text"))
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text")), F.lit(1 << TIE_BITS)).alias("tie"))
-    return map_arrow(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, spot long")
+    return map_arrow(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, spot long, part int")
 
 
 def _bounds(docs: DataFrame, path: str, parts: int) -> list[int]:
@@ -94,18 +95,6 @@ def _bounds(docs: DataFrame, path: str, parts: int) -> list[int]:
     return np.unique(got[np.arange(1, parts) * len(got) // parts]).tolist() if len(got) else []
 
 
-def _range_of(spot: Column, bounds: list[int]) -> Column:
-    """Index of the range a key falls into: how many bounds are not above it (a fold over a literal array would be linear, so bisect)."""
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(spot < F.lit(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(bounds))
-
-
 def pack(docs: DataFrame, path: str | None = None, length: int = 1024, parts: int | None = None) -> DataFrame:
     """Packs all documents into sequences of at most ``length`` tokens, neighbours along the curve together.
 
@@ -120,8 +109,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 1024, parts: in
     """
     path, width = path or vocabulary(), parts or partitions(docs.sparkSession)
     bounds = _bounds(docs, path, width)
-    keyed = tokenized(docs, path)
-    dealt = keyed.repartitionById(len(bounds) + 1, _range_of(F.col("spot"), bounds).cast("int")) if bounds else keyed.repartition(1)
+    keyed = tokenized(docs, path, bounds)
+    dealt = keyed.repartitionById(len(bounds) + 1, F.col("part")) if bounds else keyed.repartition(1)
     ordered = dealt.sortWithinPartitions("spot", "doc_id", F.xxhash64("ids"))
     kind = "<u2" if ids_of(path).largest < 1 << 16 else "<u4"
 
@@ -143,7 +132,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = 1024, parts: in
             yield _batch(rows, ids_type)
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(ordered.drop("spot"), run, f"doc_id {key}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return arrow_map(ordered.drop("spot", "part"), run, f"doc_id {key}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _by_size(packed: list[bytes]) -> list[tuple[int, int]]:

@@ -86,7 +86,8 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", most: int
     known = labelled.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
     ids = stored(chosen, "labelled")
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``most`` short rows
+    # at most ``most`` ids are broadcast; of several texts under one id the first in order is learnt
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [text_vector(x) for x in batch.column("text").to_pylist()]
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", most: int
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "y", "f", "w"])
 
     got = map_arrow(texts, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, f array<long>, w array<double>")
-    rows = got.orderBy("doc_id").limit(2 * most).collect()
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
     if not rows:
         return {"idf": idf, "axes": np.zeros((FEATURES, 1), np.float32), "at": np.zeros((1, 1), np.float32), "y": np.ones(1, np.float32)}
     x = _dense([(np.array(r["f"]), np.array(r["w"])) for r in rows], idf)
