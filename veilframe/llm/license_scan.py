@@ -209,7 +209,9 @@ def scan(files: DataFrame, directories: bool = False) -> DataFrame:
     close = stored(similarities(held.select("id", "terms").dropDuplicates(["id"])), "similarities")
     matched = held.select("file", "id", "window").join(F.broadcast(close) if close.count() <= FEW else close, "id").where(~F.col("window") | (F.col("cosine") >= WINDOW_COSINE))
     best = matched.groupBy("file").agg(F.max(F.struct("cosine", "license")).alias("b"))
-    own = found.withColumn("file", F.when(F.size("parts") > 0, F.xxhash64("path", F.col("path").isNull(), "gives", "parts"))).join(best, "file", "left")
+    # files without passages, most of them, need no join (null keys would meet in one task)
+    some = found.where(F.size("parts") > 0).withColumn("file", F.xxhash64("path", F.col("path").isNull(), "gives", "parts")).join(best, "file", "left").select("path", "gives", "b")
+    own = some.unionByName(found.where(F.size("parts") <= 0).select("path", "gives"), allowMissingColumns=True)
     own = stored(own.select("path", "gives", dir_.alias("dir"), F.col("b.license").alias("own_license"), F.coalesce("b.cosine", F.lit(0.0)).alias("similarity")), "own-licenses")
     sources = stored(own.where("own_license IS NOT NULL AND gives IS NOT NULL").groupBy(_above(F.col("gives")).alias("dir")).agg(F.min(F.struct(F.col("gives").alias("path"), F.col("own_license").alias("license"))).alias("from")), "licence-files")
     lacking = own.where("dir IS NOT NULL") if directories else own.where("own_license IS NULL AND dir IS NOT NULL")
