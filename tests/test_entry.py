@@ -10,7 +10,8 @@ import sys
 import duckdb
 
 import __spark_entry__ as entry
-from veilframe import more_queries
+from veilframe import more_queries, rule_samples
+from veilframe.plans.config import PACKS
 
 ROOT = pathlib.Path(entry.__file__).parent
 
@@ -38,16 +39,22 @@ def test_nothing_else_imports_the_optional_parts():
             assert "llm" not in path.read_text(encoding="utf-8"), path
 
 
+def test_every_live_rule_has_a_line():
+    for lang, pack in PACKS.items():
+        live = {key for key, *_ in pack.RULES} & set(pack.PRIORITY)
+        assert {key for key, _, value, _ in rule_samples.SAMPLES[lang] if value} == live
+
+
 def test_queries_equal_their_sql(spark):
     """Queries of hits, risk, pages and boxes on the smallest tables, row by row against the SQL that the driver runs."""
     tables = pathlib.Path("/root/testdata/sf0.001")
     base = duckdb.connect()
     for path in tables.glob("*.parquet"):
         base.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
-    for name, query in more_queries.QUERIES.items():
+    for name, query in (more_queries.QUERIES | rule_samples.QUERIES).items():
         got = query(spark, str(tables))
         names = sorted(got.columns)
-        told = base.execute(more_queries.ORACLES[name])
+        told = base.execute((more_queries.ORACLES | rule_samples.ORACLES)[name])
         at = [[d[0] for d in told.description].index(c) for c in names]
         want = collections.Counter(tuple(row[k] for k in at) for row in told.fetchall())
         assert collections.Counter(tuple(row[c] for c in names) for row in got.collect()) == want, name
