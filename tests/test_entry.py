@@ -10,7 +10,7 @@ import sys
 import duckdb
 
 import __spark_entry__ as entry
-from veilframe import more_queries, rule_samples
+from veilframe import box_queries, more_queries, rule_samples
 from veilframe.plans.config import PACKS
 
 ROOT = pathlib.Path(entry.__file__).parent
@@ -51,10 +51,10 @@ def test_queries_equal_their_sql(spark):
     base = duckdb.connect()
     for path in tables.glob("*.parquet"):
         base.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
-    for name, query in (more_queries.QUERIES | rule_samples.QUERIES).items():
+    for name, query in (more_queries.QUERIES | rule_samples.QUERIES | box_queries.QUERIES).items():
         got = query(spark, str(tables))
         names = sorted(got.columns)
-        told = base.execute((more_queries.ORACLES | rule_samples.ORACLES)[name])
+        told = base.execute((more_queries.ORACLES | rule_samples.ORACLES | box_queries.ORACLES)[name])
         at = [[d[0] for d in told.description].index(c) for c in names]
         want = collections.Counter(tuple(row[k] for k in at) for row in told.fetchall())
         assert collections.Counter(tuple(row[c] for c in names) for row in got.collect()) == want, name

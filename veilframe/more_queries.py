@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import cascade, geometry, pages, scrub, spans
 from .plans import config as C
 from .plans.config import ScrubConfig, term_rules
-from .plans.tuning import COVER, ITEM_CAP, ITEM_FONT, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS
+from .plans.tuning import COVER, ITEM_CAP, ITEM_FONT, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS, tuned
 from .queries import _PAGES, MASKED, paged_conversations, table, texts
 
 #: A page of 612 by 840 units at one and a half times its size, with the origin at its foot; font size and width of a character of set words.
@@ -79,13 +79,14 @@ SELECT doc_id, page_number, CAST(n AS BIGINT) AS n FROM m WHERE n > 0
 """
 
 
-def set_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def set_words(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> tuple[DataFrame, DataFrame]:
     """Words of benchmark texts as items of one page each, ten to a line, with their places in the text; and the pages' layout."""
+    wide, high = PAGE[0] / SCALE * scale, PAGE[1] / SCALE * scale
     base = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page_number"), F.split(F.coalesce("text", F.lit("")), " +").alias("words"))
     item = lambda w, i: F.struct(w.alias("str"), F.array(F.lit(FONT), F.lit(0.0), F.lit(0.0), F.lit(FONT), (i % 10 * 50).cast("double"), (F.lit(800.0) - F.floor(i / 10) * 14)).alias("transform"), (F.length(w) * CHAR).alias("width"))
     paged = base.select("doc_id", "page_number", F.transform("words", item).alias("items")).withColumn("p", geometry.item_ranges(F.col("items")))
     each = paged.select("doc_id", "page_number", "items", F.explode("p.ranges").alias("r")).select("doc_id", "page_number", "r.idx", "r.start", "r.end", F.expr("items[r.idx]").alias("it"))
-    layout = base.select("doc_id", "page_number", F.lit(PAGE[0]).alias("viewport_width"), F.lit(PAGE[1]).alias("viewport_height"), F.array(*[F.lit(x) for x in (SCALE, 0.0, 0.0, -SCALE, 0.0, PAGE[1])]).alias("viewport_transform"))
+    layout = base.select("doc_id", "page_number", F.lit(wide).alias("viewport_width"), F.lit(high).alias("viewport_height"), F.array(*[F.lit(x) for x in (scale, 0.0, 0.0, -scale, 0.0, high)]).alias("viewport_transform"))
     return each.select("doc_id", "page_number", "idx", "start", "end", "it.str", "it.transform", "it.width"), layout
 
 
@@ -105,7 +106,7 @@ def term_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     # hits are found item by item: a word is never part of two
     found = items.withColumn("_text", F.col("str")).select("doc_id", "page_number", "idx", "start", F.explode_outer(F.expr(spans.rule_hits("_text", rule, "en"))).alias("h")).where("h IS NOT NULL")
     hits = found.select("doc_id", "page_number", F.concat_ws("-", "idx", "h.start").alias("id"), "h.key", (F.col("start") + F.col("h.start")).alias("a"), (F.col("start") + F.col("h.end")).alias("b"))
-    return _thousandths(geometry.device_rects(hits, geometry.on_device(items, layout), "en"), "doc_id")
+    return _thousandths(geometry.device_rects(hits, geometry.on_device(items, layout), tuning=tuned("en")), "doc_id")
 
 
 def drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import escape
-from ..plans.tuning import ITEM_CAP, ITEM_FONT, NAME_KEYS, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS, BoxTuning, tuned
+from ..plans.tuning import ITEM_CAP, ITEM_FONT, NAME_KEYS, RECT_FONT, SHORT_TOKEN, BoxTuning, language_tuning, tuned
 from .spans import clean
 
 #: Default tuning of boxes and merges.
 WHOLE_ITEM_LENGTH, WHOLE_ITEM_SHARE, LONGEST_SPAN = 2, 0.72, 120
 PAD_X, PAD_Y, MERGE_GAP, SAME_LINE, SIMILAR_HEIGHT = 1.0, 1.0, 4.0, 0.80, 0.72
 EXPORT_OFFSET, EXPORT_HEIGHT, EXPORT_GAP = 3.0, 3.0, 4.0
-LEAST_DRAG = 6
+LEAST_DRAG, NEAR_GAP = 6, 1.2
 #: Characters that do not belong to a value at its ends.
 WEAK = " \t\n\r:：,，;；()（）[]【】<>《》\"'“”‘’"
 
@@ -136,10 +136,11 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     """Rectangles on the raster, one for each span and item it covers: ``doc_id, page_number, id, key, x, y, w, h``.
 
     ``spans``: ``doc_id, page_number, id, key, a, b``; ``placed``: :func:`on_device` with the items' ``start, end``.  Labels and weak
-    punctuation at a value's ends are not covered; widths are held between what the key's group allows; padding is added.
+    punctuation at a value's ends are not covered; widths are held between what the key's group allows; padding is added.  Without
+    ``tuning`` the language's own pack applies.
     ``drop_oversize`` skips implausibly large boxes as the original did, which leaves them readable; by default they stay.
     """
-    tuning = tuning or tuned(lang)
+    tuning = tuning or language_tuning(lang)
     factor, least, most, char = RECT_FONT
     page_w, page_h = F.col("viewport_width"), F.col("viewport_height")
     met = spans.join(placed.where(F.coalesce("str", F.lit("")) != ""), ["doc_id", "page_number"]).where("a < end and b > start")
@@ -158,12 +159,15 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     # the item's box as the key's group allows it
     met = met.withColumn("group", _of_key({**tuning.groups, "manual_term": "manual_term"}, "default")).withColumn("font", _clamp(F.col("font") * factor, least, most))
     met = met.withColumn("est", F.greatest(F.lit(10.0), F.col("n") * F.col("font") * char))
-    limit = lambda k: F.element_at(F.create_map(*[x for g, v in WIDTHS.items() for x in (F.lit(g), F.lit(v[k]))]), F.col("group"))
+    limit = lambda k: F.element_at(F.create_map(*[x for g, v in tuning.widths.items() for x in (F.lit(g), F.lit(v[k]))]), F.col("group"))
     given = F.coalesce("wide", "est")
     plausible = F.when(given > F.col("est") * limit(2), F.col("est") * limit(3)).otherwise(given)
     long = F.col("group") == "longValue"
     floor_ = F.least(F.col("est") * F.when(long, 0.92).otherwise(0.80), page_w * F.when(long, 0.38).otherwise(0.18))
     fitted = F.greatest(_clamp(plausible, 1, F.least(page_w * limit(0), F.col("est") * limit(1))), floor_)
+    for key, (factor, page_most, est_most, est_least, page_least) in tuning.special.items():
+        own = _clamp(plausible * factor, 1, F.least(page_w * page_most, F.col("est") * est_most))
+        fitted = F.when(F.col("key") == key, F.greatest(own, F.least(F.col("est") * est_least, page_w * page_least))).otherwise(fitted)
     inset = lambda share: _clamp(F.col("font") * share, 2, 4)
     met = met.withColumn("bx", _clamp(F.col("left"), 0, page_w)).withColumn("bw", _clamp(fitted + 6, 1, page_w - F.col("bx")))
     met = met.withColumn("by", _clamp(F.col("base") - F.col("font") + inset(0.16), 0, page_h)).withColumn("bh", _clamp(F.col("font") - inset(0.14), 4, page_h - F.col("by")))
@@ -171,7 +175,7 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     whole = whole_key | (F.col("n") <= WHOLE_ITEM_LENGTH) | (F.col("hi") - F.col("lo") >= F.col("n") * tuning.cover)
     x1 = F.when(whole, F.col("bx")).otherwise(F.col("bx") + F.col("bw") * F.col("lo") / F.col("n"))
     x2 = F.when(whole, F.col("bx") + F.col("bw")).otherwise(F.col("bx") + F.col("bw") * F.col("hi") / F.col("n"))
-    pad = lambda size, share, floor: F.greatest(_of_key(tuning.pads, PAD, floor), F.col(size) * _of_key(tuning.pads, PAD, share))
+    pad = lambda size, share, floor: F.greatest(_of_key(tuning.pads, tuning.pad, floor), F.col(size) * _of_key(tuning.pads, tuning.pad, share))
     met = met.withColumn("px", pad("bw", 0, 2)).withColumn("py", pad("bh", 1, 3)).withColumn("nudge", F.when(F.col("key").isin(*NAME_KEYS), _clamp(F.col("bw") * 0.04, 2, 4)).otherwise(0.0))
     met = met.withColumn("x", _clamp(x1 - F.col("px") - F.col("nudge"), 0, page_w)).withColumn("y", _clamp(F.col("by") - F.col("py") + 2 + tuning.down, 0, page_h))
     met = met.withColumn("w", _clamp(x2 - x1 + 2 * F.col("px") + F.col("nudge"), 1, page_w - F.col("x"))).withColumn("h", _clamp(F.col("bh") + 2 * F.col("py") - tuning.trim, 3, page_h - F.col("y")))
@@ -205,13 +209,21 @@ def with_manual(boxes: DataFrame, manual: DataFrame) -> DataFrame:
     return boxes.unionByName(kept.select("doc_id", "page_number", ids.alias("id"), F.lit("manual_rect").alias("key"), "x", "y", "w", "h"))
 
 
-def merged_rects(boxes: DataFrame, gap: float = MERGE_GAP) -> DataFrame:
-    """Neighbouring boxes of one hit and key on a line as one: their heights overlap and are alike, and the gap between is small."""
+def merged_rects(boxes: DataFrame, gap: float = MERGE_GAP, tuning: BoxTuning | None = None) -> DataFrame:
+    """Neighbouring boxes of one hit and key on a line as one: their heights overlap and are alike, and the gap between is small.
+
+    With ``tuning`` the gap follows the height and may not be far below zero; boxes of its strict keys must nearly touch.
+    """
     line = Window.partitionBy("doc_id", "page_number", "id", "key").orderBy("y", "x")
     prev = {c: F.lag(c).over(line) for c in ("x", "y", "w", "h")}
     shared = (F.least(F.col("y") + F.col("h"), prev["y"] + prev["h"]) - F.greatest("y", prev["y"])) / F.least("h", prev["h"])
     alike = F.least("h", prev["h"]) / F.greatest("h", prev["h"])
-    joins = (shared > SAME_LINE) & (alike > SIMILAR_HEIGHT) & (F.col("x") - (prev["x"] + prev["w"]) <= gap)
+    between, low = F.col("x") - (prev["x"] + prev["w"]), F.least("h", prev["h"])
+    near = between <= gap
+    if tuning:
+        strict = F.col("key").isin(*tuning.strict) if tuning.strict else F.lit(False)
+        near = F.when(strict, between.between(-1, F.greatest(F.lit(1.5), low * 0.12))).otherwise(between.between(-3, F.greatest(F.lit(NEAR_GAP), low * 0.45)))
+    joins = (shared > SAME_LINE) & (alike > SIMILAR_HEIGHT) & near
     flagged = boxes.withColumn("fresh", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     island = flagged.withColumn("island", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return _bounds(island, "doc_id", "page_number", "id", "key", "island").drop("island")

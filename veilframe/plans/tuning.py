@@ -35,9 +35,88 @@ class BoxTuning:
     cover: float = COVER[""]
     down: float = 3.0
     trim: float = 2.0
+    widths: dict[str, tuple[float, float, float, float]] = field(default_factory=lambda: dict(WIDTHS))
+    pad: tuple[float, float, float, float] = PAD
+    #: keys with widths of their own: factor of the width, most as share of the page and of the estimate, least as share of the estimate and of the page
+    special: dict[str, tuple[float, float, float, float, float]] = field(default_factory=dict)
+    collapse: tuple[str, ...] = ()
+    #: keys whose boxes join only when they touch
+    strict: tuple[str, ...] = ()
+
+
+# Fixed values of the languages' packs, for pages drawn at print density.  Widths, padding and groups of keys as above; ``special`` as in BoxTuning.
+_NAME_PAD, _PLAIN = (0.0020, 0.030, 0.25, 0.55), (0.0040, 0.030, 0.0, 0.0)
+_EN_WIDTHS = {"default": (0.30, 1.45, 2.2, 1.15), "longValue": (1.00, 3.00, 2.8, 1.60), "address": (0.75, 2.40, 3.2, 1.70), "money": (0.35, 1.80, 2.2, 1.15), "manual_term": (0.40, 1.80, 2.2, 1.15)}
+_LONGER = {
+    "manual_term": 90, "person_name": 40, "person_name_keep_title": 40, "account_holder_name_keep_title": 40, "company": 70, "email": 90, "phone": 60, "account": 90, "bank": 140,
+    "address_en_inline_street": 160, "address_en_extra_block": 160, "address_en_extra": 160, "handle": 90, "ref": 90, "title": 90, "money": 70, "money_label": 70, "number": 70,
+}
+_LONGER_PLACES = {"address_de_street": 160, "address_de_postal": 160, "address_de_street_partial": 160, "address_de_extra_partial": 160, "address_de_inline_street": 160, "address_cn": 160}
+_ZH_NAME, _ZH_LINE, _ZH_REF, _ZH_ACCOUNT, _ZH_MONEY, _ZH_BLOCK = (0.0005, 0.014, 0.5, 0.24), (0.0022, 0.020, 0.24, 0.34), (0.006, 0.005, 0.6, 0.05), (0.0040, 0.005, 0.40, 0.05), (0.0018, 0.018, 0.18, 0.30), (0.0040, 0.014, 8.0, 0.24)
+_ZH_MONEY_KEYS = ("money", "money_label", "money_cn_inline_label", "money_label_currency_zh")
+LANGUAGES: dict[str, dict] = {
+    "en": {
+        "longest": _LONGER, "widths": _EN_WIDTHS, "down": 30.0, "trim": 30.0, "cover": COVER["en"], "pad": (0.004, 0.035, 0.5, 0.70),
+        "pads": {
+            "person_name": _NAME_PAD, "company": (0.004, 0.032, 0.50, 0.60), "manual_term": (0.004, 0.035, 0.55, 0.65), "uuid": (0.006, 0.045, 0.8, 0.75), "ip_address": (0.006, 0.045, 0.7, 0.75),
+            "wallet_id": (0.006, 0.045, 0.7, 0.75), "email": _PLAIN, "phone": _PLAIN, "account": _PLAIN, "money": _PLAIN,
+        },
+    },
+    "de": {
+        "longest": _LONGER | _LONGER_PLACES, "widths": _EN_WIDTHS | {"longValue": (0.55, 2.20, 2.8, 1.60), "address": (0.60, 2.10, 3.2, 1.70)}, "down": 30.0, "trim": 30.0, "pad": (0.0050, 0.045, 0.55, 0.75),
+        "pads": {"person_name": _NAME_PAD, "person_name_keep_title": _NAME_PAD, "account_holder_name_keep_title": _NAME_PAD, "company": (0.0045, 0.032, 0.55, 0.60), "manual_term": (0.0040, 0.035, 0.55, 0.65)},
+    },
+    "zh": {
+        "longest": _LONGER | _LONGER_PLACES, "widths": {"longValue": (0.50, 2.00, 2.20, 1.22)}, "down": 25.0, "trim": 20.0, "pad": (0.0030, 0.010, 0.30, 0.10),
+        "pads": {
+            "person_name": _ZH_NAME, "person_name_keep_title": _ZH_NAME, "account_holder_name_keep_title": _ZH_NAME, "company": (0.0025, 0.022, 0.28, 0.36), "company_label_inline_zh": (0.0023, 0.020, 0.24, 0.34),
+            "company_label_inline_zh_no_colon": (0.0023, 0.020, 0.24, 0.34), "phone": _ZH_LINE, "email": _ZH_LINE, "account": _ZH_ACCOUNT, "account_cn_inline": _ZH_ACCOUNT, "ref_label_tail": _ZH_REF, "ref_inline_zh": _ZH_REF,
+            **dict.fromkeys(_ZH_MONEY_KEYS, _ZH_MONEY), "address_inline_zh": (0.0035, 0.014, 10.0, 0.24), "place_of_birth": _ZH_BLOCK, "license_plate": _ZH_BLOCK, "license_plate_inline_zh": _ZH_BLOCK,
+            "security_answer": _ZH_BLOCK, "secret_inline_zh": _ZH_BLOCK, "manual_term": (0.0030, 0.024, 0.30, 0.40),
+        },
+        "groups": {
+            **dict.fromkeys(
+                (
+                    "account", "account_cn_inline", "phone", "email", "bank", "uuid", "wallet_id", "ip_address", "ip_label", "device_fingerprint", "api_key_token_zh", "secret", "secret_inline_zh", "security_answer", "tax_id_zh",
+                    "passport", "passport_inline_zh", "id_card", "id_card_inline_zh", "driver_license", "license_plate", "license_plate_inline_zh",
+                ),
+                "longValue",
+            ),
+            **dict.fromkeys(
+                (
+                    "address_inline_zh", "address_cn", "address_de_street", "address_de_postal", "address_de_street_partial", "address_de_extra_partial", "address_de_inline_street", "address_en_inline_street",
+                    "address_en_extra_block", "address_en_extra",
+                ),
+                "address",
+            ),
+            **dict.fromkeys(_ZH_MONEY_KEYS, "money"),
+        },
+        "whole": (
+            "account", "account_cn_inline", "api_key_token_zh", "device_fingerprint", "dob", "driver_license", "email", "handle_label", "id_card", "id_card_inline_zh", "ip_address", "ip_label", *_ZH_MONEY_KEYS,
+            "passport", "passport_inline_zh", "phone", "ref_inline_zh", "ref_label_tail", "secret", "secret_inline_zh", "tax_id_zh", "uuid", "wallet_id",
+        ),
+        "collapse": ("address_inline_zh", "phone", "money", "company", "license_plate", "license_plate_inline_zh"),
+        "strict": (
+            "ref_label_tail", "ref_inline_zh", "company", "company_label_inline_zh", "company_label_inline_zh_no_colon", "account", "account_cn_inline", "id_card", "id_card_inline_zh", "passport", "passport_inline_zh",
+            "driver_license", "license_plate", "license_plate_inline_zh", "tax_id_zh", "uuid", "wallet_id", "ip_address", "ip_label", "secret", "secret_inline_zh", "security_answer", "api_key_token_zh", "device_fingerprint",
+            "handle_label",
+        ),
+        "special": {**dict.fromkeys(("ref_label_tail", "ref_inline_zh"), (0.6, 0.24, 1.28 * 0.6, 0.5, 0.15)), "company_label_inline_zh": (1.18, 0.34, 1.70, 0.98, 0.22)},
+    },
+}
+
+
+def language_tuning(lang: str, **overrides) -> BoxTuning:
+    """A language's own tuning, merged over the defaults, with overrides merged over it.  Labels stay empty: values begin after their label already."""
+    base = tuned(lang, **LANGUAGES.get(lang, {}))
+    return replace(base, **_merged(base, overrides))
+
+
+def _merged(base: BoxTuning, overrides: dict) -> dict:
+    return {k: {**getattr(base, k), **v} if isinstance(v, dict) else v for k, v in overrides.items()}
 
 
 def tuned(lang: str = "", **overrides) -> BoxTuning:
-    """Defaults of a language with overrides: tables are merged entry by entry, other values replaced."""
+    """Defaults without the language's own pack (but for the share that covers an item), with overrides: tables are merged entry by entry, other values replaced."""
     base = BoxTuning(cover=COVER.get(lang, COVER[""]))
-    return replace(base, **{k: {**getattr(base, k), **v} if isinstance(v, dict) else v for k, v in overrides.items()})
+    return replace(base, **_merged(base, overrides))
