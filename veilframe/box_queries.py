@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .more_queries import _ROUNDED, _thousandths, set_words
-from .operators import geometry
+from .operators import geometry, pages, scrub, spans
 from .plans.tuning import LONGEST, NAME_KEYS, RECT_FONT, language_tuning
-from .queries import table
+from .queries import table, word_items
 
 #: Print density: a page of 612 by 840 units at eight times its size; font size and width of a character of set words.
 SCALE, WIDE, HIGH, FONT, CHAR = 8.0, 4896.0, 6720.0, 10.0, 0.5
@@ -149,12 +149,65 @@ u AS (SELECT doc_id, page_number, CAST(least(x, x + w) AS DOUBLE) AS x, CAST(lea
 SELECT doc_id, page_number, 'manual_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, x, w, h) AS VARCHAR), 6, '0') AS id, 'manual_rect' AS key, x, y, w, h FROM u
 """
 
+#: The term's hits are whole words, each within one item, so no two boxes of a hit are joined.
+HIT_RECTS_SQL = f"""
+WITH b AS (SELECT item_id AS doc_id, regexp_split_to_array(coalesce(text, ''), ' +') AS words FROM benchmark),
+i AS (SELECT doc_id, words, unnest(range(len(words))) AS idx FROM b),
+k AS (SELECT doc_id, idx, length(words[idx + 1]) AS n, idx % 10 * 50.0::DOUBLE AS x0, 800.0::DOUBLE - idx // 10 * 14 AS y0, string_split(regexp_replace(words[idx + 1], '(?i)\\b(the)\\b', chr(57600) || '\\1' || chr(57600), 'g'), chr(57600)) AS parts FROM i WHERE trim(words[idx + 1]) <> ''),
+u AS (SELECT *, unnest(range(1, len(parts), 2)) AS j FROM k),
+c AS (SELECT *, CAST(list_sum(list_transform(parts[1:j], lambda t: length(t))) AS INTEGER) AS lo FROM u),
+d AS (SELECT *, n <= {geometry.WHOLE_ITEM_LENGTH} OR CAST(3 AS DOUBLE) / n >= {geometry.WHOLE_ITEM_SHARE} AS whole, n * 5.0::DOUBLE AS w0, 'hit_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx, lo) AS VARCHAR), 6, '0') AS id FROM c),
+e AS (SELECT *, CASE WHEN whole THEN x0 ELSE x0 + w0 * lo / n END AS x1, CASE WHEN whole THEN x0 + w0 ELSE x0 + w0 * (lo + 3) / n END AS x2 FROM d),
+r AS (SELECT doc_id, 1 AS page_number, id, 'manual_term' AS key, x1 - 1 AS x, y0 - 1 AS y, (x1 - 1 + (x2 - x1 + 2)) - (x1 - 1) AS w, (y0 - 1 + 12) - (y0 - 1) AS h FROM e)
+SELECT *, 'rect_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, x, id) AS VARCHAR), 6, '0') AS rect_id FROM r
+"""
+
+
+def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blank-joined strings of set pages."""
+    return word_items(spark, sf_dir).select("doc_id", pages.joined_text(F.col("items")).alias("text"))
+
+
+ITEM_TEXTS_SQL = "SELECT item_id AS doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), ' +'), lambda x: x <> ''), ' ') AS text FROM benchmark"
+
+
+def risk_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and advice for levels of customers, in languages of which one has none of its own."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("low", "mid", "high")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "zh", "fr")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), scrub.risk_words(level, lang).alias("t")).select("doc_id", "t.word", "t.advice")
+
+
+def risk_advice_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({a}, {b}, {quote(word)}, {quote(advice)})" for a, lang in enumerate(("en", "de", "zh", "en")) for b, (word, advice) in enumerate(scrub.RISK_WORDS[lang].values()))
+    return f"WITH w(a, b, word, advice) AS (VALUES {rows}) SELECT c_custkey AS doc_id, word, advice FROM customer JOIN w ON a = c_custkey % 4 AND b = c_custkey % 3"
+
+
+def phone_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether digits of 7 to 18 places after a label count as a phone number, by language; the empty one has no guard of its own."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr("repeat('7', cast(7 + c_custkey % 12 AS int))").alias("value"), F.element_at(F.array(*[F.lit(x) for x in PHONE_LABELS]), (F.col("c_custkey") % len(PHONE_LABELS) + 1).cast("int")).alias("label"))
+    return rows.select("doc_id", *[F.expr(spans.phone_guard(lang, "label", "value")).alias(f"in_{lang or 'other'}") for lang in ("en", "de", "zh", "")])
+
+
+#: Labels before numbers, and the languages in which they say that the number is none of a phone.
+PHONE_LABELS = {"phone: ": (), "order no ": ("en",), "Kundennummer ": ("de",), "订单 ": ("zh",), "case ": ()}
+
+
+def phone_verdicts_sql() -> str:
+    not_in = lambda lang: " OR ".join(f"c_custkey % {len(PHONE_LABELS)} = {n}" for n, langs in enumerate(PHONE_LABELS.values()) if lang in langs) or "false"
+    return "SELECT c_custkey AS doc_id, " + ", ".join(f"NOT (7 + c_custkey % 12 >= {most} OR {not_in(lang)}) AS in_{lang}" for lang, most in (("en", 14), ("de", 16), ("zh", 16), ("other", 16))) + " FROM customer"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"key_rects_{lang}": key_rects(lang) for lang in ("en", "de", "zh")},
     "rect_audit": rect_audit,
     "merged_key_spans": merged_key_spans,
     "collapsed_boxes": collapsed_boxes,
     "manual_boxes": manual_boxes,
+    "item_texts": item_texts,
+    "risk_advice": risk_advice,
+    "phone_verdicts": phone_verdicts,
 }
 ORACLES: dict[str, str] = {
     **{f"key_rects_{lang}": key_rects_sql(lang) for lang in ("en", "de", "zh")},
@@ -162,4 +215,8 @@ ORACLES: dict[str, str] = {
     "merged_key_spans": MERGED_SPANS_SQL,
     "collapsed_boxes": COLLAPSED_SQL,
     "manual_boxes": MANUAL_SQL,
+    "hit_rects": HIT_RECTS_SQL,
+    "item_texts": ITEM_TEXTS_SQL,
+    "risk_advice": risk_advice_sql(),
+    "phone_verdicts": phone_verdicts_sql(),
 }

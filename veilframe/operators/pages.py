@@ -110,6 +110,11 @@ def without_headers(pages: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page_number", _cleaned(F.col("text"), F.col("repeated")).alias("text"))
 
 
+def joined_text(items: Column) -> Column:
+    """Non-empty strings of a page's items in their given order, a blank between."""
+    return F.array_join(F.filter(F.transform(items, lambda it: it["str"]), lambda s: s != ""), " ")
+
+
 def document_text(pages: DataFrame) -> DataFrame:
     """``doc_id, text``: non-empty pages in order, a blank line between."""
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))

@@ -104,3 +104,18 @@ def coverage(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     count = lambda df, name: df.select(*keys, F.explode_outer("by_key").alias("key", name)).where("key IS NOT NULL")
     both = count(left, "left_count").join(count(right, "right_count"), [*keys, "key"], "full").na.fill(0, ["left_count", "right_count"])
     return both.where("left_count <> right_count")
+
+
+# Words for risk levels, and advice, by language; other languages take the English ones.
+RISK_WORDS = {
+    "en": {"low": ("Low", "Ok to use. Money protection is on by default."), "mid": ("Medium", "Review top risks; consider stronger masking or manual redaction."), "high": ("High", "Do not send as-is: remove signature/account details and mask more.")},
+    "de": {"low": ("Niedrig", "OK. Geldschutz ist standardmäßig aktiv (M1)."), "mid": ("Mittel", "Top-Risiken prüfen; ggf. stärker maskieren oder manuelle Schwärzung/Begriffe ergänzen."), "high": ("Hoch", "Nicht so versenden: Signatur/Konten entfernen und stärker maskieren.")},
+    "zh": {"low": ("低", "可以使用。金钱保护默认开启（M1）。"), "mid": ("中", "请检查主要风险来源；可考虑加强遮罩或添加手工涂抹/术语。"), "high": ("高", "不建议直接发送：请移除签名/账户等敏感细节，并加强遮罩。")},
+}
+
+
+def risk_words(level: Column, lang: Column) -> Column:
+    """``word, advice`` for a risk level in a language."""
+    pick = lambda words, k: F.coalesce(*[F.when(level == name, F.lit(pair[k])) for name, pair in words.items()])
+    told = lambda k: F.coalesce(*[F.when(lang == code, pick(words, k)) for code, words in RISK_WORDS.items()], pick(RISK_WORDS["en"], k))
+    return F.struct(told(0).alias("word"), told(1).alias("advice"))

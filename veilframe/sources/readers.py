@@ -12,13 +12,16 @@ def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str, kind: str = "parquet", text: str = "text", doc_id: str | None = "doc_id") -> DataFrame:
-    """``doc_id, text`` of a table or of whole text files (``kind``: parquet, orc, json, csv, text); only the needed columns are read."""
+    """``doc_id, text`` of a table or of whole text files (``kind``: parquet, orc, json, csv, text); only the needed columns are read.
+
+    Without an id column the id is a hash of the text, the same on every run; equal texts share it.
+    """
     if kind == "text":
         files = spark.read.text(path, wholetext=True)
         return files.select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"') if kind == "csv" else spark.read
     table = reader.format(kind).load(path)
-    return table.select((F.col(doc_id) if doc_id else F.monotonically_increasing_id()).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return table.select((F.col(doc_id) if doc_id else F.xxhash64(F.col(text).cast("string"))).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def file_kind(path: Column, content: Column) -> Column:
