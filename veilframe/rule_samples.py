@@ -125,6 +125,7 @@ SAMPLES: dict[str, list[tuple[str, str, str, str]]] = {
         ("person_name_keep_title", "Sachbearbeiter: ", "Frau Anna Klein", ""),
         ("person_name_inline", "Patient: ", "Jörg Groß", ""),
         ("person_name", "Ansprechpartner: ", "Anna Klein", ""),
+        ("person_name_broken_ocr", "Kundename: ", "Anna", " östen"),
         ("person_name_broken_ocr", "Kundename: J ", "", "ürgen"),
         ("recipient_name_nextline", "Lieferadresse:\n", "Anna Klein", "\nHof"),
         ("recipient_name_nextline_broken_ocr", "", "Lieferadresse:\nAnna östen", "\nHof"),
