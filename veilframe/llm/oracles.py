@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from . import quality_rules as rules
+from .divergence import LEAST_DOCS, RANKS, SCALE
 from .sharding import LIMIT
+from .treap_search import TOP
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -95,4 +97,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUALITY_RULES = _quality()
 
-ORACLES = {"op1_sharding": SHARDING, "op5_near_vectors": NEAR_VECTORS, "op6_mixing": MIXING, "op7_quality_rules": QUALITY_RULES}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS n FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM tf, s GROUP BY term),
+m AS (SELECT rid, doc_id, 75 + 25 * len(w) * docs // terms AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+sc AS (SELECT item_id, rid, CAST(sum(times * weight * (1000000000 * n // (1000 * n + 12 * m))) AS BIGINT) AS score, any_value(doc_id) AS doc_id FROM q JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY item_id, rid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {TOP}
+"""
+
+# every kept term of every pair, as plain as can be
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= {LEAST_DOCS}),
+l AS (SELECT lang, CAST(count(*) AS BIGINT) AS v, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS BIGINT) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, CAST(coalesce(total, 0) AS BIGINT) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + {SCALE}::BIGINT * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p, 1 + {SCALE}::BIGINT * (k.n + 1) // (l.total + l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+al AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+       UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM al)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {RANKS}
+"""
+
+ORACLES = {"op1_sharding": SHARDING, "op5_near_vectors": NEAR_VECTORS, "op6_mixing": MIXING, "op7_quality_rules": QUALITY_RULES, "op11_lexical_search": LEXICAL_SEARCH, "op13_divergence": DIVERGENCE}
