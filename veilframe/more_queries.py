@@ -11,6 +11,7 @@ from .operators import cascade, geometry, pages, scrub, spans
 from .plans import config as C
 from .plans.config import ScrubConfig, term_rules
 from .plans.tuning import COVER, ITEM_CAP, ITEM_FONT, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS, tuned
+from .fold_queries import drawn_sql
 from .queries import _PAGES, MASKED, paged_conversations, table, texts
 
 #: A page of 612 by 840 units at one and a half times its size, with the origin at its foot; font size and width of a character of set words.
@@ -128,12 +129,9 @@ _ROUNDED = ", ".join(f"CAST(floor({c} * 1000 + 0.5) AS BIGINT) AS {c}" for c in
 WORD_BOXES_SQL = f"WITH {_WORDS_SQL} SELECT doc_id, idx, {_ROUNDED} FROM boxes"
 DRAWN_BOXES_SQL = f"""
 WITH {_WORDS_SQL},
-d AS (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, x) >= {geometry.EXPORT_OFFSET}, true) AS fresh FROM boxes),
-l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS line FROM d),
-a AS (SELECT *, NOT coalesce(abs(h - lag(h) OVER g) < {geometry.EXPORT_HEIGHT} AND x <= max(x + w) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {geometry.EXPORT_GAP}, false) AS apart FROM l WINDOW g AS (PARTITION BY doc_id, line ORDER BY x, y, w, h)),
-g AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, line ORDER BY x, y, w, h ROWS UNBOUNDED PRECEDING) AS island FROM a),
-m AS (SELECT doc_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM g GROUP BY doc_id, line, island)
-SELECT doc_id, {_ROUNDED} FROM m
+one AS (SELECT *, 1 AS page_number FROM boxes),
+{drawn_sql("one")}
+SELECT doc_id, {_ROUNDED} FROM drawn
 """
 
 

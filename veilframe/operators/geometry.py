@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import escape
 from ..plans.tuning import ITEM_CAP, ITEM_FONT, NAME_KEYS, RECT_FONT, SHORT_TOKEN, BoxTuning, language_tuning, tuned
+from .intervals import ITEM_BIN, PAGE_BIN, overlapping
+from .merging import export_merged, merged_rects
 from .spans import clean
 
+__all__ = [
+    "against_authority", "audit", "collapsed", "device_rects", "export_merged", "item_boxes", "item_ranges", "localized", "merged_rects", "merged_spans", "numbered", "on_device", "rects", "with_manual",
+]
+
 #: Default tuning of boxes and merges.
 WHOLE_ITEM_LENGTH, WHOLE_ITEM_SHARE, LONGEST_SPAN = 2, 0.72, 120
-PAD_X, PAD_Y, MERGE_GAP, SAME_LINE, SIMILAR_HEIGHT = 1.0, 1.0, 4.0, 0.80, 0.72
-EXPORT_OFFSET, EXPORT_HEIGHT, EXPORT_GAP = 3.0, 3.0, 4.0
-LEAST_DRAG, NEAR_GAP = 6, 1.2
+PAD_X, PAD_Y, LEAST_DRAG = 1.0, 1.0, 6
 #: Characters that do not belong to a value at its ends.
 WEAK = " \t\n\r:：,，;；()（）[]【】<>《》\"'“”‘’"
 
@@ -62,7 +66,9 @@ def against_authority(built: Column, authority: Column) -> Column:
 
 def localized(hits: DataFrame, offsets: DataFrame) -> DataFrame:
     """Hits (``doc_id, id, key, start, end``) clipped to the pages they meet, in page coordinates: ``doc_id, page_number, id, key, a, b``."""
-    met = hits.join(offsets.withColumnsRenamed({"start": "p_start", "end": "p_end"}), "doc_id").where("start < p_end and end > p_start")
+    hits = hits.select("doc_id", "id", "key", "start", "end")
+    pages = offsets.select("doc_id", "page_number", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    met = overlapping(hits, pages, ["doc_id"], ("start", "end"), ("p_start", "p_end"), PAGE_BIN)
     return met.select("doc_id", "page_number", "id", "key", (F.greatest("start", "p_start") - F.col("p_start")).alias("a"), (F.least("end", "p_end") - F.col("p_start")).alias("b"))
 
 
@@ -86,7 +92,7 @@ def rects(spans: DataFrame, items: DataFrame) -> DataFrame:
     ``spans``: ``doc_id, page_number, id, key, a, b``; ``items``: ``doc_id, page_number, idx, start, end, x, y, w, h``.  A box takes the
     covered share of its item's width, or all of it if the item is very short or mostly covered.
     """
-    met = spans.join(items, ["doc_id", "page_number"]).where("a < end and b > start")
+    met = overlapping(spans, items, ["doc_id", "page_number"], ("a", "b"), ("start", "end"), ITEM_BIN)
     n = F.greatest(F.col("end") - F.col("start"), F.lit(1))
     lo, hi = F.greatest("a", "start") - F.col("start"), F.least("b", "end") - F.col("start")
     whole = (n <= WHOLE_ITEM_LENGTH) | ((hi - lo) / n >= WHOLE_ITEM_SHARE)
@@ -143,7 +149,7 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     tuning = tuning or language_tuning(lang)
     factor, least, most, char = RECT_FONT
     page_w, page_h = F.col("viewport_width"), F.col("viewport_height")
-    met = spans.join(placed.where(F.coalesce("str", F.lit("")) != ""), ["doc_id", "page_number"]).where("a < end and b > start")
+    met = overlapping(spans, placed.where(F.coalesce("str", F.lit("")) != ""), ["doc_id", "page_number"], ("a", "b"), ("start", "end"), ITEM_BIN)
     # which part of the item is covered
     met = met.withColumn("lo", F.greatest("a", "start") - F.col("start")).withColumn("hi", F.least("b", "end") - F.col("start"))
     ends = "[" + "".join("\\" + c if c in "[]" else c for c in WEAK) + "]+"
@@ -186,21 +192,6 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     return met.select("doc_id", "page_number", "id", "key", "x", "y", "w", "h")
 
 
-def export_merged(boxes: DataFrame) -> DataFrame:
-    """Boxes to draw: neighbours on a page as one, whatever their hit, if they differ little in place and height and nearly touch: ``doc_id, page_number, x, y, w, h``.
-
-    Lines are formed first (a box starts one if it lies 3 or more below the one before), then joined from left to right.
-    """
-    down = Window.partitionBy("doc_id", "page_number").orderBy("y", "x")
-    fresh = F.coalesce((F.col("y") - F.lag("y").over(down) >= EXPORT_OFFSET).cast("int"), F.lit(1))
-    lined = boxes.select("doc_id", "page_number", "x", "y", "w", "h").withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    along = Window.partitionBy("doc_id", "page_number", "line").orderBy("x", "y", "w", "h")
-    reach = F.max(F.col("x") + F.col("w")).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    joins = (F.abs(F.col("h") - F.lag("h").over(along)) < EXPORT_HEIGHT) & (F.col("x") <= reach + EXPORT_GAP)
-    split = lined.withColumn("fresh", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return _bounds(split, "doc_id", "page_number", "line", "island").drop("line", "island")
-
-
 def with_manual(boxes: DataFrame, manual: DataFrame) -> DataFrame:
     """Boxes and a user's own (``doc_id, page_number, x, y, w, h``; dragged in any direction, at least 6 pixels each way), the latter with key ``manual_rect``."""
     ids = F.format_string("manual_%06d", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number", "y", "x", "w", "h")))
@@ -209,26 +200,6 @@ def with_manual(boxes: DataFrame, manual: DataFrame) -> DataFrame:
     return boxes.unionByName(kept.select("doc_id", "page_number", ids.alias("id"), F.lit("manual_rect").alias("key"), "x", "y", "w", "h"))
 
 
-def merged_rects(boxes: DataFrame, gap: float = MERGE_GAP, tuning: BoxTuning | None = None) -> DataFrame:
-    """Neighbouring boxes of one hit and key on a line as one: their heights overlap and are alike, and the gap between is small.
-
-    With ``tuning`` the gap follows the height and may not be far below zero; boxes of its strict keys must nearly touch.
-    """
-    line = Window.partitionBy("doc_id", "page_number", "id", "key").orderBy("y", "x")
-    prev = {c: F.lag(c).over(line) for c in ("x", "y", "w", "h")}
-    shared = (F.least(F.col("y") + F.col("h"), prev["y"] + prev["h"]) - F.greatest("y", prev["y"])) / F.least("h", prev["h"])
-    alike = F.least("h", prev["h"]) / F.greatest("h", prev["h"])
-    between, low = F.col("x") - (prev["x"] + prev["w"]), F.least("h", prev["h"])
-    near = between <= gap
-    if tuning:
-        strict = F.col("key").isin(*tuning.strict) if tuning.strict else F.lit(False)
-        near = F.when(strict, between.between(-1, F.greatest(F.lit(1.5), low * 0.12))).otherwise(between.between(-3, F.greatest(F.lit(NEAR_GAP), low * 0.45)))
-    joins = (shared > SAME_LINE) & (alike > SIMILAR_HEIGHT) & near
-    flagged = boxes.withColumn("fresh", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    island = flagged.withColumn("island", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return _bounds(island, "doc_id", "page_number", "id", "key", "island").drop("island")
-
-
 def _bounds(boxes: DataFrame, *keys: str) -> DataFrame:
     held = boxes.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"))
     return held.select(*keys, "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"))
