@@ -99,6 +99,16 @@ def hit_rows(matched: DataFrame, *keys: str) -> DataFrame:
     return matched.select(*keys, F.explode_outer("hits").alias("h")).where("h IS NOT NULL").select(*keys, "h.*")
 
 
+def hit_totals(matched: DataFrame, by: list[str], doc: str = "doc_id") -> DataFrame:
+    """Hits by ``by`` and key with subtotals: ``by, key, level, hits, documents``; ``level`` is the grouping number (bits of the columns that are summed over, the last column lowest).
+
+    Hits are counted within their row first, so what is dealt out by group is a row a document and key, not a row a hit.  A document counts once at each level.
+    """
+    counts = F.transform(F.array_distinct(F.transform("hits", lambda h: h["key"])), lambda k: F.struct(k.alias("key"), F.size(F.filter("hits", lambda h: h["key"] == k)).cast("long").alias("n")))
+    each = matched.select(doc, *by, F.explode_outer(counts).alias("c")).where("c IS NOT NULL").select(doc, *by, "c.key", "c.n")
+    return each.rollup(*by, "key").agg(F.grouping_id().alias("level"), F.sum("n").alias("hits"), F.count_distinct(doc).alias("documents"))
+
+
 def coverage(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Differences of two runs' counts by key: ``keys, key, left_count, right_count`` where they differ."""
     count = lambda df, name: df.select(*keys, F.explode_outer("by_key").alias("key", name)).where("key IS NOT NULL")

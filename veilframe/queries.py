@@ -246,19 +246,25 @@ SELECT doc_id, CAST({hits} AS INTEGER) AS hit_count, CAST(length(text) - length(
 MASKED_FIXED_SQL = "SELECT c_custkey AS doc_id, " + re.sub(r"\[[^\]]*\]", "███", f" || {_NL} || ".join(MASKED["en"])) + " AS masked_text FROM customer"
 
 
-def language_routes_sql() -> str:
+def detection_sql(base: str, columns: str) -> str:
+    """Common tables up to ``k``: ``columns``, ``top`` and ``reason`` of the detection of each row of ``base`` (``columns, text``)."""
     flat = "'_' || regexp_replace(trim(lower(text)), '[^\\p{L}'']+', '_', 'g') || '_'"
     scores = []
     for code, profile in language.PROFILES.items():
         total = " + ".join("(n - length(replace(flat, '{}', ''))) * {}".format(g.replace("'", "''"), len(profile) - k) for k, g in enumerate(profile))
         scores.append(f"{{'neg': -({total}), 'code': '{code}'}}")
     return f"""
-WITH f AS (SELECT doc_id, coalesce(text, '') AS text, {flat} AS flat FROM documents),
+f AS (SELECT {columns}, coalesce(text, '') AS text, {flat} AS flat FROM {base}),
 g AS (SELECT *, length(flat) AS n FROM f),
-r AS (SELECT doc_id, text, list_transform(list_sort([{", ".join(scores)}]), lambda x: x.code) AS codes FROM g),
+r AS (SELECT {columns}, text, list_transform(list_sort([{", ".join(scores)}]), lambda x: x.code) AS codes FROM g),
 c AS (SELECT *, CASE codes[1] WHEN 'eng' THEN 'en' WHEN 'deu' THEN 'de' END AS top, CASE codes[2] WHEN 'eng' THEN 'en' WHEN 'deu' THEN 'de' END AS second FROM r),
 k AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN len(regexp_extract_all(text, '[一-鿿]')) / greatest(length(text), 1) >= 0.02 THEN 'han_ratio' WHEN length(trim(text)) < 24 THEN 'too_short'
       WHEN top IS NULL THEN 'unmapped:' || codes[1] WHEN second IS NOT NULL AND second <> top THEN 'en_de_ambiguous:' || codes[1] ELSE 'ngram:' || codes[1] END AS reason FROM c)
+"""
+
+
+LANGUAGE_ROUTES_SQL = f"""
+WITH {detection_sql("documents", "doc_id")}
 SELECT doc_id, CASE WHEN reason = 'han_ratio' THEN 'zh' WHEN reason LIKE 'ngram%' OR reason LIKE 'en_de%' THEN top ELSE '' END AS detected, reason NOT LIKE 'ngram%' AND reason NOT IN ('empty', 'han_ratio') AS needs_confirm, reason,
        CASE WHEN reason LIKE 'ngram%' OR reason = 'han_ratio' THEN 'auto' ELSE 'needs_confirm' END AS route, CASE WHEN reason LIKE 'ngram%' THEN top ELSE 'zh' END AS content_lang FROM k
 """
@@ -308,7 +314,7 @@ ORACLES: dict[str, str] = {
     "language_stats": LANGUAGE_STATS_SQL,
     "edge_lines": EDGE_LINES_SQL,
     "page_offsets": OFFSETS_SQL,
-    "language_routes": language_routes_sql(),
+    "language_routes": LANGUAGE_ROUTES_SQL,
     "clean_pages": CLEAN_PAGES_SQL,
     "masked_fixed": MASKED_FIXED_SQL,
     **{f"scrub_texts_{lang}": scrub_texts_sql(lang) for lang in PACKS},
