@@ -474,3 +474,27 @@ def test_linked_texts_equal_brute_force(spark, monkeypatch, block):
     got = {r.node: r.root for r in components.connected(near_texts.linked(rest, table)).collect()}
     assert {k: got.get(k, k) for k in range(len(texts))} == {k: find(k) for k in range(len(texts))}
     assert len(set(got.values())) >= 1
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_mixing_meets_every_target_to_the_word(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "LEAST_SLOT_BITS", 6)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+    rng = random.Random(4)
+    data = [(k, "w " * rng.randint(500, 2000), "half") for k in range(20)] + [(1000 + k, "w " * rng.randint(0, 3), f"tiny{k % 40:02}") for k in range(200)] + [(2000, "w " * 900, None), (2000, "w " * 900, None), (None, None, "empty")]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)).collect()
+    taken, target, size = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        size[r.source] += r.size
+        target[r.source] = r.target
+    want = _targets(size)
+    assert len(got) == len(data) and target == pytest.approx(want, rel=1e-9) and target["half"] > 5 * target["tiny00"]
+    assert all(taken[s] == math.floor(t + 0.5) for s, t in target.items())
+
+
+def test_mixing_many_sources(spark):
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "'a b c d e' AS text", "concat('s', id) AS source")
+    row = mixing.mix(docs).selectExpr("count(*) AS n", "sum(taken) AS taken", "sum(target) AS target", "max(taken) AS top", "count(distinct source) AS sources").first()
+    assert row.n == row.sources == 50_000 and row.top <= 10 and row.taken == pytest.approx(row.target, rel=0.05)

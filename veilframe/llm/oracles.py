@@ -38,19 +38,8 @@ lv AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVE
        WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 wt AS (SELECT arg_min(level, cap / weight) AS water FROM lv WHERE level * weight <= cap),
 t AS (SELECT source, source_size, rank, least(cap, coalesce(water * weight, cap)) AS target FROM lv, wt),
-k AS (SELECT sum(target) AS total, greatest(16, length(bin(CAST(floor(greatest(1.0, sum(target)) / 8192) AS BIGINT)))) AS m FROM t),
-q AS (SELECT total, m, CAST(greatest(1, ceil(total / (1::BIGINT << m))) AS BIGINT) AS block FROM k),
-e AS (SELECT t.rank, CAST(ceil(source_size / q.block::DOUBLE) AS BIGINT) AS blocks, m, coalesce(sum(target) OVER (ORDER BY t.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS below, sum(target) OVER (ORDER BY t.rank) AS upto, total FROM t, q),
-h AS (SELECT rank, blocks, CAST(ceil(below / total * (1::BIGINT << m)) AS BIGINT) AS first, CASE WHEN upto = total THEN 1::BIGINT << m ELSE CAST(ceil(upto / total * (1::BIGINT << m)) AS BIGINT) END AS stop FROM e),
-x AS (SELECT unnest(range(least(1::BIGINT << m, CAST(round(total / block) AS BIGINT)))) AS slot, m FROM q),
-v AS (SELECT slot, CAST(list_sum(list_transform(range(m), lambda j: ((slot >> j) & 1) << (m - 1 - j))) AS BIGINT) AS point FROM x),
-g AS (SELECT rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth FROM v JOIN h ON point >= first AND point < stop),
-plan AS (SELECT rank, nth % blocks AS block, count(*) AS times FROM g WHERE nth // blocks < 2 GROUP BY ALL),
-a AS (SELECT doc_id, size, t.rank, source_size, target, sum(size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS high FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-o AS (SELECT doc_id, size, rank, source_size, target, CAST(high - size AS BIGINT) AS low, CAST(high AS BIGINT) AS high FROM a),
-b AS (SELECT o.rank, low, high, unnest(range(low // q.block, (high - 1) // q.block + 1)) AS blk, q.block AS wide FROM o, q WHERE size > 0),
-got AS (SELECT b.rank, low, high, sum((least(high, (blk + 1) * wide) - greatest(low, blk * wide)) * times) AS n FROM b JOIN plan ON b.rank = plan.rank AND b.blk = plan.block GROUP BY ALL)
-SELECT doc_id, size, source_size, target, CAST(coalesce(n, 0) AS BIGINT) AS taken FROM o LEFT JOIN got ON o.rank = got.rank AND o.low = got.low AND o.high = got.high
+a AS (SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS aim, CAST(sum(size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS high FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size > 0 THEN size * (aim // source_size) + greatest(least(high, aim % source_size) - (high - size), 0) ELSE 0 END AS BIGINT) AS taken FROM a
 """
 
 _FEATURES = f"""d AS (SELECT doc_id, CAST(lang AS VARCHAR) AS lang, CAST(source AS VARCHAR) AS source, row_number() OVER () AS rid, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
