@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .more_queries import _ROUNDED, _thousandths, set_words
 from .operators import geometry, pages, scrub, spans
+from .plans.labels import LABELS, labelled_tuning
 from .plans.tuning import LONGEST, NAME_KEYS, RECT_FONT, language_tuning
 from .queries import table, word_items
 
@@ -149,6 +151,43 @@ u AS (SELECT doc_id, page_number, CAST(least(x, x + w) AS DOUBLE) AS x, CAST(lea
 SELECT doc_id, page_number, 'manual_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, x, w, h) AS VARCHAR), 6, '0') AS id, 'manual_rect' AS key, x, y, w, h FROM u
 """
 
+
+
+def label_values(lang: str) -> list[tuple[str, str]]:
+    """Each key of a language with each of its labels, and two keys whose values keep what they begin with."""
+    return [(key, word) for key, words in LABELS[lang].items() for word in words] + [("manual_term", "Name"), ("unnamed", "Name")]
+
+
+#: What stands between a label and its value.
+BETWEEN = (": ", "：", " ", "")
+
+
+def label_starts(lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Customers' names behind each of a language's labels, less the label: ``doc_id, key, skip, value``."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        listed, n, sep = label_values(lang), len(label_values(lang)), F.array(*[F.lit(x) for x in BETWEEN])
+        pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in listed]), (F.col("c_custkey") % n).cast("int"))
+        rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), pick(0).alias("key"), F.concat(pick(1), F.get(sep, (F.floor(F.col("c_custkey") / n) % len(BETWEEN)).cast("int")), F.lit("#"), "c_name", F.lit(");")).alias("sub"))
+        return rows.select("doc_id", "key", geometry.value_in(F.col("sub"), labelled_tuning(lang)).alias("v")).select("doc_id", "key", "v.skip", "v.value")
+
+    return query
+
+
+def label_starts_sql(lang: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = label_values(lang)
+    rows = ", ".join(f"({n}, {quote(k)}, {quote(w)})" for n, (k, w) in enumerate(listed))
+    each = " ".join(f"WHEN {quote(k)} THEN regexp_replace(sub, {quote('(?i)^(?:' + '|'.join(re.sub('([^0-9A-Za-z ])', lambda m: chr(92) + m[1] if m[1].isascii() else m[1], w) for w in words) + r')\s*[:：]?\s*')}, '')" for k, words in LABELS[lang].items())
+    ends = "[" + "".join("\\" + c if c in "[]" else c for c in geometry.WEAK).replace("'", "''") + "]+"
+    return f"""
+WITH l(n, key, word) AS (VALUES {rows}), b(k, sep) AS (VALUES {", ".join(f"({k}, {quote(x)})" for k, x in enumerate(BETWEEN))}),
+s AS (SELECT c_custkey AS doc_id, key, word || sep || '#' || c_name || ');' AS sub FROM customer JOIN l ON n = c_custkey % {len(listed)} JOIN b ON k = c_custkey // {len(listed)} % {len(BETWEEN)}),
+r AS (SELECT doc_id, key, sub, CASE WHEN key = 'manual_term' THEN sub ELSE regexp_replace(CASE key {each} ELSE sub END, '^{ends}', '') END AS rest FROM s)
+SELECT doc_id, key, CAST(length(sub) - length(rest) AS INTEGER) AS skip, CASE WHEN key = 'manual_term' THEN rest ELSE regexp_replace(rest, '{ends}$', '') END AS value FROM r
+"""
+
+
 #: The term's hits are whole words, each within one item, so no two boxes of a hit are joined.
 HIT_RECTS_SQL = f"""
 WITH b AS (SELECT item_id AS doc_id, regexp_split_to_array(coalesce(text, ''), ' +') AS words FROM benchmark),
@@ -200,6 +239,7 @@ def phone_verdicts_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"label_starts_{lang}": label_starts(lang) for lang in LABELS},
     **{f"key_rects_{lang}": key_rects(lang) for lang in ("en", "de", "zh")},
     "rect_audit": rect_audit,
     "merged_key_spans": merged_key_spans,
@@ -210,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phone_verdicts": phone_verdicts,
 }
 ORACLES: dict[str, str] = {
+    **{f"label_starts_{lang}": label_starts_sql(lang) for lang in LABELS},
     **{f"key_rects_{lang}": key_rects_sql(lang) for lang in ("en", "de", "zh")},
     "rect_audit": RECT_AUDIT_SQL,
     "merged_key_spans": MERGED_SPANS_SQL,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cascade, geometry, pages, scrub, spans
+from .operators import cascade, geometry, pages, rect_results, scrub, spans
 from .plans import config as C
 from .plans.config import ScrubConfig, term_rules
 from .plans.tuning import COVER, ITEM_CAP, ITEM_FONT, PAD, RECT_FONT, SHORT_TOKEN, WIDTHS, tuned
@@ -80,14 +80,19 @@ SELECT doc_id, page_number, CAST(n AS BIGINT) AS n FROM m WHERE n > 0
 """
 
 
-def set_words(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> tuple[DataFrame, DataFrame]:
-    """Words of benchmark texts as items of one page each, ten to a line, with their places in the text; and the pages' layout."""
+def set_pages(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> tuple[DataFrame, DataFrame]:
+    """Benchmark texts as one page each, whose items are its words, ten to a line; and the pages' layout."""
     wide, high = PAGE[0] / SCALE * scale, PAGE[1] / SCALE * scale
     base = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page_number"), F.split(F.coalesce("text", F.lit("")), " +").alias("words"))
     item = lambda w, i: F.struct(w.alias("str"), F.array(F.lit(FONT), F.lit(0.0), F.lit(0.0), F.lit(FONT), (i % 10 * 50).cast("double"), (F.lit(800.0) - F.floor(i / 10) * 14)).alias("transform"), (F.length(w) * CHAR).alias("width"))
-    paged = base.select("doc_id", "page_number", F.transform("words", item).alias("items")).withColumn("p", geometry.item_ranges(F.col("items")))
-    each = paged.select("doc_id", "page_number", "items", F.explode("p.ranges").alias("r")).select("doc_id", "page_number", "r.idx", "r.start", "r.end", F.expr("items[r.idx]").alias("it"))
     layout = base.select("doc_id", "page_number", F.lit(wide).alias("viewport_width"), F.lit(high).alias("viewport_height"), F.array(*[F.lit(x) for x in (scale, 0.0, 0.0, -scale, 0.0, high)]).alias("viewport_transform"))
+    return base.select("doc_id", "page_number", F.transform("words", item).alias("items")), layout
+
+
+def set_words(spark: SparkSession, sf_dir: str, scale: float = SCALE) -> tuple[DataFrame, DataFrame]:
+    """The items of :func:`set_pages` one by one, with their places in the text; and the pages' layout."""
+    paged, layout = set_pages(spark, sf_dir, scale)
+    each = paged.withColumn("p", geometry.item_ranges(F.col("items"))).select("doc_id", "page_number", "items", F.explode("p.ranges").alias("r")).select("doc_id", "page_number", "r.idx", "r.start", "r.end", F.expr("items[r.idx]").alias("it"))
     return each.select("doc_id", "page_number", "idx", "start", "end", "it.str", "it.transform", "it.width"), layout
 
 
@@ -110,6 +115,15 @@ def term_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _thousandths(geometry.device_rects(hits, geometry.on_device(items, layout), tuning=tuned("en")), "doc_id")
 
 
+def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered boxes of a term's hits on set pages, from hits to rectangles in one call."""
+    paged, layout = set_pages(spark, sf_dir)
+    rule = term_rules(ScrubConfig(lang="en", terms=("the",)))[0]
+    texts = paged.select("doc_id", geometry.item_ranges(F.col("items"))["text"].alias("_text"))
+    hits = texts.select("doc_id", F.posexplode(F.expr(spans.rule_hits("_text", rule, "en"))).alias("i", "h")).select("doc_id", F.format_string("hit_%06d", F.col("i") + 1).alias("id"), "h.key", "h.start", "h.end")
+    return _thousandths(rect_results.match_rects(hits, paged, layout, "en", tuned("en")), "doc_id", "page_number", "id", "key", "rect_id")
+
+
 def drawn_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of words, joined along their lines as an export draws them."""
     items, layout = set_words(spark, sf_dir)
@@ -135,9 +149,13 @@ SELECT doc_id, {_ROUNDED} FROM drawn
 """
 
 
-def term_rects_sql() -> str:
+def term_rects_sql(numbered: bool = False) -> str:
     page, most, hard, soft = WIDTHS["manual_term"]
     factor, least, top, char = RECT_FONT
+    rows = f"SELECT doc_id, {_ROUNDED} FROM w"
+    if numbered:
+        rows = f""", num AS (SELECT *, 'hit_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx, lo) AS VARCHAR), 6, '0') AS id FROM w)
+SELECT doc_id, 1 AS page_number, id, 'manual_term' AS key, 'rect_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, id) AS VARCHAR), 6, '0') AS rect_id, {_ROUNDED} FROM num"""
     return f"""
 WITH {_WORDS_SQL},
 v AS (SELECT *, string_split(regexp_replace(s, '(?i)\\b(the)\\b', chr(57600) || '\\1' || chr(57600), 'g'), chr(57600)) AS parts FROM k),
@@ -150,8 +168,8 @@ o AS (SELECT *, greatest(0.0, least({PAGE[0]}, lft)) AS bx, greatest(greatest(1.
 p AS (SELECT *, greatest(1.0, least({PAGE[0]} - bx, bw0)) AS bw, greatest(4.0, least({PAGE[1]} - y0, rf - greatest(2.0, least(4.0, rf * 0.14)))) AS bh, n <= {geometry.WHOLE_ITEM_LENGTH} OR hi - lo >= n * {COVER["en"]} AS whole FROM o),
 r AS (SELECT *, CASE WHEN whole THEN bx ELSE bx + bw * lo / n END AS x1, CASE WHEN whole THEN bx + bw ELSE bx + bw * hi / n END AS x2, greatest({PAD[2]}, bw * {PAD[0]}) AS px, greatest({PAD[3]}, bh * {PAD[1]}) AS py FROM p),
 t AS (SELECT *, greatest(0.0, least({PAGE[0]}, x1 - px)) AS x_, greatest(0.0, least({PAGE[1]}, y0 - py + 5)) AS y_ FROM r),
-w AS (SELECT doc_id, x_ AS x, y_ AS y, greatest(1.0, least({PAGE[0]} - x_, x2 - x1 + 2 * px)) AS w, greatest(3.0, least({PAGE[1]} - y_, bh + 2 * py - 2)) AS h FROM t)
-SELECT doc_id, {_ROUNDED} FROM w
+w AS (SELECT doc_id, idx, lo, x_ AS x, y_ AS y, greatest(1.0, least({PAGE[0]} - x_, x2 - x1 + 2 * px)) AS w, greatest(3.0, least({PAGE[1]} - y_, bh + 2 * py - 2)) AS h FROM t)
+{rows}
 """
 
 
@@ -187,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hit_pages": hit_pages,
     "word_boxes": word_boxes,
     "term_rects": term_rects,
+    "match_boxes": match_boxes,
     "drawn_boxes": drawn_boxes,
     **{f"sequential_{lang}": sequential_texts(lang) for lang in MASKED},
 }
@@ -196,6 +215,7 @@ ORACLES: dict[str, str] = {
     "hit_pages": HIT_PAGES_SQL,
     "word_boxes": WORD_BOXES_SQL,
     "term_rects": term_rects_sql(),
+    "match_boxes": term_rects_sql(numbered=True),
     "drawn_boxes": DRAWN_BOXES_SQL,
     "page_texts": PAGE_TEXTS_SQL,
     **{f"sequential_{lang}": sequential_sql(lang) for lang in MASKED},

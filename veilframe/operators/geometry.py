@@ -12,7 +12,7 @@ from .merging import export_merged, merged_rects
 from .spans import clean
 
 __all__ = [
-    "against_authority", "audit", "collapsed", "device_rects", "export_merged", "item_boxes", "item_ranges", "localized", "merged_rects", "merged_spans", "numbered", "on_device", "rects", "with_manual",
+    "against_authority", "audit", "collapsed", "device_rects", "export_merged", "item_boxes", "item_ranges", "localized", "merged_rects", "merged_spans", "numbered", "on_device", "rects", "value_in", "with_manual",
 ]
 
 #: Default tuning of boxes and merges.
@@ -138,11 +138,25 @@ def _of_key(table: dict, otherwise: object, pick: int | None = None) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), value(v))]), F.col("key")), value(otherwise)) if table else value(otherwise)
 
 
+def value_in(sub: Column, tuning: BoxTuning) -> Column:
+    """``skip, value`` of the covered text ``sub`` for the row's ``key``: the key's label (the first of its list that the text begins with, then blanks and a colon) and weak characters at both ends are left out.
+
+    A key's labels are one alternation, tried once.  Manual terms and the tuning's ``keep_label`` keys stay as they are.
+    """
+    ends = "[" + "".join("\\" + c if c in "[]" else c for c in WEAK) + "]+"
+    bare = sub
+    for key, words in tuning.labels.items():
+        bare = F.when(F.col("key") == key, F.regexp_replace(sub, "(?iu)\\A(?:" + "|".join(escape(w) for w in words) + ")\\s*[:：]?\\s*", "")).otherwise(bare)
+    bare = F.when(F.col("key").isin("manual_term", *tuning.keep_label), sub).otherwise(F.regexp_replace(bare, "\\A" + ends, ""))
+    value = F.when(F.col("key").isin("manual_term", *tuning.keep_label), sub).otherwise(F.regexp_replace(bare, ends + "\\z", ""))
+    return F.struct((F.length(sub) - F.length(bare)).alias("skip"), value.alias("value"))
+
+
 def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: BoxTuning | None = None, drop_oversize: bool = False) -> DataFrame:
     """Rectangles on the raster, one for each span and item it covers: ``doc_id, page_number, id, key, x, y, w, h``.
 
-    ``spans``: ``doc_id, page_number, id, key, a, b``; ``placed``: :func:`on_device` with the items' ``start, end``.  Labels and weak
-    punctuation at a value's ends are not covered; widths are held between what the key's group allows; padding is added.  Without
+    ``spans``: ``doc_id, page_number, id, key, a, b`` and, if spans prefer a part, ``part_a, part_b`` from ``a`` on (see ``preferred``); ``placed``: :func:`on_device` with the items'
+    ``start, end``.  A preferred part is covered alone, unless the tuning ignores it for the key; otherwise labels and weak punctuation at a value's ends are not covered; widths are held between what the key's group allows; padding is added.  Without
     ``tuning`` the language's own pack applies.
     ``drop_oversize`` skips implausibly large boxes as the original did, which leaves them readable; by default they stay.
     """
@@ -152,16 +166,16 @@ def device_rects(spans: DataFrame, placed: DataFrame, lang: str = "", tuning: Bo
     met = overlapping(spans, placed.where(F.coalesce("str", F.lit("")) != ""), ["doc_id", "page_number"], ("a", "b"), ("start", "end"), ITEM_BIN)
     # which part of the item is covered
     met = met.withColumn("lo", F.greatest("a", "start") - F.col("start")).withColumn("hi", F.least("b", "end") - F.col("start"))
-    ends = "[" + "".join("\\" + c if c in "[]" else c for c in WEAK) + "]+"
     sub = F.substring("str", F.col("lo") + 1, F.col("hi") - F.col("lo"))
-    bare = sub
-    for key, words in tuning.labels.items():
-        bare = F.when(F.col("key") == key, F.regexp_replace(sub, "(?i)^(?:" + "|".join(escape(w) for w in words) + ")\\s*[:：]?\\s*", "")).otherwise(bare)
-    bare = F.regexp_replace(bare, "^" + ends, "")
-    asis = F.col("key").isin("manual_term", *tuning.keep_label)
-    met = met.withColumn("rest", F.when(asis, F.length(sub)).otherwise(F.length(bare))).withColumn("core", F.when(asis, F.length(sub)).otherwise(F.length(F.regexp_replace(bare, ends + "\\z", ""))))
+    met = met.withColumn("bare", value_in(sub, tuning)).withColumn("rest", F.length(sub) - F.col("bare.skip")).withColumn("core", F.length("bare.value"))
     whole_key = F.col("key").isin(*tuning.whole) if tuning.whole else F.lit(False)
-    met = met.withColumn("lo", F.when(whole_key, 0).otherwise(F.col("hi") - F.col("rest"))).withColumn("hi", F.when(whole_key, F.col("n")).otherwise(F.col("lo") + F.col("core"))).where("hi > lo")
+    first, last = F.col("hi") - F.col("rest"), F.col("hi") - F.col("rest") + F.col("core")
+    if {"part_a", "part_b"} <= set(spans.columns):
+        parted = F.col("part_a").isNotNull() & (~F.col("key").isin(*tuning.ignore_part) if tuning.ignore_part else F.lit(True))
+        inside = lambda c: F.col("a") + F.col(c)
+        first = F.when(parted, F.greatest(inside("part_a"), "start") - F.col("start")).otherwise(first)
+        last = F.when(parted, F.least(inside("part_b"), "end") - F.col("start")).otherwise(last)
+    met = met.withColumn("ends", F.struct(F.when(whole_key, 0).otherwise(first).alias("lo"), F.when(whole_key, F.col("n")).otherwise(last).alias("hi"))).withColumn("lo", F.col("ends.lo")).withColumn("hi", F.col("ends.hi")).where("hi > lo")
     # the item's box as the key's group allows it
     met = met.withColumn("group", _of_key({**tuning.groups, "manual_term": "manual_term"}, "default")).withColumn("font", _clamp(F.col("font") * factor, least, most))
     met = met.withColumn("est", F.greatest(F.lit(10.0), F.col("n") * F.col("font") * char))

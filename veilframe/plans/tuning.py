@@ -32,6 +32,8 @@ class BoxTuning:
     pads: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
     whole: tuple[str, ...] = ()
     keep_label: tuple[str, ...] = ()
+    #: keys whose preferred part is not looked at
+    ignore_part: tuple[str, ...] = ()
     cover: float = COVER[""]
     down: float = 3.0
     trim: float = 2.0
@@ -56,6 +58,10 @@ _ZH_NAME, _ZH_LINE, _ZH_REF, _ZH_ACCOUNT, _ZH_MONEY, _ZH_BLOCK = (0.0005, 0.014,
 _ZH_MONEY_KEYS = ("money", "money_label", "money_cn_inline_label", "money_label_currency_zh")
 LANGUAGES: dict[str, dict] = {
     "en": {
+        "ignore_part": (
+            "person_name", "person_name_keep_title", "account_holder_name_keep_title", "company", "account", "phone", "money", "money_label", "address_en_inline_street", "address_en_street_line", "address_en_extra_block",
+            "address_en_extra", "handle_label",
+        ),
         "longest": _LONGER, "widths": _EN_WIDTHS, "down": 30.0, "trim": 30.0, "cover": COVER["en"], "pad": (0.004, 0.035, 0.5, 0.70),
         "pads": {
             "person_name": _NAME_PAD, "company": (0.004, 0.032, 0.50, 0.60), "manual_term": (0.004, 0.035, 0.55, 0.65), "uuid": (0.006, 0.045, 0.8, 0.75), "ip_address": (0.006, 0.045, 0.7, 0.75),
@@ -63,6 +69,10 @@ LANGUAGES: dict[str, dict] = {
         },
     },
     "de": {
+        "ignore_part": (
+            "ref_generic_tail_de", "id_label_tail", "aktenzeichen_tail", "legal_ref_tail", "cust_id", "person_name_keep_title", "account_holder_name_keep_title", "person_name", "company", "account", "phone", "money", "money_label",
+            "address_de_inline_street", "address_de_street_partial", "address_de_extra_partial", "klingel_name", "handle_label",
+        ),
         "longest": _LONGER | _LONGER_PLACES, "widths": _EN_WIDTHS | {"longValue": (0.55, 2.20, 2.8, 1.60), "address": (0.60, 2.10, 3.2, 1.70)}, "down": 30.0, "trim": 30.0, "pad": (0.0050, 0.045, 0.55, 0.75),
         "pads": {"person_name": _NAME_PAD, "person_name_keep_title": _NAME_PAD, "account_holder_name_keep_title": _NAME_PAD, "company": (0.0045, 0.032, 0.55, 0.60), "manual_term": (0.0040, 0.035, 0.55, 0.65)},
     },
