@@ -405,12 +405,70 @@ def test_license_in_long_and_wrapped_lines(spark):
     assert got == {"a": "MIT", "b": "GPL-3.0", "c": None, "d": "CC0-1.0"}
 
 
-def test_documents_inherit_from_notices(spark, monkeypatch):
-    data = [(1, "Released under the MIT License.\n", "en", "s"), (2, "plain text", "en", "s"), (3, "plain text", "de", "s"), (-4, "plain text\nLicensed under CC BY-NC 4.0.", "de", "s"), (None, None, "en", "s")]
-    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+def test_notices_in_the_middle_of_long_texts(spark):
+    """The longest template between words of other kinds, wrapped in comment marks, its only notices at its ends."""
+    longest = max((t for texts in license_scan.TEMPLATES.values() for t in texts), key=len)
+    name = next(n for n, texts in license_scan.TEMPLATES.items() if longest in texts)
+    wrapped = "\n   *      //   ".join(longest.split(" "))
+    files = [(k, "lorem ipsum dolor " * 400 + x + " lorem ipsum dolor" * 400) for k, x in (("plain", longest), ("wrapped", wrapped))] + [("LICENSE", "x " * 2_000_000 + longest), ("none", "licence " * 20_000)]
+    got = {r.path: (r.own_license, r.doc) for r in license_scan.scan(spark.createDataFrame([(p, t, p, "clash", 1) for p, t in files], "path string, text string, doc string, terms string, id int"), carried=("doc",)).collect()}
+    assert got == {"plain": (name, "plain"), "wrapped": (name, "wrapped"), "LICENSE": (name, "LICENSE"), "none": (name, "none")} or got["none"][0] is None
+    assert got["plain"][0] == got["wrapped"][0] == got["LICENSE"][0] == name
+
+
+def test_windows_equal_a_plain_search(monkeypatch):
+    rng = random.Random(11)
+    plates = [t for _, t in license_scan._TEMPLATES]
+    pool = ["license", "Copyright", "lorem", "ipsum", "7", "v3.0", *rng.sample(sorted(license_scan._NUMBERS), 30)]
+    for stretch in (200, 20_000):
+        monkeypatch.setattr(license_scan, "STRETCH", stretch)
+        for _ in range(6):
+            text = " -- ".join(rng.choice(pool) if rng.random() < 0.7 else " ".join(rng.choice(plates)) for _ in range(rng.randint(0, 150)))
+            words = license_scan.terms(text)
+            ends = [x.end() for x in license_scan.TERM.finditer(text)]
+            want = set()
+            for m in license_scan.NOTICE.finditer(text):
+                at = next(k for k, e in enumerate(ends) if e > m.start())
+                for plate in plates:
+                    # the same neighbourhood of the longest template on either side bounds every window
+                    size, held = min(len(plate), len(words)), set(plate)
+                    starts = range(max(0, at - len(plate) + 1), max(0, min(at, len(words) - size)) + 1)
+                    shared = {k: sum(w in held for w in words[k : k + size]) for k in starts}
+                    best = max(starts, key=shared.get)
+                    if shared[best] >= license_scan.WINDOW_SHARE * size:
+                        want.add(" ".join(words[best : best + size]))
+            assert license_scan.windows(text) == want
+
+
+def test_documents_inherit_from_notices_at_any_depth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    files = {r.path: r for r in license_scan.scan(queries.document_paths(docs), carried=("doc_id",)).collect()}
+    gives = {}
+    for path, r in sorted(files.items()):
+        if r.own_license and path.rpartition("/")[2].startswith("LICENSE-"):
+            gives.setdefault(path.rpartition("/")[0], (r.own_license, path))
+    depths = collections.Counter()
+    for path, r in files.items():
+        folder, depth = path.rpartition("/")[0], 0
+        while folder and folder not in gives:
+            folder, depth = folder.rpartition("/")[0], depth + 1
+        want = (r.own_license, None) if r.own_license else gives.get(folder, (None, None))
+        assert (r.license, r.inherited_from) == want
+        depths[depth] += r.inherited_from is not None
+    assert len(files) == 1000 and all(depths[d] > 0 for d in (0, 1, 2)), depths
+    deep = [(f"a/b/c/d/{k}.py", "text") for k in range(4)] + [("a/LICENSE", "Released under the MIT License."), ("a/b/c/COPYING", "Licensed under the ISC License."), ("a/b/x/y/z/w.py", "text"), ("a/b/c/e.py", "text"), ("q.py", "text")]
+    got = {r.path: r.inherited_from for r in license_scan.scan(spark.createDataFrame(deep, "path string, text string")).collect()}
+    assert got == {**{f"a/b/c/d/{k}.py": "a/b/c/COPYING" for k in range(4)}, "a/b/c/e.py": "a/b/c/COPYING", "a/b/x/y/z/w.py": "a/LICENSE", "q.py": None, "a/LICENSE": None, "a/b/c/COPYING": None}
+
+
+@pytest.mark.parametrize("doc_id", ["long", "string"])
+def test_documents_keep_their_ids(spark, monkeypatch, doc_id):
+    data = [(k, t, "en", "s") for k, t in ((1, "Released under the MIT License.\n"), (2, "plain text"), (None, None), (2, "plain text"))]
+    rows = [(None if k is None else k if doc_id == "long" else f"doc-{k}/x", *r) for k, *r in data]
+    df = spark.createDataFrame(rows, f"doc_id {doc_id}, text string, lang string, source string")
     monkeypatch.setattr(queries, "table", lambda *a: df)
-    got = {r.doc_id: (r.own_license, r.license, r.inherited_from) for r in queries.op9_license_scan(spark, "").collect()}
-    assert got == {1: ("MIT", "MIT", "s/en/LICENSE-1"), 2: (None, "MIT", "s/en/LICENSE-1"), 3: (None, None, None), -4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "s/de/-4/LICENSE"), None: (None, "MIT", "s/en/LICENSE-1")}
+    got = queries.op9_license_scan(spark, "").collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
 
 
 def _cosine(a, b, df, n):
@@ -421,9 +479,10 @@ def _cosine(a, b, df, n):
 
 
 def test_license_cosines_equal_a_plain_computation(spark):
-    """Own licences and cosines of the query's table, from vectors in plain dictionaries; and every document with a header inherits it."""
+    """Own licences and cosines of the query's table, from vectors in plain dictionaries; a document with a licence of its own inherits none."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
-    parts = {r.doc_id: license_scan.passages(None, r.text or "") for r in rows}
+    paths = {r.doc_id: r.path for r in queries.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    parts = {r.doc_id: license_scan.passages(paths[r.doc_id], r.text or "") for r in rows}
     bags = {t: collections.Counter(t.split(" ")) for p in parts.values() for t, _ in p}
     plates = [(name, collections.Counter(license_scan.terms(t))) for name, texts in license_scan.TEMPLATES.items() for t in texts]
     df = collections.Counter(t for bag in [*bags.values(), *(b for _, b in plates)] for t in bag)
@@ -436,7 +495,7 @@ def test_license_cosines_equal_a_plain_computation(spark):
     got = {r.doc_id: r for r in queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect()}
     assert {k: (pytest.approx(r.similarity, abs=2e-6), r.own_license) for k, r in got.items()} == want
     stated = [r for r in got.values() if r.own_license]
-    assert len(stated) > 20 and all(r.license == r.own_license and r.inherited_from == f"{r.path}/LICENSE" for r in stated)
+    assert len(stated) > 20 and all(r.license == r.own_license and r.inherited_from is None for r in stated)
 
 
 def test_corpus_filter_fences_reject(spark):

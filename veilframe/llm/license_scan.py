@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +55,24 @@ TEMPLATES = {
 NOTICE = re.compile(r"licen[cs]e|copyright|spdx|creative[\s#*/;]+commons|public[\s#*/;]+domain|redistribution|permission[\s#*/;]+(?:is[\s#*/;]+hereby|to[\s#*/;]+use)|free[\s#*/;]+software", re.IGNORECASE)
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
 COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|<!--)")
-TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)?")
-#: Least cosine of a match of a whole header or licence file, and of a window of a template's length; characters looked at on either side of a place.
-LEAST_COSINE, WINDOW_COSINE, AROUND = 0.6, 0.8, 400
-#: Least share of a window's terms that its template must hold for the window to be compared.
-WINDOW_SHARE = 0.6
+TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)?", re.IGNORECASE | re.ASCII)
+#: Least cosine of a match of a whole header or licence file, and of a window of a template's length.
+LEAST_COSINE, WINDOW_COSINE = 0.6, 0.8
+#: Least share of a window's terms that its template must hold for the window to be compared; terms of a text that are looked at together.
+WINDOW_SHARE, STRETCH = 0.6, 20_000
 #: A term is frequent if it occurs in more than one of so many passages; rows of a table up to which it is broadcast; parts of hot directories.
 RARE, FEW, SALTS = 1000, 20_000, 16
 
 
 def terms(text: str) -> list[str]:
-    return TERM.findall(text.lower())
+    return [t.lower() for t in TERM.findall(text)]
 
 
 _TEMPLATES = [(name, terms(text)) for name, texts in TEMPLATES.items() for text in texts]
-_SETS = [(frozenset(t), len(t)) for _, t in _TEMPLATES]
+_LENGTHS = [len(t) for _, t in _TEMPLATES]
+#: Numbers of the templates' terms, and which templates hold each; the last row is for any other term.
+_NUMBERS = {t: k for k, t in enumerate(sorted({t for _, words in _TEMPLATES for t in words}))}
+_HOLDS = np.array([[t in words for words in [set(w) for _, w in _TEMPLATES]] for t in sorted(_NUMBERS)] + [[False] * len(_TEMPLATES)], np.int32)
 
 
 def headers(text: str) -> list[str]:
@@ -80,20 +84,31 @@ def headers(text: str) -> list[str]:
 
 
 def windows(text: str) -> set[str]:
-    """For each place that may state a licence and each template, the window of the template's length around it that shares most terms, if many."""
-    out = set()
-    for m in NOTICE.finditer(text):
-        a = max(0, m.start() - AROUND)
-        found = [(x.end(), x[0]) for x in TERM.finditer(text[a : m.end() + AROUND].lower())]
-        at = next((k for k, (end, _) in enumerate(found) if end > m.start() - a), 0)
-        words = [t for _, t in found]
-        for held, n in _SETS:
-            lo, hi = max(0, at - n + 1), max(0, min(at, len(words) - n))
-            upto = list(itertools.accumulate((w in held for w in words[lo : hi + n]), initial=0))
-            width = min(n, len(words) - lo)
-            best = max(range(lo, hi + 1), key=lambda k: upto[min(k - lo + n, len(upto) - 1)] - upto[k - lo], default=lo)
-            if upto[min(best - lo + n, len(upto) - 1)] - upto[best - lo] >= WINDOW_SHARE * max(width, 1):
-                out.add(" ".join(words[best : best + n]))
+    """For each place that may state a licence and each template, the window of the template's length around it that shares most terms, if many; of equal ones the first.
+
+    Windows are runs of terms, so blanks, line ends and comment marks between them take no room.  Which templates hold a term is looked up once a term; shares are differences of running sums.
+    """
+    spots = [m.start() for m in NOTICE.finditer(text)]
+    found = [(x.end(), x[0].lower()) for x in TERM.finditer(text)] if spots else []
+    if not found:
+        return set()
+    words, longest = [t for _, t in found], max(_LENGTHS)
+    at = np.unique(np.minimum(np.searchsorted([e for e, _ in found], spots, side="right"), len(words) - 1))
+    out: set[str] = set()
+    while len(at):
+        low = max(0, int(at[0]) - longest)
+        some = at[at < low + STRETCH]
+        at = at[len(some) :]
+        part = words[low : int(some[-1]) + longest]
+        held = np.concatenate([np.zeros((1, len(_LENGTHS)), np.int32), np.cumsum(_HOLDS[[_NUMBERS.get(t, -1) for t in part]], axis=0, dtype=np.int32)])
+        for k, n in enumerate(_LENGTHS):
+            size = min(n, len(part))
+            starts = np.clip(some[:, None] - low - n + 1 + np.arange(n), 0, len(part) - size)
+            shared = held[starts + size, k] - held[starts, k]
+            best = shared.argmax(axis=1)
+            rows = np.arange(len(some))
+            for start in np.unique(starts[rows, best][shared[rows, best] >= WINDOW_SHARE * size]).tolist():
+                out.add(" ".join(part[start : start + size]))
     return out
 
 
@@ -105,32 +120,17 @@ def passages(path: str | None, text: str) -> list[tuple[str, bool]]:
     return sorted({(" ".join(terms(x)), False) for x in whole} | {(x, True) for x in windows(text)})
 
 
-def alone(text: str) -> bool:
-    """Whether each line with a word may state a licence: a licence file by its content."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    return bool(lines) and all(NOTICE.search(x) for x in lines)
-
-
-def noticed(files: DataFrame, directories: bool) -> DataFrame:
-    """``path, gives, parts``: for each file the path of the licence file that it is or brings, if any, and its :func:`passages` as ``terms, window``."""
+def noticed(files: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """``path, row, parts``: for each file its :func:`passages` as ``terms, window``, and its ``carried`` columns as one struct."""
     kind = pa.list_(pa.struct([("terms", pa.string()), ("window", pa.bool_())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        gives, parts = [], []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            parts.append([{"terms": t, "window": w} for t, w in passages(path, text)])
-            if path is None:
-                gives.append(None)
-            elif not directories:
-                gives.append(path if re.search(LICENSE_FILE, path) else None)
-            elif parts[-1] and alone(text):
-                above, _, name = path.rpartition("/")
-                gives.append(f"{above}/LICENSE-{name}" if above else f"LICENSE-{name}")
-            else:
-                gives.append(f"{path}/LICENSE" if parts[-1] else None)
-        return pa.RecordBatch.from_arrays([batch.column("path"), pa.array(gives, pa.string()), pa.array(parts, kind)], ["path", "gives", "parts"])
-
-    return map_arrow(files.select(F.col("path").cast("string").alias("path"), text_of().alias("text")), work, "path string, gives string, parts array<struct<terms:string,window:boolean>>")
+        texts = zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)
+        parts = [[{"terms": t, "window": w} for t, w in passages(path, text)] for path, text in texts]
+        return pa.RecordBatch.from_arrays([batch.column("path"), batch.column("row"), pa.array(parts, kind)], ["path", "row", "parts"])
+
+    given = files.select(F.col("path").cast("string").alias("path"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]).alias("row"), text_of().alias("text"))
+    return map_arrow(given, work, f"path string, row {given.schema['row'].dataType.simpleString()}, parts array<struct<terms:string,window:boolean>>")
 
 
 def similarities(texts: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def nearest(dirs: DataFrame, sources: DataFrame) -> DataFrame:
     return direct.unionByName(far.select("dir", "from"))
 
 
-def scan(files: DataFrame, directories: bool = False) -> DataFrame:
+def scan(files: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Licences of files, their own or inherited.
 
     Headers (runs of comment and notice lines), whole licence files and windows of the templates' lengths around each place that may state a
@@ -193,35 +193,29 @@ def scan(files: DataFrame, directories: bool = False) -> DataFrame:
     files and from 0.8 for windows (notices inside long or wrapped lines).  A file without one takes the licence of the licence file
     (``LICENSE``, ``COPYING`` and the like) in its nearest ancestor directory, by joins of paths.
 
-    With ``directories`` each path is a directory that holds one text, and the text's headers are that directory's ``LICENSE``; a text that is
-    nothing but notices is a ``LICENSE-`` file of the directory above.  Then every licence comes by inheritance.
-
-    ``files`` has ``path, text``.  Returns ``path, own_license, similarity, license, inherited_from``, one row for each row of
+    ``files`` has ``path, text``.  Returns ``path, own_license, similarity, license, inherited_from`` and the ``carried`` columns, one row for each row of
     ``files``; repeated rows stay repeated.  A null text has no notices; a null path inherits nothing; of several licence files in a
     directory the first by name counts; ties between templates go to the first by table order; an empty table gives an empty
     result; further columns are ignored.
     """
-    found = stored(noticed(files, directories), "notices")
-    dir_ = F.col("path") if directories else _above(F.col("path"))
-    held = found.where(F.size("parts") > 0).select("path", "gives", "parts").distinct()
-    held = held.select(F.struct("path", "gives", "parts").alias("file"), F.explode("parts").alias("p")).select(F.xxhash64("file.path", F.col("file.path").isNull(), "file.gives", "file.parts").alias("file"), F.md5(F.col("p.terms").cast("binary")).alias("id"), "p.terms", "p.window")
-    held = stored(held, "passages")
+    found = stored(noticed(files, carried), "notices")
+    some = found.where(F.size("parts") > 0).withColumn("file", F.xxhash64("path", F.col("path").isNull(), "parts"))
+    held = stored(some.select("file", "parts").dropDuplicates(["file"]).select("file", F.explode("parts").alias("p")).select("file", F.md5(F.col("p.terms").cast("binary")).alias("id"), "p.terms", "p.window"), "passages")
     close = stored(similarities(held.select("id", "terms").dropDuplicates(["id"])), "similarities")
     matched = held.select("file", "id", "window").join(F.broadcast(close) if close.count() <= FEW else close, "id").where(~F.col("window") | (F.col("cosine") >= WINDOW_COSINE))
     best = matched.groupBy("file").agg(F.max(F.struct("cosine", "license")).alias("b"))
     # files without passages, most of them, need no join (null keys would meet in one task)
-    some = found.where(F.size("parts") > 0).withColumn("file", F.xxhash64("path", F.col("path").isNull(), "gives", "parts")).join(best, "file", "left").select("path", "gives", "b")
-    own = some.unionByName(found.where(F.size("parts") <= 0).select("path", "gives"), allowMissingColumns=True)
-    own = stored(own.select("path", "gives", dir_.alias("dir"), F.col("b.license").alias("own_license"), F.coalesce("b.cosine", F.lit(0.0)).alias("similarity")), "own-licenses")
-    sources = stored(own.where("own_license IS NOT NULL AND gives IS NOT NULL").groupBy(_above(F.col("gives")).alias("dir")).agg(F.min(F.struct(F.col("gives").alias("path"), F.col("own_license").alias("license"))).alias("from")), "licence-files")
-    lacking = own.where("dir IS NOT NULL") if directories else own.where("own_license IS NULL AND dir IS NOT NULL")
+    own = some.select("path", "row", "file").join(best, "file", "left").select("path", "row", "b").unionByName(found.where(F.size("parts") <= 0).select("path", "row"), allowMissingColumns=True)
+    own = stored(own.select("path", "row", _above(F.col("path")).alias("dir"), F.col("b.license").alias("own_license"), F.coalesce("b.cosine", F.lit(0.0)).alias("similarity")), "own-licenses")
+    gives = own.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENSE_FILE))
+    sources = stored(gives.groupBy("dir").agg(F.min(F.struct("path", F.col("own_license").alias("license"))).alias("from")), "licence-files")
+    lacking = own.where("own_license IS NULL AND dir IS NOT NULL")
     near = stored(nearest(lacking.select("dir").distinct(), sources), "inherited").select(F.col("dir").alias("i_dir"), "from")
+    # only files that lack a licence are joined, so a directory of very many files is dealt over salts
+    told = own.withColumn("part", F.when(F.col("own_license").isNull(), F.pmod(F.xxhash64("path", "row"), F.lit(SALTS)).cast("int")))
     if near.count() <= FEW:
-        out = own.join(F.broadcast(near), F.col("dir") == F.col("i_dir"), "left")
+        out = told.join(F.broadcast(near), F.col("own_license").isNull() & (F.col("dir") == F.col("i_dir")), "left")
     else:
-        part = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int") if not directories else F.lit(0)
-        spread = F.sequence(F.lit(0), F.lit(0 if directories else SALTS - 1))
-        out = own.withColumn("part", part).join(near.withColumn("i_part", F.explode(spread)), (F.col("dir") == F.col("i_dir")) & (F.col("part") == F.col("i_part")), "left")
-    inherits = F.lit(True) if directories else F.col("own_license").isNull()
-    taken = F.when(inherits, F.col("from.license"))
-    return out.select("path", "own_license", "similarity", (taken if directories else F.coalesce("own_license", taken)).alias("license"), F.when(inherits, F.col("from.path")).alias("inherited_from"))
+        spread = near.withColumn("i_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = told.where("part IS NOT NULL").join(spread, (F.col("dir") == F.col("i_dir")) & (F.col("part") == F.col("i_part")), "left").unionByName(told.where("part IS NULL"), allowMissingColumns=True)
+    return out.select("path", "own_license", "similarity", F.coalesce("own_license", "from.license").alias("license"), F.col("from.path").alias("inherited_from"), *[F.col(f"row.`{c}`") for c in carried])

@@ -49,12 +49,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as directories ``source/lang/doc_id``: a document's headers are the directory's licence file, one of notices alone is a licence file of ``source/lang``."""
-    docs = table(spark, sf_dir, "documents")
+def document_paths(docs: DataFrame) -> DataFrame:
+    """``path, text, doc_id``: documents have no paths, so a hash of the id gives each a directory ``source/lang/a/b``.  Every second stands there, or one or two levels above, as the licence file ``LICENSE-<id>``; whether it states a licence is up to its text."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    out = license_scan.scan(docs.select(F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text"), directories=True)
-    return out.select(F.regexp_extract("path", r"/(-?\d+)$", 1).try_cast("long").alias("doc_id"), "path", "own_license", "similarity", "license", "inherited_from")
+    bits = lambda k, n: F.pmod(F.shiftright("crc", k), F.lit(n))
+    keyed = docs.select("doc_id", "text", part("source").alias("s"), part("lang").alias("l"), part("doc_id").alias("i"), F.crc32(part("doc_id").cast("binary")).alias("crc"))
+    top = F.concat_ws("/", "s", "l")
+    stands, up = bits(4, 2) == 0, bits(5, 3)
+    folder = F.when(stands & (up == 2), top).when(stands & (up == 1), F.concat_ws("/", top, bits(0, 4))).otherwise(F.concat_ws("/", top, bits(0, 4), bits(2, 4)))
+    return keyed.select(F.concat_ws("/", folder, F.when(stands, F.concat(F.lit("LICENSE-"), "i")).otherwise(F.concat("i", F.lit(".txt")))).alias("path"), "text", "doc_id")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(document_paths(table(spark, sf_dir, "documents")), carried=("doc_id",))
+    return out.select("doc_id", "path", "own_license", "similarity", "license", "inherited_from")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
