@@ -290,6 +290,24 @@ o AS (SELECT p.doc_id, p.page_number, regexp_replace(coalesce(t, ''), '^\\s+|\\s
 SELECT doc_id, page_number, CAST(length(t) AS INTEGER) AS kept, md5(t) AS text_md5 FROM o
 """
 
+# a phrase of three words of three letters or more that comes again later in its line: what a back-reference finds
+_SAID_TWICE = """len(list_filter(range(1, len(w) - 1), lambda j: regexp_matches(w[j], '(?:^|[^0-9A-Za-z_])[A-Za-z]{3,}$') AND regexp_matches(w[j + 1], '^[A-Za-z]{3,}$') AND regexp_matches(w[j + 2], '^[A-Za-z]{3,}(?:[^0-9A-Za-z_]|$)')
+  AND regexp_matches(array_to_string(list_prepend(regexp_replace(w[j + 2], '^[A-Za-z]+', ''), w[j + 3:]), ' '), '(?i)(?:^|[^0-9A-Za-z_])' || regexp_extract(w[j], '[A-Za-z]+$') || ' ' || w[j + 1] || ' ' || regexp_extract(w[j + 2], '^[A-Za-z]+') || '(?:[^0-9A-Za-z_]|$)'))) > 0"""
+_LABELS = " + ".join("len(regexp_extract_all(s, '(?i)" + p + "'))" for p in pages.LABELS)
+PAGE_MODES_SQL = f"""
+WITH p AS ({_PAGES}),
+l AS (SELECT doc_id, page_number, string_split(text, chr(10)) AS lines FROM p),
+x AS (SELECT doc_id, page_number, len(lines) - 1 AS last, unnest(range(len(lines))) AS i, unnest(lines) AS raw FROM l),
+n AS (SELECT *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM x),
+b AS (SELECT *, string_split(s, ' ') AS w, {_LABELS} AS labels, len(regexp_extract_all(s, '[·|]')) AS bars FROM n),
+v AS (SELECT doc_id, page_number, count(*) FILTER (WHERE length(s) >= {pages.SUSPICIOUS_LENGTH} AND (labels >= 2 OR (bars >= 4 AND labels >= 1) OR {_SAID_TWICE})) >= {pages.SUSPICIOUS_LINES} AS bad,
+             string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE s = '' OR NOT ({_PAGE_LINE} OR (NOT {_line_test([pages.PROTECTED])} AND i >= last - {pages.LAST_LINES - 1} AND {_FOOTER}))) AS t FROM b GROUP BY doc_id, page_number),
+k AS (SELECT v.doc_id, length(trim(regexp_replace(coalesce(t, ''), '^\\s+|\\s+$', '', 'g'))) AS kept, bad, length(p.text) AS raw, length(regexp_replace(p.text, '\\s', '', 'g')) AS chars FROM v JOIN p ON p.doc_id = v.doc_id AND p.page_number = v.page_number),
+d AS (SELECT doc_id, sum(kept) AS total, count(*) AS n, count(*) FILTER (WHERE kept < {pages.WEAK_PAGE}) AS weak, sum(raw) AS raw, bool_or(bad) AS bad, sum(chars) AS chars FROM k GROUP BY doc_id),
+g AS (SELECT *, total >= {pages.LEAST_TOTAL} AND total / n >= {pages.LEAST_AVERAGE} AND weak <= n // 2 AND NOT (raw > 0 AND total / greatest(raw, 1) < {pages.LEAST_SHARE}) AS usable FROM d)
+SELECT doc_id, usable AS coverage_usable, NOT bad AS semantic_usable, CASE WHEN chars >= {pages.LEAST_TEXT_LAYER} AND usable AND NOT bad THEN 'A' ELSE 'B' END AS mode FROM g
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scrub_documents": scrub_documents,
     "hits_by_key": hits_by_key,
@@ -316,6 +334,7 @@ ORACLES: dict[str, str] = {
     "page_offsets": OFFSETS_SQL,
     "language_routes": LANGUAGE_ROUTES_SQL,
     "clean_pages": CLEAN_PAGES_SQL,
+    "page_modes": PAGE_MODES_SQL,
     "masked_fixed": MASKED_FIXED_SQL,
     **{f"scrub_texts_{lang}": scrub_texts_sql(lang) for lang in PACKS},
     **{f"rule_matches_{lang}": rule_matches_sql(lang) for lang in PACKS},
