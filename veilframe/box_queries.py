@@ -139,14 +139,14 @@ UNION ALL SELECT * FROM o WHERE key <> 'money'
 
 def manual_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles that a user drags in any direction over the pages of orders; those under six pixels are clicks."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    lines = table(spark, sf_dir, "lineitem")
     drags = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("l_partkey") % 500).alias("x"), (F.col("l_linenumber") * 50).alias("y"), (F.col("l_suppkey") % 41 - 20).alias("w"), (F.col("l_quantity").cast("int") - 25).alias("h"))
     none = geometry.numbered(order_boxes(spark, sf_dir)).where("false").drop("rect_id")
     return geometry.with_manual(none, drags)
 
 
 MANUAL_SQL = """
-WITH d AS (SELECT l_orderkey AS doc_id, 1 AS page_number, l_partkey % 500 AS x, l_linenumber * 50 AS y, l_suppkey % 41 - 20 AS w, CAST(l_quantity AS INTEGER) - 25 AS h FROM lineitem WHERE l_linenumber <= 2),
+WITH d AS (SELECT l_orderkey AS doc_id, 1 AS page_number, l_partkey % 500 AS x, l_linenumber * 50 AS y, l_suppkey % 41 - 20 AS w, CAST(l_quantity AS INTEGER) - 25 AS h FROM lineitem),
 u AS (SELECT doc_id, page_number, CAST(least(x, x + w) AS DOUBLE) AS x, CAST(least(y, y + h) AS DOUBLE) AS y, CAST(abs(w) AS DOUBLE) AS w, CAST(abs(h) AS DOUBLE) AS h FROM d WHERE abs(w) >= 6 AND abs(h) >= 6)
 SELECT doc_id, page_number, 'manual_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, x, w, h) AS VARCHAR), 6, '0') AS id, 'manual_rect' AS key, x, y, w, h FROM u
 """

@@ -195,7 +195,11 @@ def settled(hits: Column, text: Column | None = None, mask: Callable[[Column], C
     told = F.struct(column(lambda h: h["source"] != "manual").alias("late"), column(lambda h: h["ord"]).alias("order"), column(lambda h: h["start"]).alias("start"), column(lambda h: h["end"]).alias("end"), column(mask).alias("mask"))
     spark = SparkSession.active()
     kind = "struct<kept:array<int>,starts:array<int>,ends:array<int>,masked:string>"
-    return arrow_function(spark, _settled, kind, _SETTLED)(F.lit("") if text is None else text, F.when(hits.isNotNull(), told))
+    whole, some = F.lit("") if text is None else text, F.size(hits) > 0
+    none = F.array().cast("array<int>")
+    # a text without hits is its own result and does not go to the workers
+    done = arrow_function(spark, _settled, kind, _SETTLED)(F.when(some, whole), F.when(some, told))
+    return F.when(F.size(hits) == 0, F.struct(none.alias("kept"), none.alias("starts"), none.alias("ends"), whole.alias("masked"))).otherwise(done)
 
 
 def resolve(hits: Column) -> Column:

@@ -31,9 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a table of very few files over the cores: such a file may be one row group and so one task.  Larger tables stay where they are."""
+    """Deals the rows of a table whose scan has fewer tasks than there are cores over the cores.  Larger tables stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
@@ -65,7 +65,7 @@ def plain_rules(lang: str) -> dict[str, tuple[str, int]]:
 
 
 def rule_matches(lang: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Hits of each rule before conflicts: ``doc_id, key, n, first_value, last_value``."""
+    """Hits before conflicts of each rule whose pattern SQL can run, too: ``doc_id, key, n, first_value, last_value``.  (``rule_samples_*`` and the tests' plain model have all rules.)"""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = list(plain_rules(lang))
