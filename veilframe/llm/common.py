@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``; a temporary one only where neither is set (tests, one machine)."""
+    """The shared folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``; where neither is set, a temporary one on a local master (tests) and an error on a cluster, whose machines share no such folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
