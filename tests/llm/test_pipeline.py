@@ -61,3 +61,38 @@ def test_near_dedup_by_similarity(spark):
     got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(r[0] for r in got if r[0] is not None) == sorted([900, *(k for k, _ in data if k % 3 != 1)])
     assert len([r for r in got if r[0] is None]) == 2 and ("ab ce" in {r[1] for r in got})
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    """Every stage gives the same rows whatever other columns stand beside, and nothing for nothing."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    texts = [None, "", " \n", *[text(40) for _ in range(6)], "password = abcdEFGH1234zz " + text(30)]
+    texts += [texts[4], texts[4] + " more"]
+    rows = [(k if k != 5 else None, t, [None, "en"][k % 2], [None, "s"][k % 2], None) for k, t in enumerate(texts)] + [(4, texts[4], "en", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ["key", "row", "size", "kept", "hash", "ids", "n", "root", "node", "fp", "bucket", "path", "spans", "owned", "rank", "copies"]
+    plain = spark.createDataFrame(rows, schema)
+    wide = spark.createDataFrame([(*r, *[f"x{k}" for k in range(len(clash))]) for r in rows], schema + "".join(f", {c} string" for c in clash))
+    for _, stage in corpus_pipeline.STAGES:
+        base, more = stage(spark, plain, ""), stage(spark, wide, "")
+        told = lambda df: sorted((tuple(r) for r in df.select("doc_id", *[c for c in ("text", "length") if c in df.columns]).collect()), key=repr)
+        assert told(base) == told(more)
+        assert more.columns == (wide.columns if "text" in more.columns else base.columns)
+        assert stage(spark, plain.where("false"), "").count() == 0
+
+
+def test_run_stores_each_stage(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60))
+    rows = [(k, text(), "en", f"s{k % 2}", 1) for k in range(24)]
+    rows += [(100, rows[3][1], "en", "s1", 1), (101, "short", "en", "s0", 1), (102, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= set(range(24)) and len({r.doc_id for r in got}) > 10
+    used = {}
+    for r in got:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in used.values():
+        pieces.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False)) and pieces[0][0] == 0
