@@ -115,6 +115,11 @@ def joined_text(items: Column) -> Column:
     return F.array_join(F.filter(F.transform(items, lambda it: it["str"]), lambda s: s != ""), " ")
 
 
+def with_item_text(pages: DataFrame) -> DataFrame:
+    """Pages (``text, items``) whose empty or null ``text`` is the joined text of their items; other pages and columns stay."""
+    return pages.withColumn("text", F.coalesce(F.nullif(F.col("text"), F.lit("")), joined_text(F.coalesce("items", F.array().cast(pages.schema["items"].dataType))), F.lit("")))
+
+
 def document_text(pages: DataFrame) -> DataFrame:
     """``doc_id, text``: non-empty pages in order, a blank line between."""
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
