@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import cascade, pages, spans
 from veilframe.operators.scrub import match
 from veilframe.plans.config import ScrubConfig
-from veilframe.sources import readers
+from veilframe.sources import match_results, readers
 
 
 @pytest.mark.parametrize("kind", ["parquet", "json", "csv", "orc"])
@@ -58,3 +58,22 @@ def test_sequential_mode_leaves_no_marks(spark, lang, text):
     got = {r.doc_id: r.text_masked for r in cascade.scrub_sequential(docs, ScrubConfig(lang=lang, terms=("stays",))).collect()}
     assert got[2] in (None, "") and "[Name]" in got[3] and "【敏感】" in got[3] and "stays" not in got[3]
     assert got[1] != text and not any(0xE000 <= ord(c) <= 0xF8FF or ord(c) < 9 for c in got[1])
+
+
+def test_stored_results_and_pages(spark):
+    rows = [
+        (1, '{"version":"","lang":"EN","hits":[{"id":"h1","key":"email","page":2,"start":3,"end":9,"text":"a@b.cd","rects":[{"x":1,"y":2,"w":3,"h":4}]},{"key":"x"},null]}'),
+        (2, '{"lang":"fr","hits":null}'), (3, "no json"), (4, None), (5, "[]"),
+    ]
+    got = [(r.doc_id, r.version, r.source, r.lang, r.id, r.key, r.page, r.start, r.end, r.text, len(r.rects)) for r in match_results.results(spark.createDataFrame(rows, "doc_id int, result string")).orderBy("end").collect()]
+    assert got == [(1, "match-result-v1", "matcher-core", "en", "", "x", None, 0, 0, "", 0), (1, "match-result-v1", "matcher-core", "en", "h1", "email", 2, 3, 9, "a@b.cd", 1)]
+    pages_ = [(1, '[{"pageNumber":7,"items":[{"str":"a","transform":[1,2,3,4,5,6,7],"width":2,"hasEOL":true},{}]},{"items":null}]'), (2, "?"), (3, None)]
+    told = match_results.paged_items(spark.createDataFrame(pages_, "doc_id int, pages string")).orderBy("page_number").collect()
+    assert [(r.doc_id, r.page_number, [(i.str, i.transform, i.width, i.height, i.hasEOL) for i in r["items"]]) for r in told] == [(1, 2, []), (1, 7, [("a", [1, 2, 3, 4, 5, 6], 2, 0, True), ("", [1, 0, 0, 1, 0, 0], 0, 0, False)])]
+
+
+def test_results_written_and_read_again(spark):
+    docs = spark.createDataFrame([(1, "😀 mail bob@site.org now"), (2, "nothing")], "doc_id int, text string")
+    done = match(docs, ScrubConfig(lang="en"))
+    back = match_results.results(match_results.to_results(done, F.lit("en"))).collect()
+    assert [(r.doc_id, r.key, r.start, r.end, r.text, r.masked) for r in back] == [(1, "email", 8, 20, "bob@site.org", "[Email]")]

@@ -11,6 +11,7 @@ from .functions import pattern_table
 from .operators import attempts, pages, scrub, sessions, spans
 from .plans.config import ScrubConfig, plan_rules, term_rules
 from .queries import CLEAN_PAGES_SQL, detection_sql, paged_conversations, table
+from .sources import match_results
 
 
 def language_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,36 @@ WITH h AS (SELECT doc_id, lang, source, 'email' AS key, len(regexp_extract_all(t
 SELECT lang, source, key, CAST(grouping(lang, source, key) AS BIGINT) AS level, CAST(sum(n) AS BIGINT) AS hits, count(DISTINCT doc_id) AS documents FROM h WHERE n > 0 GROUP BY ROLLUP (lang, source, key)
 """
 
+#: Order lines as hit records of several makes, by the line's number; SQL text that both engines read.
+RECORDS = """CASE l_linenumber
+  WHEN 1 THEN '{"key":"k' || l_suppkey % 3 || '","a":' || l_partkey % 50 || ',"b":' || (l_partkey % 50 + l_suppkey % 9) || ',"id":"h' || l_orderkey || '"}'
+  WHEN 2 THEN '{"ruleKey":"r","start":' || l_partkey % 50 || ',"end":' || (l_partkey % 50 + 3) || ',"preferSub":{"offsetStart":1,"offsetEnd":2}}'
+  WHEN 3 THEN '{"type":"t","from":-' || l_partkey % 5 || ',"to":' || l_suppkey % 7 || '}'
+  WHEN 4 THEN '{"key":' || l_partkey || ',"type":"number before","index":' || l_partkey % 50 || ',"len":' || l_suppkey % 4 || '}'
+  WHEN 5 THEN '{"key":"","a":1,"b":2}'
+  WHEN 6 THEN '{"key":"broken","a":1,"b":'
+  ELSE '{"key":"text place","a":"1","start":2.5,"b":null,"end":7.5}' END"""
+
+
+def hit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of stored hit records that name their fields in different ways; unusable ones are left out."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(RECORDS).alias("record"))
+    return match_results.hit_spans(lines)
+
+
+def _first(kind: str, names: tuple[str, ...], cast: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(j, '$.{n}') IN ({kind}) THEN CAST(json_extract_string(j, '$.{n}') AS {cast}) END" for n in names) + ")"
+
+
+_NUMBERS = "'BIGINT', 'UBIGINT', 'DOUBLE'"
+HIT_RECORDS_SQL = f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN json_valid({RECORDS}) THEN {RECORDS} END AS j FROM lineitem),
+s AS (SELECT l_orderkey, l_linenumber, j, coalesce({_first("'VARCHAR'", match_results.KEY_NAMES, "VARCHAR")}, '') AS key, {_first(_NUMBERS, match_results.START_NAMES, "DOUBLE")} AS a, {_first(_NUMBERS, match_results.END_NAMES, "DOUBLE")} AS b0, {_first(_NUMBERS, ("len",), "DOUBLE")} AS n FROM r WHERE j IS NOT NULL),
+e AS (SELECT *, coalesce(b0, a + n) AS b FROM s)
+SELECT l_orderkey, l_linenumber, key, CAST(trunc(greatest(a, 0)) AS INTEGER) AS a, CAST(trunc(greatest(b, 0)) AS INTEGER) AS b, CAST(json_extract(j, '$.preferSub.offsetStart') AS INTEGER) AS part_a, CAST(json_extract(j, '$.preferSub.offsetEnd') AS INTEGER) AS part_b, coalesce(json_extract_string(j, '$.id'), '') AS id
+FROM e WHERE key <> '' AND b > a
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_locks": language_locks,
     "chosen_languages": chosen_languages,
@@ -123,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attempt_counts": attempt_counts,
     "pattern_places": pattern_places,
     "hit_totals": hit_totals,
+    "hit_records": hit_records,
 }
 ORACLES: dict[str, str] = {
     "language_locks": LANGUAGE_LOCKS_SQL,
@@ -131,4 +163,5 @@ ORACLES: dict[str, str] = {
     "attempt_counts": ATTEMPT_COUNTS_SQL,
     "pattern_places": PATTERN_PLACES_SQL,
     "hit_totals": HIT_TOTALS_SQL,
+    "hit_records": HIT_RECORDS_SQL,
 }
