@@ -205,6 +205,13 @@ def test_simhash(spark, docs, none, rows, node):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 2, 10_000])
+def test_hot_fingerprints_keep_their_rows(spark, docs, rows, monkeypatch, hot):
+    want = sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=repr) == want and len(want) == len(rows)
+
+
 def test_trie_join_on_dense_fingerprints(spark):
     rng = random.Random(5)
     centre = [rng.getrandbits(64) for _ in range(6)]

@@ -141,9 +141,11 @@ def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None
 
 
 def judged(found: DataFrame) -> DataFrame:
-    owned = owned_spans(found)
-    same = F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash"))
-    joined = found.join(owned.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), "owned"), same, "left")
+    owned = owned_spans(found).select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), "owned", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("o_part"))
+    same = F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash")) & (F.col("part") == F.col("o_part"))
+    # rows without candidates take no part; of the others, those of one id and text are dealt over salts
+    some = found.where(F.size("more") > 0).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = some.join(owned, same, "left").select(*found.columns, "owned").unionByName(found.where(F.size("more") <= 0), allowMissingColumns=True)
     extra = F.coalesce("owned", F.array().cast(SPAN))
     order = lambda s: F.struct(s["start"], F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["end"], s["kind"], s["value_hash"])
     back = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value_hash"].alias("value_hash"))

@@ -19,6 +19,8 @@ SHINGLE, SEED, BUDGET = 4, 42, 4
 FIELDS = (13, 13, 13, 13, 12)
 #: Fingerprints that a trie node may have before it is split, and that one step of a task takes.
 NODE, STEP = 20_000, 50_000
+#: A fingerprint is hot from so many rows, or a share of all rows that leaves so many hot ones at most.
+HOT_ROWS, MOST_HOT = 10_000, 10_000
 #: Node pairs that a traversal holds at once; pairs of nodes with so few leaf pairs are compared leaf by leaf.
 FRONTIER, LEAF_PAIRS = 400_000, 32
 
@@ -221,20 +223,23 @@ def near_duplicates(docs: DataFrame, node: int = NODE) -> DataFrame:
     empty table gives an empty result; further columns are ignored.
     """
     found, ids = _components(docs, node)
-    # few fingerprints stand for other ids than their rows' own, but a hot one can be a third of all rows: the join is left to adaptive skew handling
-    out = found.join(ids, "fp")
+    # a fingerprint of very many rows takes its component from a broadcast of at most ``MOST_HOT`` rows, so no task gets all its rows
+    most = max(HOT_ROWS, found.count() // MOST_HOT)
+    hot = F.broadcast(ids.where(F.col("n") > most).select("fp", "component_id"))
+    cool = found.join(hot.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") <= most).select("fp", "component_id"), "fp")
+    out = found.join(hot, "fp").select("doc_id", "fp", "component_id").unionByName(cool.select("doc_id", "fp", "component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _components(docs: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
-    """All rows' :func:`fingerprints`, and ``fp, root, component_id`` of the distinct fingerprints."""
+    """All rows' :func:`fingerprints`, and ``fp, root, component_id, n`` of the distinct fingerprints (``n``: their rows)."""
     found = stored(fingerprints(docs), "fingerprints")
-    reps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    reps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = stored(connected(links(reps.select("fp"), node)), "roots")
     linked = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(smallest, "root").select("fp", "root", "component_id")
-    ids = reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    ids = reps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"), "n")
     return found, stored(ids, "components")
 
 
