@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -60,6 +61,26 @@ def test_transducer_equals_library(library):
     assert [ids_of(vocabulary())(t).tolist() for t in texts] == want
 
 
+def test_ids_equal_the_library_on_every_code_point(library):
+    encode = ids_of(vocabulary())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, points[k : k + 64])) for k in range(0, len(points), 64 * 16)] + [" ".join(map(chr, points[k : k + 64])) for k in range(0, 0x10000, 64) if k < len(points)]
+    for got, want in zip(map(encode, texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == want.ids
+
+
+def test_vocabularies_out_of_merge_order_are_refused(tmp_path):
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    (a, b), (c, d) = pairs[10], pairs[500]
+    held = spec["model"]["vocab"]
+    held[a + b], held[c + d] = held[c + d], held[a + b]
+    (tmp_path / "odd.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="order of merges"):
+        ids_of(str(tmp_path / "odd.json"))
+
+
 def test_token_counts(docs, none, rows, library):
     got = collections.Counter(tuple(r) for r in token_counts.count_tokens(docs).collect())
     want = collections.Counter((r[0], len((r[1] or "").encode()), n := len(ids(library, r[1])), n > 1024) for r in rows)

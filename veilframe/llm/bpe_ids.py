@@ -26,6 +26,10 @@ class Ids:
         plain = BpeTransducer._alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         ranks = {bytes(plain[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+        pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in pairs]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError(f"{path}: ids are not in the order of merges, which ranks them here")
         self.special = set(special)
         self.largest = max([*ranks.values(), *special.values()])
         self.whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
