@@ -3,6 +3,48 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
+
+
+class Width(NamedTuple):
+    """Width limits of a key group."""
+
+    #: share of the page's width at most
+    page: float
+    #: share of the estimated width at most
+    estimate: float
+    #: ratio to the estimate beyond which a width is implausible, and the ratio that replaces it
+    implausible: float
+    instead: float
+
+
+class Pad(NamedTuple):
+    """Padding: shares of a box's width and height, and at least so many pixels."""
+
+    wide: float
+    high: float
+    least_x: float
+    least_y: float
+
+
+class Font(NamedTuple):
+    """Height of a font: factor, least and most; width of a character as a share of it."""
+
+    factor: float
+    least: float
+    most: float
+    character: float
+
+
+class Special(NamedTuple):
+    """A key's own widths: a factor, the most as shares of page and estimate, the least as shares of estimate and page."""
+
+    factor: float
+    page_most: float
+    estimate_most: float
+    estimate_least: float
+    page_least: float
+
 
 # Longest span of each key (others 120).
 LONGEST = {
@@ -11,11 +53,18 @@ LONGEST = {
     "address_en_extra_block": 120, "address_en_extra": 120, "address_cn": 120, "handle": 70, "ref": 70, "title": 70, "money": 50, "money_label": 50, "number": 50,
 }
 # Width limits of each key group: share of the page, of the estimate, ratio to the estimate beyond which a width is implausible, and what replaces it.
-WIDTHS = {"default": (0.24, 1.28, 1.90, 1.08), "longValue": (0.42, 1.70, 2.20, 1.22), "address": (0.50, 1.80, 2.50, 1.35), "money": (0.26, 1.35, 1.85, 1.08), "manual_term": (0.34, 1.55, 2.10, 1.20)}
+WIDTHS = {
+    "default": Width(page=0.24, estimate=1.28, implausible=1.9, instead=1.08),
+    "longValue": Width(page=0.42, estimate=1.7, implausible=2.2, instead=1.22),
+    "address": Width(page=0.5, estimate=1.8, implausible=2.5, instead=1.35),
+    "money": Width(page=0.26, estimate=1.35, implausible=1.85, instead=1.08),
+    "manual_term": Width(page=0.34, estimate=1.55, implausible=2.1, instead=1.2),
+}
 # Padding as a share of width and height, and at least so many pixels.
-PAD = (0.0022, 0.020, 0.22, 0.34)
+PAD = Pad(wide=0.0022, high=0.02, least_x=0.22, least_y=0.34)
 # Font height factor, least and most, and width of a character as a share of it, for items and for rectangles.
-ITEM_FONT, RECT_FONT = (1.08, 6.0, 96.0, 0.72), (1.10, 6.0, 104.0, 0.82)
+ITEM_FONT = Font(factor=1.08, least=6.0, most=96.0, character=0.72)
+RECT_FONT = Font(factor=1.1, least=6.0, most=104.0, character=0.82)
 SHORT_TOKEN, ITEM_CAP = 1.10, 1.18
 # Shares from which a covered item is covered whole, by language.
 COVER = {"en": 0.90, "": 0.72}
@@ -29,7 +78,7 @@ class BoxTuning:
     longest: dict[str, int] = field(default_factory=lambda: dict(LONGEST))
     groups: dict[str, str] = field(default_factory=dict)
     labels: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    pads: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
+    pads: dict[str, Pad] = field(default_factory=dict)
     whole: tuple[str, ...] = ()
     keep_label: tuple[str, ...] = ()
     #: keys whose preferred part is not looked at
@@ -37,81 +86,229 @@ class BoxTuning:
     cover: float = COVER[""]
     down: float = 3.0
     trim: float = 2.0
-    widths: dict[str, tuple[float, float, float, float]] = field(default_factory=lambda: dict(WIDTHS))
-    pad: tuple[float, float, float, float] = PAD
-    #: keys with widths of their own: factor of the width, most as share of the page and of the estimate, least as share of the estimate and of the page
-    special: dict[str, tuple[float, float, float, float, float]] = field(default_factory=dict)
+    widths: dict[str, Width] = field(default_factory=lambda: dict(WIDTHS))
+    pad: Pad = PAD
+    #: keys with widths of their own
+    special: dict[str, Special] = field(default_factory=dict)
     collapse: tuple[str, ...] = ()
     #: keys whose boxes join only when they touch
     strict: tuple[str, ...] = ()
 
 
-# Fixed values of the languages' packs, for pages drawn at print density.  Widths, padding and groups of keys as above; ``special`` as in BoxTuning.
-_NAME_PAD, _PLAIN = (0.0020, 0.030, 0.25, 0.55), (0.0040, 0.030, 0.0, 0.0)
-_EN_WIDTHS = {"default": (0.30, 1.45, 2.2, 1.15), "longValue": (1.00, 3.00, 2.8, 1.60), "address": (0.75, 2.40, 3.2, 1.70), "money": (0.35, 1.80, 2.2, 1.15), "manual_term": (0.40, 1.80, 2.2, 1.15)}
-_LONGER = {
-    "manual_term": 90, "person_name": 40, "person_name_keep_title": 40, "account_holder_name_keep_title": 40, "company": 70, "email": 90, "phone": 60, "account": 90, "bank": 140,
-    "address_en_inline_street": 160, "address_en_extra_block": 160, "address_en_extra": 160, "handle": 90, "ref": 90, "title": 90, "money": 70, "money_label": 70, "number": 70,
-}
-_LONGER_PLACES = {"address_de_street": 160, "address_de_postal": 160, "address_de_street_partial": 160, "address_de_extra_partial": 160, "address_de_inline_street": 160, "address_cn": 160}
-_ZH_NAME, _ZH_LINE, _ZH_REF, _ZH_ACCOUNT, _ZH_MONEY, _ZH_BLOCK = (0.0005, 0.014, 0.5, 0.24), (0.0022, 0.020, 0.24, 0.34), (0.006, 0.005, 0.6, 0.05), (0.0040, 0.005, 0.40, 0.05), (0.0018, 0.018, 0.18, 0.30), (0.0040, 0.014, 8.0, 0.24)
-_ZH_MONEY_KEYS = ("money", "money_label", "money_cn_inline_label", "money_label_currency_zh")
+# Fixed values of the languages' packs, for pages drawn at print density, each key with its own; fields as above.
 LANGUAGES: dict[str, dict] = {
     "en": {
         "ignore_part": (
-            "person_name", "person_name_keep_title", "account_holder_name_keep_title", "company", "account", "phone", "money", "money_label", "address_en_inline_street", "address_en_street_line", "address_en_extra_block",
-            "address_en_extra", "handle_label",
+            "person_name", "person_name_keep_title", "account_holder_name_keep_title", "company", "account", "phone", "money", "money_label", "address_en_inline_street",
+            "address_en_street_line", "address_en_extra_block", "address_en_extra", "handle_label",
         ),
-        "longest": _LONGER, "widths": _EN_WIDTHS, "down": 30.0, "trim": 30.0, "cover": COVER["en"], "pad": (0.004, 0.035, 0.5, 0.70),
+        "longest": {
+            "manual_term": 90,
+            "person_name": 40,
+            "person_name_keep_title": 40,
+            "account_holder_name_keep_title": 40,
+            "company": 70,
+            "email": 90,
+            "phone": 60,
+            "account": 90,
+            "bank": 140,
+            "address_en_inline_street": 160,
+            "address_en_extra_block": 160,
+            "address_en_extra": 160,
+            "handle": 90,
+            "ref": 90,
+            "title": 90,
+            "money": 70,
+            "money_label": 70,
+            "number": 70,
+        },
+        "widths": {
+            "default": Width(page=0.3, estimate=1.45, implausible=2.2, instead=1.15),
+            "longValue": Width(page=1.0, estimate=3.0, implausible=2.8, instead=1.6),
+            "address": Width(page=0.75, estimate=2.4, implausible=3.2, instead=1.7),
+            "money": Width(page=0.35, estimate=1.8, implausible=2.2, instead=1.15),
+            "manual_term": Width(page=0.4, estimate=1.8, implausible=2.2, instead=1.15),
+        },
+        "down": 30.0,
+        "trim": 30.0,
+        "cover": 0.9,
+        "pad": Pad(wide=0.004, high=0.035, least_x=0.5, least_y=0.7),
         "pads": {
-            "person_name": _NAME_PAD, "company": (0.004, 0.032, 0.50, 0.60), "manual_term": (0.004, 0.035, 0.55, 0.65), "uuid": (0.006, 0.045, 0.8, 0.75), "ip_address": (0.006, 0.045, 0.7, 0.75),
-            "wallet_id": (0.006, 0.045, 0.7, 0.75), "email": _PLAIN, "phone": _PLAIN, "account": _PLAIN, "money": _PLAIN,
+            "person_name": Pad(wide=0.002, high=0.03, least_x=0.25, least_y=0.55),
+            "company": Pad(wide=0.004, high=0.032, least_x=0.5, least_y=0.6),
+            "manual_term": Pad(wide=0.004, high=0.035, least_x=0.55, least_y=0.65),
+            "uuid": Pad(wide=0.006, high=0.045, least_x=0.8, least_y=0.75),
+            "ip_address": Pad(wide=0.006, high=0.045, least_x=0.7, least_y=0.75),
+            "wallet_id": Pad(wide=0.006, high=0.045, least_x=0.7, least_y=0.75),
+            "email": Pad(wide=0.004, high=0.03, least_x=0.0, least_y=0.0),
+            "phone": Pad(wide=0.004, high=0.03, least_x=0.0, least_y=0.0),
+            "account": Pad(wide=0.004, high=0.03, least_x=0.0, least_y=0.0),
+            "money": Pad(wide=0.004, high=0.03, least_x=0.0, least_y=0.0),
         },
     },
     "de": {
         "ignore_part": (
-            "ref_generic_tail_de", "id_label_tail", "aktenzeichen_tail", "legal_ref_tail", "cust_id", "person_name_keep_title", "account_holder_name_keep_title", "person_name", "company", "account", "phone", "money", "money_label",
-            "address_de_inline_street", "address_de_street_partial", "address_de_extra_partial", "klingel_name", "handle_label",
+            "ref_generic_tail_de", "id_label_tail", "aktenzeichen_tail", "legal_ref_tail", "cust_id", "person_name_keep_title", "account_holder_name_keep_title", "person_name", "company",
+            "account", "phone", "money", "money_label", "address_de_inline_street", "address_de_street_partial", "address_de_extra_partial", "klingel_name", "handle_label",
         ),
-        "longest": _LONGER | _LONGER_PLACES, "widths": _EN_WIDTHS | {"longValue": (0.55, 2.20, 2.8, 1.60), "address": (0.60, 2.10, 3.2, 1.70)}, "down": 30.0, "trim": 30.0, "pad": (0.0050, 0.045, 0.55, 0.75),
-        "pads": {"person_name": _NAME_PAD, "person_name_keep_title": _NAME_PAD, "account_holder_name_keep_title": _NAME_PAD, "company": (0.0045, 0.032, 0.55, 0.60), "manual_term": (0.0040, 0.035, 0.55, 0.65)},
+        "longest": {
+            "manual_term": 90,
+            "person_name": 40,
+            "person_name_keep_title": 40,
+            "account_holder_name_keep_title": 40,
+            "company": 70,
+            "email": 90,
+            "phone": 60,
+            "account": 90,
+            "bank": 140,
+            "address_en_inline_street": 160,
+            "address_en_extra_block": 160,
+            "address_en_extra": 160,
+            "handle": 90,
+            "ref": 90,
+            "title": 90,
+            "money": 70,
+            "money_label": 70,
+            "number": 70,
+            "address_de_street": 160,
+            "address_de_postal": 160,
+            "address_de_street_partial": 160,
+            "address_de_extra_partial": 160,
+            "address_de_inline_street": 160,
+            "address_cn": 160,
+        },
+        "widths": {
+            "default": Width(page=0.3, estimate=1.45, implausible=2.2, instead=1.15),
+            "longValue": Width(page=0.55, estimate=2.2, implausible=2.8, instead=1.6),
+            "address": Width(page=0.6, estimate=2.1, implausible=3.2, instead=1.7),
+            "money": Width(page=0.35, estimate=1.8, implausible=2.2, instead=1.15),
+            "manual_term": Width(page=0.4, estimate=1.8, implausible=2.2, instead=1.15),
+        },
+        "down": 30.0,
+        "trim": 30.0,
+        "pad": Pad(wide=0.005, high=0.045, least_x=0.55, least_y=0.75),
+        "pads": {
+            "person_name": Pad(wide=0.002, high=0.03, least_x=0.25, least_y=0.55),
+            "person_name_keep_title": Pad(wide=0.002, high=0.03, least_x=0.25, least_y=0.55),
+            "account_holder_name_keep_title": Pad(wide=0.002, high=0.03, least_x=0.25, least_y=0.55),
+            "company": Pad(wide=0.0045, high=0.032, least_x=0.55, least_y=0.6),
+            "manual_term": Pad(wide=0.004, high=0.035, least_x=0.55, least_y=0.65),
+        },
     },
     "zh": {
-        "longest": _LONGER | _LONGER_PLACES, "widths": {"longValue": (0.50, 2.00, 2.20, 1.22)}, "down": 25.0, "trim": 20.0, "pad": (0.0030, 0.010, 0.30, 0.10),
+        "longest": {
+            "manual_term": 90,
+            "person_name": 40,
+            "person_name_keep_title": 40,
+            "account_holder_name_keep_title": 40,
+            "company": 70,
+            "email": 90,
+            "phone": 60,
+            "account": 90,
+            "bank": 140,
+            "address_en_inline_street": 160,
+            "address_en_extra_block": 160,
+            "address_en_extra": 160,
+            "handle": 90,
+            "ref": 90,
+            "title": 90,
+            "money": 70,
+            "money_label": 70,
+            "number": 70,
+            "address_de_street": 160,
+            "address_de_postal": 160,
+            "address_de_street_partial": 160,
+            "address_de_extra_partial": 160,
+            "address_de_inline_street": 160,
+            "address_cn": 160,
+        },
+        "widths": {
+            "longValue": Width(page=0.5, estimate=2.0, implausible=2.2, instead=1.22),
+        },
+        "down": 25.0,
+        "trim": 20.0,
+        "pad": Pad(wide=0.003, high=0.01, least_x=0.3, least_y=0.1),
         "pads": {
-            "person_name": _ZH_NAME, "person_name_keep_title": _ZH_NAME, "account_holder_name_keep_title": _ZH_NAME, "company": (0.0025, 0.022, 0.28, 0.36), "company_label_inline_zh": (0.0023, 0.020, 0.24, 0.34),
-            "company_label_inline_zh_no_colon": (0.0023, 0.020, 0.24, 0.34), "phone": _ZH_LINE, "email": _ZH_LINE, "account": _ZH_ACCOUNT, "account_cn_inline": _ZH_ACCOUNT, "ref_label_tail": _ZH_REF, "ref_inline_zh": _ZH_REF,
-            **dict.fromkeys(_ZH_MONEY_KEYS, _ZH_MONEY), "address_inline_zh": (0.0035, 0.014, 10.0, 0.24), "place_of_birth": _ZH_BLOCK, "license_plate": _ZH_BLOCK, "license_plate_inline_zh": _ZH_BLOCK,
-            "security_answer": _ZH_BLOCK, "secret_inline_zh": _ZH_BLOCK, "manual_term": (0.0030, 0.024, 0.30, 0.40),
+            "person_name": Pad(wide=0.0005, high=0.014, least_x=0.5, least_y=0.24),
+            "person_name_keep_title": Pad(wide=0.0005, high=0.014, least_x=0.5, least_y=0.24),
+            "account_holder_name_keep_title": Pad(wide=0.0005, high=0.014, least_x=0.5, least_y=0.24),
+            "company": Pad(wide=0.0025, high=0.022, least_x=0.28, least_y=0.36),
+            "company_label_inline_zh": Pad(wide=0.0023, high=0.02, least_x=0.24, least_y=0.34),
+            "company_label_inline_zh_no_colon": Pad(wide=0.0023, high=0.02, least_x=0.24, least_y=0.34),
+            "phone": Pad(wide=0.0022, high=0.02, least_x=0.24, least_y=0.34),
+            "email": Pad(wide=0.0022, high=0.02, least_x=0.24, least_y=0.34),
+            "account": Pad(wide=0.004, high=0.005, least_x=0.4, least_y=0.05),
+            "account_cn_inline": Pad(wide=0.004, high=0.005, least_x=0.4, least_y=0.05),
+            "ref_label_tail": Pad(wide=0.006, high=0.005, least_x=0.6, least_y=0.05),
+            "ref_inline_zh": Pad(wide=0.006, high=0.005, least_x=0.6, least_y=0.05),
+            "money": Pad(wide=0.0018, high=0.018, least_x=0.18, least_y=0.3),
+            "money_label": Pad(wide=0.0018, high=0.018, least_x=0.18, least_y=0.3),
+            "money_cn_inline_label": Pad(wide=0.0018, high=0.018, least_x=0.18, least_y=0.3),
+            "money_label_currency_zh": Pad(wide=0.0018, high=0.018, least_x=0.18, least_y=0.3),
+            "address_inline_zh": Pad(wide=0.0035, high=0.014, least_x=10.0, least_y=0.24),
+            "place_of_birth": Pad(wide=0.004, high=0.014, least_x=8.0, least_y=0.24),
+            "license_plate": Pad(wide=0.004, high=0.014, least_x=8.0, least_y=0.24),
+            "license_plate_inline_zh": Pad(wide=0.004, high=0.014, least_x=8.0, least_y=0.24),
+            "security_answer": Pad(wide=0.004, high=0.014, least_x=8.0, least_y=0.24),
+            "secret_inline_zh": Pad(wide=0.004, high=0.014, least_x=8.0, least_y=0.24),
+            "manual_term": Pad(wide=0.003, high=0.024, least_x=0.3, least_y=0.4),
         },
         "groups": {
-            **dict.fromkeys(
-                (
-                    "account", "account_cn_inline", "phone", "email", "bank", "uuid", "wallet_id", "ip_address", "ip_label", "device_fingerprint", "api_key_token_zh", "secret", "secret_inline_zh", "security_answer", "tax_id_zh",
-                    "passport", "passport_inline_zh", "id_card", "id_card_inline_zh", "driver_license", "license_plate", "license_plate_inline_zh",
-                ),
-                "longValue",
-            ),
-            **dict.fromkeys(
-                (
-                    "address_inline_zh", "address_cn", "address_de_street", "address_de_postal", "address_de_street_partial", "address_de_extra_partial", "address_de_inline_street", "address_en_inline_street",
-                    "address_en_extra_block", "address_en_extra",
-                ),
-                "address",
-            ),
-            **dict.fromkeys(_ZH_MONEY_KEYS, "money"),
+            "account": "longValue",
+            "account_cn_inline": "longValue",
+            "phone": "longValue",
+            "email": "longValue",
+            "bank": "longValue",
+            "uuid": "longValue",
+            "wallet_id": "longValue",
+            "ip_address": "longValue",
+            "ip_label": "longValue",
+            "device_fingerprint": "longValue",
+            "api_key_token_zh": "longValue",
+            "secret": "longValue",
+            "secret_inline_zh": "longValue",
+            "security_answer": "longValue",
+            "tax_id_zh": "longValue",
+            "passport": "longValue",
+            "passport_inline_zh": "longValue",
+            "id_card": "longValue",
+            "id_card_inline_zh": "longValue",
+            "driver_license": "longValue",
+            "license_plate": "longValue",
+            "license_plate_inline_zh": "longValue",
+            "address_inline_zh": "address",
+            "address_cn": "address",
+            "address_de_street": "address",
+            "address_de_postal": "address",
+            "address_de_street_partial": "address",
+            "address_de_extra_partial": "address",
+            "address_de_inline_street": "address",
+            "address_en_inline_street": "address",
+            "address_en_extra_block": "address",
+            "address_en_extra": "address",
+            "money": "money",
+            "money_label": "money",
+            "money_cn_inline_label": "money",
+            "money_label_currency_zh": "money",
         },
         "whole": (
-            "account", "account_cn_inline", "api_key_token_zh", "device_fingerprint", "dob", "driver_license", "email", "handle_label", "id_card", "id_card_inline_zh", "ip_address", "ip_label", *_ZH_MONEY_KEYS,
-            "passport", "passport_inline_zh", "phone", "ref_inline_zh", "ref_label_tail", "secret", "secret_inline_zh", "tax_id_zh", "uuid", "wallet_id",
+            "account", "account_cn_inline", "api_key_token_zh", "device_fingerprint", "dob", "driver_license", "email", "handle_label", "id_card", "id_card_inline_zh", "ip_address",
+            "ip_label", "money", "money_label", "money_cn_inline_label", "money_label_currency_zh", "passport", "passport_inline_zh", "phone", "ref_inline_zh", "ref_label_tail", "secret",
+            "secret_inline_zh", "tax_id_zh", "uuid", "wallet_id",
+        ),
+        "collapse": (
+            "address_inline_zh", "phone", "money", "company", "license_plate", "license_plate_inline_zh",
         ),
-        "collapse": ("address_inline_zh", "phone", "money", "company", "license_plate", "license_plate_inline_zh"),
         "strict": (
-            "ref_label_tail", "ref_inline_zh", "company", "company_label_inline_zh", "company_label_inline_zh_no_colon", "account", "account_cn_inline", "id_card", "id_card_inline_zh", "passport", "passport_inline_zh",
-            "driver_license", "license_plate", "license_plate_inline_zh", "tax_id_zh", "uuid", "wallet_id", "ip_address", "ip_label", "secret", "secret_inline_zh", "security_answer", "api_key_token_zh", "device_fingerprint",
-            "handle_label",
+            "ref_label_tail", "ref_inline_zh", "company", "company_label_inline_zh", "company_label_inline_zh_no_colon", "account", "account_cn_inline", "id_card", "id_card_inline_zh",
+            "passport", "passport_inline_zh", "driver_license", "license_plate", "license_plate_inline_zh", "tax_id_zh", "uuid", "wallet_id", "ip_address", "ip_label", "secret",
+            "secret_inline_zh", "security_answer", "api_key_token_zh", "device_fingerprint", "handle_label",
         ),
-        "special": {**dict.fromkeys(("ref_label_tail", "ref_inline_zh"), (0.6, 0.24, 1.28 * 0.6, 0.5, 0.15)), "company_label_inline_zh": (1.18, 0.34, 1.70, 0.98, 0.22)},
+        "special": {
+            "ref_label_tail": Special(factor=0.6, page_most=0.24, estimate_most=0.768, estimate_least=0.5, page_least=0.15),
+            "ref_inline_zh": Special(factor=0.6, page_most=0.24, estimate_most=0.768, estimate_least=0.5, page_least=0.15),
+            "company_label_inline_zh": Special(factor=1.18, page_most=0.34, estimate_most=1.7, estimate_least=0.98, page_least=0.22),
+        },
     },
 }
 
