@@ -48,6 +48,14 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# What says that a number is none of a phone, by language: digits from which it is too long (the empty one: without a guard of its own), words of its label, and codes that begin it.
+TOO_LONG = {"en": 14, "de": 16, "zh": 16, "": 16}
+EN_NOUNS, EN_MARKS = "case|ticket|order|invoice|reference|ref|customer|application|request|account", "id|no|number"
+DE_NOUNS = "aktenzeichen|geschäftszeichen|kundennummer|rechnungsnummer|rechnungsnr|vorgangs-?id|referenz|ticketnummer|bestellnummer|antragsnummer"
+ZH_NOUNS = "编号|单号|订单|发票|合同|申请|工单|票据|客户|账号|账户|卡号|对公|税号"
+EN_CODES, ZH_CODES, DE_CODES = "CUST|CASE|ORD|INV|APP|REF|ACC|MEM|INS|REQ|PR", "CUST|CASE|ORD|INV|APP|REF|ACC|REQ|TKT|TK|LC|CLM|LEGAL", "knd|re|ord|ab|ref|v|vg|js"
+
+
 def phone_guard(lang: str, label: str, value: str) -> str:
     """SQL condition under which a phone match counts: long ids, account numbers and references are not phones (fixed word lists by language)."""
     word, ends = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -56,16 +64,15 @@ def phone_guard(lang: str, label: str, value: str) -> str:
     digits = f"length(regexp_replace({value}, '[^0-9]', ''))"
     low, bare = f"lower({label})", f"trim({value})"
     if lang == "en":
-        ids = test(low, f"{word}(?:case|ticket|order|invoice|reference|ref|customer|application|request|account){ends}") + " AND " + test(low, f"{word}(?:id|no|number){ends}")
-        codes = test(value, f"(?i){word}(?:CUST|CASE|ORD|INV|APP|REF|ACC|MEM|INS|REQ|PR)-") + " OR " + test(value, f"(?i){word}[A-Z]{{2,6}}(?:-[A-Z0-9]{{1,12}}){{1,6}}-\\d{{4,}}{ends}")
-        no = [f"{digits} >= 14", test(bare, iban), ids, codes]
+        ids = test(low, f"{word}(?:{EN_NOUNS}){ends}") + " AND " + test(low, f"{word}(?:{EN_MARKS}){ends}")
+        codes = test(value, f"(?i){word}(?:{EN_CODES})-") + " OR " + test(value, f"(?i){word}[A-Z]{{2,6}}(?:-[A-Z0-9]{{1,12}}){{1,6}}-\\d{{4,}}{ends}")
+        no = [f"{digits} >= {TOO_LONG['en']}", test(bare, iban), ids, codes]
     elif lang == "de":
-        nouns = "aktenzeichen|geschäftszeichen|kundennummer|rechnungsnummer|rechnungsnr|vorgangs-?id|referenz|ticketnummer|bestellnummer|antragsnummer"
-        no = [f"{digits} >= 16", test(bare, "(?i)^DE\\d{2}"), test(low, f"{word}iban{ends}"), test(low, f"(?iu){word}(?:{nouns}){ends}"), test(value, f"(?i){word}(?:knd|re|ord|ab|ref|v|vg|js)[ \\t]*[-/:][ \\t]*"), test(bare, iban)]
+        no = [f"{digits} >= {TOO_LONG['de']}", test(bare, "(?i)^DE\\d{2}"), test(low, f"{word}iban{ends}"), test(low, f"(?iu){word}(?:{DE_NOUNS}){ends}"), test(value, f"(?i){word}(?:{DE_CODES})[ \\t]*[-/:][ \\t]*"), test(bare, iban)]
     elif lang != "zh":
-        no = [f"{digits} >= 16"]  # a pack without a guard of its own
+        no = [f"{digits} >= {TOO_LONG['']}"]  # a pack without a guard of its own
     else:
-        no = [f"{digits} >= 16", test(low, "编号|单号|订单|发票|合同|申请|工单|票据|客户|账号|账户|卡号|对公|税号"), test(value, f"(?i){word}(?:CUST|CASE|ORD|INV|APP|REF|ACC|REQ|TKT|TK|LC|CLM|LEGAL)-")]
+        no = [f"{digits} >= {TOO_LONG['zh']}", test(low, ZH_NOUNS), test(value, f"(?i){word}(?:{ZH_CODES})-")]
     return "NOT (" + " OR ".join(f"({x})" for x in no) + ")"
 
 
