@@ -50,13 +50,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """``path, text, doc_id``: documents have no paths, so a hash of the id gives each a directory ``source/lang/a/b``.  Every second stands there, or one or two levels above, as the licence file ``LICENSE-<id>``; whether it states a licence is up to its text."""
+    """``path, text, doc_id``: documents have no paths, so a hash of the id gives each a directory ``source/lang/a/b``.  Of those that speak of a licence three in four stand there, or one or two levels above, as the licence file ``LICENSE-<id>``; whether it states one is up to the scan."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     bits = lambda k, n: F.pmod(F.shiftright("crc", k), F.lit(n))
     keyed = docs.select("doc_id", "text", part("source").alias("s"), part("lang").alias("l"), part("doc_id").alias("i"), F.crc32(part("doc_id").cast("binary")).alias("crc"))
-    top = F.concat_ws("/", "s", "l")
-    stands, up = bits(4, 2) == 0, bits(5, 3)
-    folder = F.when(stands & (up == 2), top).when(stands & (up == 1), F.concat_ws("/", top, bits(0, 4))).otherwise(F.concat_ws("/", top, bits(0, 4), bits(2, 4)))
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    speaks = low.contains("licen") | low.contains("copyright") | low.contains("spdx") | low.contains("public domain")
+    stands, up, top = speaks & (bits(2, 4) != 0), bits(4, 3), F.concat_ws("/", "s", "l")
+    folder = F.when(stands & (up == 2), top).when(stands & (up == 1), F.concat_ws("/", top, bits(0, 2))).otherwise(F.concat_ws("/", top, bits(0, 2), bits(1, 2)))
     return keyed.select(F.concat_ws("/", folder, F.when(stands, F.concat(F.lit("LICENSE-"), "i")).otherwise(F.concat("i", F.lit(".txt")))).alias("path"), "text", "doc_id")
 
 
