@@ -3,34 +3,170 @@
 from __future__ import annotations
 
 import re
+import re._constants as K
+import re._parser as parser
 
 #: White space and line ends of the packs' dialect (fixed values).
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 LINE_ENDS = r"\n\r\u2028\u2029"
-#: ASCII word boundary, whatever the text's script.
-BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+#: A sign of an ASCII word, whatever the text's script: as Java's own class, which is one look into a table.  Where case is told by Unicode, a few more signs equal a letter.
+WORD, WORD_ANY_CASE = r"\w", r"(?-iu:[\w\u017F\u212A\u0130\u0131])"
+#: Signs beyond the two cases that equal a letter where case is told by Unicode; letters outside ASCII whose cases are plain; most signs that a match may begin with for these to be asked for first.
+TWINS, PLAIN_CASE, MOST_LEADS = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131", "\u00df": "\u1e9e"}, "äöüß", 60
+
+
+def boundary(word: str = WORD, before: bool = False, after: bool = False) -> str:
+    """Boundary of a word; half of it is enough where what stands ``before`` or ``after`` it is sure to be of a word."""
+    if before:
+        return f"(?!{word})"
+    return f"(?<!{word})" if after else f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+
+
+BOUNDARY = boundary()
 #: Repetitions of a group that go in one possessive block while as many are left after it; Java recurses for each one that may be given back.
 BLOCK = 32
 HAN = "\u4e00-\u9fff"
 SPECIAL = set("\\^$.|?*+()[]{}/")
 
 
-def to_java(pattern: str, flags: str = "") -> str:
+def plain(pattern: str, letter: str) -> str:
+    """The pattern as Python's parser reads it, ``letter`` standing for any letter."""
+    return re.sub(r"\\p\{L\}", letter, pattern.replace("(?<name>", "(?P<name>").replace("(?<legal>", "(?P<legal>"))
+
+
+def boundaries(pattern: str) -> list[tuple[bool, bool]]:
+    """For each ``\\b`` in order: whether what stands before it, and after it, is sure to be a sign of a word."""
+    try:
+        tree = parser.parse(plain(pattern, "\u00e9"))
+    except re.error:
+        return []
+    marks: list = []
+    _edges(list(tree), False, False, marks)
+    return marks
+
+
+def _of_word(op, value) -> bool:
+    """Whether an item of one character takes only signs of a word."""
+    if op is K.LITERAL:
+        return re.fullmatch(r"\w", chr(value), re.ASCII) is not None
+    if op is K.RANGE:
+        return any(ord(a) <= value[0] and value[1] <= ord(z) for a, z in ("09", "AZ", "az"))
+    if op is K.CATEGORY:
+        return value in (K.CATEGORY_DIGIT, K.CATEGORY_WORD)
+    return op is K.IN and all(_of_word(*x) for x in value)
+
+
+def _edge(item, beyond: bool, last: bool) -> bool:
+    """Whether what begins (``last``: ends) with this item begins with a sign of a word; ``beyond``: whether what lies behind the item does."""
+    op, value = item
+    if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+        return _side(value[2], False, last) and (value[0] > 0 or beyond)
+    if op is K.SUBPATTERN:
+        return _side(value[3], beyond, last)
+    if op is K.BRANCH:
+        return all(_side(b, beyond, last) for b in value[1])
+    return beyond if op in (K.AT, K.ASSERT, K.ASSERT_NOT) else _of_word(op, value)
+
+
+def _side(items, beyond: bool, last: bool) -> bool:
+    for item in items if last else reversed(list(items)):
+        beyond = _edge(item, beyond, last)
+    return beyond
+
+
+def _edges(items: list, before: bool, after: bool, marks: list) -> None:
+    """Adds what :func:`boundaries` tells of the items, given what stands around them."""
+    for k, (op, value) in enumerate(items):
+        here, there = _side(items[:k], before, True), _side(items[k + 1 :], after, False)
+        if op is K.AT and value is K.AT_BOUNDARY:
+            marks.append((here, there))
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            _edges(list(value[2]), False, False, marks)
+        elif op is K.SUBPATTERN:
+            _edges(list(value[3]), here, there, marks)
+        elif op is K.BRANCH:
+            for b in value[1]:
+                _edges(list(b), here, there, marks)
+        elif op in (K.ASSERT, K.ASSERT_NOT):
+            _edges(list(value[1]), False, False, marks)
+
+
+def _forms(c: int, flags: str) -> set[str] | None:
+    """All signs that a literal takes; None for letters whose cases are not told here."""
+    low, up = chr(c).lower(), chr(c).upper()
+    if "i" not in flags or low == up or (c > 127 and "u" not in flags):
+        return {chr(c)}
+    if c > 127 and low not in PLAIN_CASE:
+        return None
+    return {low, *(up if len(up) == 1 else ""), *(TWINS.get(low, "") if "u" in flags else "")}
+
+
+def _begins(items, flags: str) -> tuple[set[str] | None, bool]:
+    """Signs that a match of the items may begin with (None: open), and whether it may be empty."""
+    out: set[str] = set()
+    for op, value in items:
+        if op in (K.AT, K.ASSERT, K.ASSERT_NOT):
+            continue
+        empty, got = False, None
+        if op is K.LITERAL:
+            got = _forms(value, flags)
+        elif op is K.IN:
+            chars: list[int] = []
+            for kind, x in value:
+                wide = range(x, x + 1) if kind is K.LITERAL else range(x[0], x[1] + 1) if kind is K.RANGE else range(48, 58) if kind is K.CATEGORY and x is K.CATEGORY_DIGIT else None
+                if wide is None or len(wide) > MOST_LEADS:
+                    return None, False
+                chars += wide
+            forms = [_forms(c, flags) for c in chars]
+            got = None if None in forms else set().union(*forms)
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            got, empty = _begins(value[2], flags)
+            empty = empty or value[0] == 0
+        elif op is K.SUBPATTERN:
+            got, empty = _begins(value[3], flags)
+        elif op is K.BRANCH:
+            parts = [_begins(b, flags) for b in value[1]]
+            got, empty = None if any(g is None for g, _ in parts) else set().union(*(g for g, _ in parts)), any(e for _, e in parts)
+        if got is None:
+            return None, False
+        out |= got
+        if not empty:
+            return out, False
+    return out, True
+
+
+def lead(pattern: str, flags: str = "") -> str:
+    """A look at the first sign of a match, to stand before the pattern: most places of a text fail it, and it is one look into a table.  Empty where a match may begin with many signs."""
+    try:
+        signs, empty = _begins(list(parser.parse(plain(pattern, "\u00e9"))), flags)
+    except re.error:
+        return ""
+    if not signs or empty or len(signs) > MOST_LEADS:
+        return ""
+    return "(?-iu:(?=[" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04X}" for c in sorted(signs)) + "]))"
+
+
+def to_java(pattern: str, flags: str = "", led: bool = False) -> str:
     """Java form of a pattern: ASCII ``\\b``, Unicode ``\\s``, absolute ``$``, line ends of ``.``, and no repetition of a group that recurses without bound.
 
     A repeated group at the very end becomes possessive (nothing after it could make it give back).  Any other takes possessive blocks as
-    long as another block is left, and the rest one by one: it can still give back as many, and has no upper limit.
+    long as another block is left, and the rest one by one: it can still give back as many, and has no upper limit.  ``led``: behind its :func:`lead`.
     """
     out, k, depth, n = [], 0, False, len(pattern)
     opened: list[int] = []
     begun = 0  # where the last closed group began in ``out``
     multi = "m" in flags
+    word = WORD_ANY_CASE if "i" in flags and "u" in flags else WORD
+    marks, seen = boundaries(pattern), 0
+    if len(marks) != len(re.findall(r"\\b", re.sub(r"\\[^b]|\[(?:\\.|[^\]\\])*\]", "", pattern, flags=re.DOTALL))):
+        marks = []  # the parser joined some of them
     while k < n:
         c = pattern[k]
         if c == "\\":
             pair = pattern[k : k + 2]
             if pair == "\\b" and not depth:
-                out.append(BOUNDARY)
+                out.append(boundary(word, *marks[seen]) if marks else boundary(word))
+                seen += 1
             elif pair == "\\s":
                 out.append(SPACES if depth else f"[{SPACES}]")
             elif pair == "\\S":
@@ -74,7 +210,7 @@ def to_java(pattern: str, flags: str = "") -> str:
             out.append(c)
         k += 1
     case = "(?iu)" if "i" in flags and "u" in flags else "(?i)" if "i" in flags else ""
-    return case + "".join(out)
+    return case + (lead(pattern, flags) if led else "") + "".join(out)
 
 
 def escape(term: str) -> str:
@@ -85,9 +221,10 @@ def term_pattern(term: str) -> tuple[str, int]:
     """Java pattern of a manual term and the group that holds it: whole words of Latin terms, Han terms not inside other Han text."""
     if re.search(f"[{HAN}]", term):
         return f"(^|[^{HAN}])({escape(term)})(?=\\z|[^{HAN}])", 2
-    return f"(?iu){BOUNDARY}{escape(term)}{BOUNDARY}", 0
+    edge = boundary(WORD_ANY_CASE)
+    return f"(?iu){lead(escape(term), 'iu')}{edge}{escape(term)}{edge}", 0
 
 
 def groups(pattern: str) -> int:
     """Number of capturing groups of a pattern."""
-    return re.compile(re.sub(r"\\p\{L\}", "a", pattern.replace("(?<name>", "(?P<name>").replace("(?<legal>", "(?P<legal>"))).groups
+    return re.compile(plain(pattern, "a")).groups

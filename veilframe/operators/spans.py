@@ -101,7 +101,7 @@ def _value_of(rule: Rule) -> tuple[int, list[int]]:
 def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> str:
     """SQL expression: array of hits of the rules over the column ``text``, in the rules' order.  Patterns are literals, so Spark compiles each once.
 
-    Per rule there is only its test and its one replacement; places, values, guards and records are one expression over what was found, which
+    Per rule there is only its test and its one replacement, so its pattern passes a text once; places, values, guards and records are one expression over what was found, which
     keeps the plan small.  A value that stands apart from its label has its own range; ``parity`` lets it begin where the label ends, as the original does.
     """
     found, kinds = [], []
@@ -110,8 +110,7 @@ def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> s
         kinds.append(kind)
         pattern = quoted(rule.pattern)
         groups = "".join(CLOSE + (f"${held[g]}" if g < len(held) else "") for g in range(4))
-        parts = f"split(regexp_replace({text}, {pattern}, '{OPEN}$0{groups}{CLOSE}'), '[{OPEN}{CLOSE}]', -1)"
-        found.append(f"CASE WHEN {needed(rule, 'z.fold', 'z.digit')} AND {text} RLIKE {pattern} THEN named_struct('rule', {k + 1}, 'parts', {parts}) END")
+        found.append(f"named_struct('rule', {k + 1}, 'marked', CASE WHEN {needed(rule, 'z.fold', 'z.digit')} THEN regexp_replace({text}, {pattern}, '{OPEN}$0{groups}{CLOSE}') END)")
     table = lambda values: f"element_at(array({', '.join(values)}), w.rule)"
     kind = table([str(k) for k in kinds])
     full, at, *group = "w.parts[i * 6 + 1]", "w.starts[i]", *[f"w.parts[i * 6 + {2 + g}]" for g in range(4)]
@@ -129,7 +128,9 @@ def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> s
     stretches = f"transform(sequence(0, cast((size(s.lengths) - 1) / {STRETCH} AS int)), q -> {total(f'slice(s.lengths, q * {STRETCH} + 1, {STRETCH})')})"
     heads = "aggregate(s.stretches, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, p) -> named_struct('at', a.at + p, 'all', concat(a.all, array(a.at))), a -> a.all)"
     start = f"s.heads[cast(i / {STRETCH} AS int)] + {total(f'slice(s.lengths, cast(i / {STRETCH} AS int) * {STRETCH} + 1, i % {STRETCH})')} + x.gap"
-    bound = f"transform(filter(array({', '.join(found)}), m -> m IS NOT NULL), s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', {lengths}))"
+    # a rule that replaced nothing left the text as it was
+    bound = f"transform(filter(array({', '.join(found)}), m -> m.marked <> {text}), m -> named_struct('rule', m.rule, 'parts', split(m.marked, '[{OPEN}{CLOSE}]', -1)))"
+    bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', {lengths}))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', s.lengths, 'stretches', {stretches}))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', s.lengths, 'heads', {heads}))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'starts', transform(s.lengths, (x, i) -> {start})))"

@@ -146,7 +146,7 @@ def plan_rules(config: ScrubConfig) -> list[Rule]:
         on = (config.money_mode or "m1").lower() != "off" if key == "money" else key in enabled
         if on and key in rules:
             tag, mode, flags, pattern = rules[key]
-            out.append(Rule(key, tag, mode, order, to_java(pattern, flags), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=required(pattern)))
+            out.append(Rule(key, tag, mode, order, to_java(pattern, flags, led=True), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=required(pattern)))
     return out + list(config.extra_rules)
 
 
