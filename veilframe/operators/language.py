@@ -1,10 +1,16 @@
-"""Language routing: Han ratio, then trigram profiles, then a decision to lock or to ask; one projection, no shuffle."""
+"""Language routing: Han ratio, then trigram profiles, then a decision to lock or to ask; projections alone, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_function
+
 #: Share of Han characters that makes a text Chinese, least length for trigrams, confidences and the one that locks.
 HAN_RATIO, LEAST_LENGTH, HAN_CONFIDENCE, PLAIN, AMBIGUOUS, LOCK = 0.02, 24, 0.99, 0.86, 0.74, 0.78
 #: Languages with rules, by three-letter code; other codes have none.
@@ -26,28 +32,54 @@ def stats(text: Column) -> Column:
     return F.struct(n.alias("length"), han.alias("han"), count("[A-Za-z]").alias("latin"), count("[äöüÄÖÜß]").alias("umlaut"), (han / F.greatest(n, F.lit(1))).alias("han_ratio"))
 
 
-def ranked_codes(text: Column) -> Column:
-    """Language codes of all profiles, best first: each trigram of a profile counts as often as the text holds it, by its place; ties by code.
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, int, np.ndarray, np.ndarray, list[int], list[str]]:
+    """Number of each character (0: in no trigram), how many there are, number of each trigram by its characters' numbers, weights of trigrams by profile, trigrams that can overlap themselves, codes."""
+    names = sorted(PROFILES)
+    grams = sorted({g for p in PROFILES.values() for g in p})
+    signs = sorted(set("".join(grams)))
+    many = len(signs) + 1
+    number = np.zeros(max(map(ord, signs)) + 2, np.int32)
+    number[[ord(c) for c in signs]] = np.arange(1, many)
+    place = np.zeros(many**3, np.int16)
+    weight = np.zeros((len(grams) + 1, len(names)))
+    for k, g in enumerate(grams, 1):
+        a, b, c = (int(number[ord(x)]) for x in g)
+        place[(a * many + b) * many + c] = k
+        for j, name in enumerate(names):
+            weight[k, j] = len(PROFILES[name]) - PROFILES[name].index(g) if g in PROFILES[name] else 0
+    return number, many, place, weight, [k for k, g in enumerate(grams, 1) if g[0] == g[2]], names
+
+
+def _ranked(texts: list[str | None], _: list) -> list[list[str] | None]:
+    number, many, place, weight, twice, names = _tables()
+    ends = np.cumsum([len(t or "") for t in texts])
+    signs = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ids = number[np.minimum(signs, len(number) - 1)]
+    gram = place[(ids[:-2] * many + ids[1:-1]) * many + ids[2:]] if len(ids) > 2 else np.zeros(0, np.int16)
+    at = np.flatnonzero(gram)
+    row = np.searchsorted(ends, at, "right")
+    inside = at + 2 < ends[row]
+    at, row = at[inside], row[inside]
+    held = gram[at]
+    counted = np.ones(len(at), bool)
+    for k in twice:  # in a run that overlaps itself every second one is counted, as removal from left to right does
+        own = np.flatnonzero(held == k)
+        fresh = np.concatenate([[True], np.diff(at[own]) != 2]) if len(own) else np.zeros(0, bool)
+        order = np.arange(len(own))
+        counted[own] = (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0 if len(own) else fresh
+    scores = np.stack([np.bincount(row[counted], weight[held[counted], j], len(texts)) for j in range(len(names))], axis=1)
+    best = np.argsort(-scores, axis=1, kind="stable").tolist()
+    return [None if t is None else [names[j] for j in b] for t, b in zip(texts, best, strict=True)]
 
-    Counting is by removal (how much shorter the text is without the trigram), one linear pass for each of the profiles' trigrams.
-    """
 
-    def ranked(flat: Column) -> Column:
-        n, scores = F.length(flat), []
-        for code, profile in PROFILES.items():
-            held = [(n - F.length(F.replace(flat, F.lit(g), F.lit("")))) * (len(profile) - k) for k, g in enumerate(profile)]
-            scores.append(F.struct((-_sum(held)).alias("neg"), F.lit(code).alias("code")))
-        return F.transform(F.array_sort(F.array(*scores)), lambda s: s["code"])
+def ranked_codes(text: Column) -> Column:
+    """Language codes of all profiles, best first: each trigram of a profile counts as often as the text holds it, by its place; ties by code.  Null for null.
 
+    A text is passed once, whatever the number of trigrams: by Arrow batches, each place looked up in one table.
+    """
     flat = F.concat(F.lit("_"), F.regexp_replace(F.trim(F.lower(text)), "[^\\p{L}']+", "_"), F.lit("_"))
-    return F.transform(F.array(flat), ranked)[0]
-
-
-def _sum(parts: list[Column]) -> Column:
-    """A balanced sum, so that the expression stays shallow."""
-    while len(parts) > 1:
-        parts = [parts[k] + parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0]
+    return arrow_function(SparkSession.active(), _ranked, "array<string>", pa.list_(pa.string()))(flat, F.lit(0))
 
 
 def detect(text: Column) -> Column:
@@ -56,6 +88,9 @@ def detect(text: Column) -> Column:
     s = F.trim(raw)
     record = lambda lang, conf, ask, cand, reason, source: F.struct(lang.cast("string").alias("lang"), F.lit(conf).alias("confidence"), F.lit(ask).alias("needs_confirm"), cand.cast("array<string>").alias("candidates"), reason.alias("reason"), F.lit(source).alias("source"))
     none, blank = F.array(), F.lit("")
+    han = F.regexp_count(raw, F.lit("[\\u4E00-\\u9FFF]")) / F.greatest(F.length(raw), F.lit(1)) >= HAN_RATIO
+    # texts that are told without trigrams do not go to the workers
+    codes = ranked_codes(F.when(~han & (F.length(s) >= LEAST_LENGTH), s))
 
     def decided(codes: Column) -> Column:
         pack = F.create_map(*[x for k, v in KNOWN.items() for x in (F.lit(k), F.lit(v))])
@@ -67,9 +102,9 @@ def detect(text: Column) -> Column:
 
     return (
         F.when(s == "", record(blank, 0.0, False, none, F.lit("empty"), "none"))
-        .when(F.regexp_count(raw, F.lit("[\\u4E00-\\u9FFF]")) / F.greatest(F.length(raw), F.lit(1)) >= HAN_RATIO, record(F.lit("zh"), HAN_CONFIDENCE, False, F.array(F.lit("zh")), F.lit("han_ratio"), "heuristic"))
+        .when(han, record(F.lit("zh"), HAN_CONFIDENCE, False, F.array(F.lit("zh")), F.lit("han_ratio"), "heuristic"))
         .when(F.length(s) < LEAST_LENGTH, record(blank, 0.0, True, none, F.lit("too_short"), "ngram"))
-        .otherwise(F.transform(F.array(ranked_codes(s)), decided)[0])
+        .otherwise(F.transform(F.array(codes), decided)[0])
     )
 
 
