@@ -44,8 +44,11 @@ def hit_span(record: Column) -> Column:
 
 def hit_spans(records: DataFrame, column: str = "record") -> DataFrame:
     """``records`` with the usable hits of JSON strings in ``column`` as ``key, a, b, part_a, part_b, id``; strings that are no JSON objects, and hits without a key or a place, are left out."""
-    given = records.withColumn("_hit", hit_span(F.try_parse_json(F.col(column))))
-    return given.where("_hit IS NOT NULL").select(*[F.col(f"`{c}`") for c in records.columns if c != column], "_hit.*")
+    others = [F.col(f"`{c}`") for c in records.columns if c != column]
+    # exploded, so that the optimizer does not copy the parsing to each of the places that read it
+    parsed = records.select(*others, F.explode_outer(F.array(F.try_parse_json(F.col(column)))).alias("_record"))
+    given = parsed.select(*others, F.explode_outer(F.array(hit_span(F.col("_record")))).alias("_hit"))
+    return given.where("_hit IS NOT NULL").select(*others, "_hit.*")
 
 
 def results(stored: DataFrame, doc_id: str = "doc_id", column: str = "result") -> DataFrame:
