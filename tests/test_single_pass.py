@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from veilframe import queries
+from veilframe.functions.dialect import to_java
 from veilframe.operators import language
+from veilframe.operators.pages import REPEATED_PHRASE
 from veilframe.sources import match_results
 
 
@@ -30,3 +33,17 @@ def test_ranking_equals_counting_by_removal_and_passes_a_text_once(spark):
     assert "replace(" not in _plan(ranked).replace("regexp_replace(", "")
     flat = {r.n: r.flat for r in docs.select("n", F.concat(F.lit("_"), F.regexp_replace(F.trim(F.lower("text")), "[^\\p{L}']+", "_"), F.lit("_")).alias("flat")).collect()}
     assert {r.n: r.codes for r in ranked.collect()} == {n: None if f is None else _by_removal(f) for n, f in flat.items()}
+
+
+def test_page_modes_read_the_pages_once(spark):
+    modes = queries.page_modes(spark, "/root/testdata/sf0.001")
+    assert modes.columns == ["doc_id", "coverage_usable", "semantic_usable", "mode"]
+    assert _plan(modes).count("relation ") == 1 and " join " not in _plan(modes)
+
+
+def test_repeated_phrases_are_those_of_the_longer_pattern(spark):
+    whole = to_java(r"\b([A-Za-z]{3,}(?:\s+[A-Za-z]{3,}){2,6})\b.*\b\1\b", "i")
+    lines = ["one two three four x ONE two three", "one two three one two threes", "one two three1 one two three1", "xone two three one two three", "aaa aaa aaa aaa aaa", "one  two three, one two three", "one two three four five six seven eight; one two three four five six seven eight", "", "été one two three été one two three"]
+    docs = spark.createDataFrame([(x,) for x in lines], "s string")
+    assert all(r[0] == r[1] for r in docs.select(F.col("s").rlike(whole), F.col("s").rlike(to_java(REPEATED_PHRASE, "i"))).collect())
+    assert "{2,6}" not in REPEATED_PHRASE

@@ -19,7 +19,8 @@ STREET = r"(?:street|st\.?|road|rd\.?|avenue|ave\.?|lane|ln\.?|drive|dr\.?|way|b
 POSTAL = r"\b\d{4,6}\s+[A-Za-zÀ-ÖØ-öø-ÿ'’.\- ]+\b"
 PROTECTED = r"^(?:customer|account|reference|order|invoice|section|date|bill to|ship to|payment details|statement period)\s*:"
 LABELS = [r"ticket\s*no\.?", r"case\s*id", r"email\s*:", r"phone\s*:", r"contact\s*:", r"ref\s*:", r"amount\s*:"]
-REPEATED_PHRASE = r"\b([A-Za-z]{3,}(?:\s+[A-Za-z]{3,}){2,6})\b.*\b\1\b"
+# a phrase of up to seven words that comes again begins with three words that do, so three are looked for; a word gives no letter back, as it ends at no other place
+REPEATED_PHRASE = r"\b([A-Za-z]{3,}+(?:\s+[A-Za-z]{3,}+){2})\b.*\b\1\b"
 
 _J = to_java
 _SPACE = _J(r"\s", "")
@@ -136,21 +137,29 @@ def is_suspicious_line(line: Column) -> Column:
     return (F.length(s) >= SUSPICIOUS_LENGTH) & ((labels >= 2) | s.rlike(_J(REPEATED_PHRASE, "i")) | ((bars >= 4) & (labels >= 1)))
 
 
-def gates(pages: DataFrame) -> DataFrame:
-    """``doc_id, coverage_usable, semantic_usable``: whether enough text is left after cleaning page by page, and no page has three merged lines."""
+def modes(pages: DataFrame) -> DataFrame:
+    """``doc_id, coverage_usable, semantic_usable, mode``: both gates and the mode of each document, in one pass of the pages and one shuffle of numbers.
+
+    Coverage: enough text is left after cleaning page by page.  Semantic: no page has three merged lines.  Mode: A (readable text) if there is a text layer and both gates pass, else B (manual redaction).
+    """
     alone = _cleaned(F.col("text"), F.array().cast("array<string>"))
     merged = F.size(F.filter(_lines(F.col("text")), is_suspicious_line))
-    each = pages.select("doc_id", F.length(alone).alias("kept"), F.length(F.coalesce("text", F.lit(""))).alias("raw"), (merged >= SUSPICIOUS_LINES).alias("bad"))
-    told = each.groupBy("doc_id").agg(F.sum("kept").alias("total"), F.count("*").alias("n"), F.sum((F.col("kept") < WEAK_PAGE).cast("int")).alias("weak"), F.sum("raw").alias("raw"), F.max("bad").alias("bad"))
+    whole = F.coalesce("text", F.lit(""))
+    each = pages.select("doc_id", F.length(alone).alias("kept"), F.length(whole).alias("raw"), F.length(F.regexp_replace(whole, _SPACE, "")).alias("chars"), (merged >= SUSPICIOUS_LINES).alias("bad"))
+    told = each.groupBy("doc_id").agg(F.sum("kept").alias("total"), F.count("*").alias("n"), F.sum((F.col("kept") < WEAK_PAGE).cast("int")).alias("weak"), F.sum("raw").alias("raw"), F.sum("chars").alias("chars"), F.max("bad").alias("bad"))
     usable = (F.col("total") >= LEAST_TOTAL) & (F.col("total") / F.col("n") >= LEAST_AVERAGE) & (F.col("weak") <= F.floor(F.col("n") / 2)) & ~((F.col("raw") > 0) & (F.col("total") / F.greatest("raw", F.lit(1)) < LEAST_SHARE))
-    return told.select("doc_id", usable.alias("coverage_usable"), (~F.col("bad")).alias("semantic_usable"))
+    out = told.select("doc_id", "chars", usable.alias("coverage_usable"), (~F.col("bad")).alias("semantic_usable"))
+    return out.select("doc_id", "coverage_usable", "semantic_usable", F.when((F.col("chars") >= LEAST_TEXT_LAYER) & F.col("coverage_usable") & F.col("semantic_usable"), "A").otherwise("B").alias("mode"))
+
+
+def gates(pages: DataFrame) -> DataFrame:
+    """The gates of :func:`modes`: ``doc_id, coverage_usable, semantic_usable``."""
+    return modes(pages).drop("mode")
 
 
 def mode(pages: DataFrame) -> DataFrame:
-    """``doc_id, mode``: A (readable text) if there is a text layer and both gates pass, else B (manual redaction)."""
-    layer = pages.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, ""))).alias("chars"))
-    both = gates(pages).join(layer, "doc_id")
-    return both.select("doc_id", F.when((F.col("chars") >= LEAST_TEXT_LAYER) & F.col("coverage_usable") & F.col("semantic_usable"), "A").otherwise("B").alias("mode"))
+    """The mode of :func:`modes`: ``doc_id, mode``, of documents with an id."""
+    return modes(pages).where("doc_id IS NOT NULL").select("doc_id", "mode")
 
 
 def segments(pages: Column, text: Column) -> Column:

@@ -160,8 +160,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paged = paged_conversations(spark, sf_dir)
-    return pages.gates(paged).join(pages.mode(paged), "doc_id")
+    return pages.modes(paged_conversations(spark, sf_dir)).where("doc_id IS NOT NULL")
 
 
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
