@@ -26,6 +26,8 @@ BOUNDARY = boundary()
 #: Repetitions of a group that go in one possessive block while as many are left after it; Java recurses for each one that may be given back.
 BLOCK = 32
 HAN = "\u4e00-\u9fff"
+#: What stands for any letter where a pattern is read; first signs of a match that are looked at.
+LETTER, LEADS = "\u00e9", 6
 SPECIAL = set("\\^$.|?*+()[]{}/")
 
 
@@ -37,7 +39,7 @@ def plain(pattern: str, letter: str) -> str:
 def boundaries(pattern: str) -> list[tuple[bool, bool]]:
     """For each ``\\b`` in order: whether what stands before it, and after it, is sure to be a sign of a word."""
     try:
-        tree = parser.parse(plain(pattern, "\u00e9"))
+        tree = parser.parse(plain(pattern, LETTER))
     except re.error:
         return []
     marks: list = []
@@ -101,49 +103,109 @@ def _forms(c: int, flags: str) -> set[str] | None:
     return {low, *(up if len(up) == 1 else ""), *(TWINS.get(low, "") if "u" in flags else "")}
 
 
-def _begins(items, flags: str) -> tuple[set[str] | None, bool]:
-    """Signs that a match of the items may begin with (None: open), and whether it may be empty."""
-    out: set[str] = set()
-    for op, value in items:
+def _signs(items, flags: str) -> set[str] | None:
+    """All signs that a class takes; None where it is open or large."""
+    chars: list[int] = []
+    for kind, x in items:
+        wide = range(x, x + 1) if kind is K.LITERAL else range(x[0], x[1] + 1) if kind is K.RANGE else range(48, 58) if kind is K.CATEGORY and x is K.CATEGORY_DIGIT else None
+        if wide is None or len(wide) > MOST_LEADS:
+            return None
+        chars += wide
+    forms = [None if chr(c) == LETTER else _forms(c, flags) for c in chars]
+    return None if None in forms else set().union(*forms)
+
+
+def _either(parts: list[list[set[str] | None]]) -> list[set[str] | None]:
+    """Signs at each place of one of several; as far as the shortest goes."""
+    return [None if None in place else set().union(*place) for place in zip(*parts, strict=False)]
+
+
+def _heads(items, flags: str, after: list[set[str] | None]) -> list[set[str] | None]:
+    """Signs that a match may have at each of its first places (None: open), given those of what follows the items; as far as every match goes."""
+    for op, value in reversed(list(items)):
         if op in (K.AT, K.ASSERT, K.ASSERT_NOT):
             continue
-        empty, got = False, None
         if op is K.LITERAL:
-            got = _forms(value, flags)
+            after = [None if chr(value) == LETTER else _forms(value, flags), *after]
         elif op is K.IN:
-            chars: list[int] = []
-            for kind, x in value:
-                wide = range(x, x + 1) if kind is K.LITERAL else range(x[0], x[1] + 1) if kind is K.RANGE else range(48, 58) if kind is K.CATEGORY and x is K.CATEGORY_DIGIT else None
-                if wide is None or len(wide) > MOST_LEADS:
-                    return None, False
-                chars += wide
-            forms = [_forms(c, flags) for c in chars]
-            got = None if None in forms else set().union(*forms)
+            after = [_signs(value, flags), *after]
+        elif op in (K.ANY, K.NOT_LITERAL):
+            after = [None, *after]
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
-            got, empty = _begins(value[2], flags)
-            empty = empty or value[0] == 0
+            least, more = value[0], value[1] - value[0]
+            once, after = after, after if more <= LEADS else []
+            for _ in range(min(more, LEADS)):
+                after = _either([once, _heads(value[2], flags, after)])
+            for _ in range(min(least, LEADS)):
+                after = _heads(value[2], flags, after)
         elif op is K.SUBPATTERN:
-            got, empty = _begins(value[3], flags)
+            after = _heads(value[3], flags, after)
         elif op is K.BRANCH:
-            parts = [_begins(b, flags) for b in value[1]]
-            got, empty = None if any(g is None for g, _ in parts) else set().union(*(g for g, _ in parts)), any(e for _, e in parts)
-        if got is None:
-            return None, False
-        out |= got
-        if not empty:
-            return out, False
-    return out, True
+            after = _either([_heads(b, flags, after) for b in value[1]])
+        else:
+            after = []
+        after = [None if s is None or len(s) > MOST_LEADS else s for s in after[:LEADS]]
+    return after
 
 
 def lead(pattern: str, flags: str = "") -> str:
-    """A look at the first sign of a match, to stand before the pattern: most places of a text fail it, and it is one look into a table.  Empty where a match may begin with many signs."""
+    """A look at the first signs of a match, to stand before the pattern: most places of a text fail it, and it is one look into a table a sign.  Empty where a match may begin with many signs."""
     try:
-        signs, empty = _begins(list(parser.parse(plain(pattern, "\u00e9"))), flags)
+        places = _heads(parser.parse(plain(pattern, LETTER)), flags, [])
     except re.error:
         return ""
-    if not signs or empty or len(signs) > MOST_LEADS:
+    while places and places[-1] is None:
+        places.pop()
+    if not places or not places[0]:
         return ""
-    return "(?-iu:(?=[" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04X}" for c in sorted(signs)) + "]))"
+    sign = lambda c: c if c.isascii() and c.isalnum() else f"\\u{ord(c):04X}"
+    return "(?-iu:(?=" + "".join("[\\s\\S]" if p is None else "[" + "".join(map(sign, sorted(p))) + "]" for p in places) + "))"
+
+
+def sooner(pattern: str) -> str:
+    """The same pattern with what must match looked for before what must not: a pattern of a whole line that begins with a look at all of the line would take it at every line."""
+    if not pattern.startswith("^(?!") or not pattern.endswith("$"):
+        return pattern
+    depth, inside, k = 0, False, 1
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif inside or c == "[":
+            inside = c != "]"
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                break
+        k += 1
+    never, body = pattern[1 : k + 1], pattern[k + 1 :]
+    tree = re.compile(plain(pattern, LETTER))
+    if tree.groupindex or re.search(r"\\[1-9]", pattern):
+        return pattern
+    bare = re.sub(r"(\\.|\[(?:\\.|[^\]\\])*\])|\((?!\?)", lambda m: m[1] or "(?:", body)
+    return pattern if "|" in re.sub(r"\(.*\)", "", body) else f"^(?={bare}){never}{body}"
+
+
+def listed(inner: str, flags: str) -> str | None:
+    """A class of the packs' dialect with its ranges of ASCII letters and digits sign by sign, which Java keeps in one table of bits; those that it keeps apart come behind.  None where the class holds anything else."""
+    signs: list[str] = []
+    k, wide = 0, "i" in flags and "u" in flags
+    while k < len(inner):
+        one = re.compile(r"([0-9A-Za-z])-([0-9A-Za-z])|\\[dtnr]|\\[^0-9A-Za-z]|[^\\\[&^-]|&(?!&)|-\Z", re.DOTALL).match(inner, k)
+        if not one:
+            return None
+        if one[1]:
+            # a range takes other signs that equal these letters than the letters alone do
+            signs += [f"{chr(c)}-{chr(c)}" if wide and chr(c) in "iskISK" else chr(c) for c in range(ord(one[1]), ord(one[2]) + 1)]
+        else:
+            signs += "0123456789" if one[0] == "\\d" else ["\\-" if one[0] == "-" else one[0]]
+        k = one.end()
+    if "i" in flags:
+        signs = [c.lower() if len(c) == 1 and c.isascii() else c for c in signs]
+    signs = list(dict.fromkeys(signs))
+    apart = [c for c in signs if ord(c[-1]) > 255 or (wide and c[0] in "iskISK")]
+    table = "".join(c for c in signs if c not in apart)
+    return f"[[{table}][{''.join(apart)}]]" if table and apart else f"[{table}{''.join(apart)}]"
 
 
 def to_java(pattern: str, flags: str = "", led: bool = False) -> str:
@@ -152,6 +214,7 @@ def to_java(pattern: str, flags: str = "", led: bool = False) -> str:
     A repeated group at the very end becomes possessive (nothing after it could make it give back).  Any other takes possessive blocks as
     long as another block is left, and the rest one by one: it can still give back as many, and has no upper limit.  ``led``: behind its :func:`lead`.
     """
+    pattern = sooner(pattern)
     out, k, depth, n = [], 0, False, len(pattern)
     opened: list[int] = []
     begun = 0  # where the last closed group began in ``out``
@@ -181,6 +244,10 @@ def to_java(pattern: str, flags: str = "", led: bool = False) -> str:
             elif c == "[" or pattern.startswith("&&", k):
                 c = "\\" + c
             out.append(c)
+        elif c == "[" and (whole := re.compile(r"\[((?:[^\]\\^]|\\.)(?:[^\]\\]|\\.)*)\]", re.DOTALL).match(pattern, k)) and (form := listed(whole[1], flags)):
+            out.append(form)
+            k = whole.end()
+            continue
         elif c == "[":
             depth = True
             out.append(c)

@@ -6,12 +6,16 @@ import re
 import re._constants as K
 import re._parser as parser
 
+from .dialect import SPACES
+
 #: Strings told of by name: one of the ten digits.
 DIGITS = frozenset("0123456789")
 #: Most alternatives of one test, most tests of a pattern.
 MOST_ALTERNATIVES, MOST_TESTS = 60, 3
 #: Signs that most texts have.
 COMMON = frozenset(".,- ")
+#: White space of the packs' dialect, as a class of a SQL literal's pattern has it.
+_SPACES_SQL = SPACES.replace("\\", "\\\\")
 #: Letters that equal others under case folding but whose lower case differs (fixed values): long s, dotless and dotted i, capital sharp s; and what stands for them.
 ODD, EVEN = "\u017f\u0131\u0130\u1e9e", "sii\u00df"
 
@@ -126,3 +130,65 @@ def _sets(items) -> list[frozenset[str]]:
             end()
     end()
     return out
+
+
+#: Signs that part a label from its value, longest stretch of a label's end that is told.
+SEPARATORS, LONGEST_END = frozenset(":\uff1a="), 10
+
+
+def ends_sql(fold: str) -> str:
+    """The folded text with each separator, and the space before it, as one colon: what a label ends in stands right before it."""
+    return f"regexp_replace({fold}, '(?=[^0-9a-z])(?:(?<![{_SPACES_SQL}])[{_SPACES_SQL}]++)?[:\uff1a=]', ':')"
+
+
+def label_ends(pattern: str) -> frozenset[str]:
+    """Folded strings, a colon behind each, of which :func:`ends_sql` of any text with a match holds at least one; empty where a match needs no label with a separator."""
+    try:
+        items = list(parser.parse(re.sub(r"\\p\{L\}", "a+", pattern.replace("(?<name>", "(?P<name>").replace("(?<legal>", "(?P<legal>"))))
+    except re.error:
+        return frozenset()
+    while True:
+        at = next((k for k, (op, value) in enumerate(items) if op is K.IN and all(kind is K.LITERAL and chr(x) in SEPARATORS for kind, x in value)), None)
+        if at is not None:
+            break
+        inner = next((value[3] for op, value in items if op is K.SUBPATTERN), None)
+        if inner is None:
+            return frozenset()
+        items = list(inner)
+    before = items[:at]
+    while before and before[-1][0] is K.MAX_REPEAT and _blank(before[-1][1][2]):
+        before.pop()
+    ends = {x + ":" for x, _ in _ends(before, {("", True)})}
+    # an end that is a blank or a separator itself may have gone into the colon
+    if not ends or len(ends) > MOST_ALTERNATIVES or any(len(x) < 3 or x[-2].isspace() or SEPARATORS & set(x[:-1]) for x in ends):
+        return frozenset()
+    return frozenset(ends)
+
+
+def _blank(items) -> bool:
+    """Whether a part takes white space only."""
+    return all(op is K.LITERAL and chr(value) in " \t" or op is K.IN and all(kind is K.LITERAL and chr(x) in " \t" or kind is K.CATEGORY and x is K.CATEGORY_SPACE for kind, x in value) for op, value in items)
+
+
+def _ends(items, after: set[tuple[str, bool]]) -> set[tuple[str, bool]]:
+    """Strings that any text of the items and what follows ends in, and whether more is told before each."""
+    for op, value in reversed(list(items)):
+        going = {x for x, on in after if on and len(x) < LONGEST_END}
+        done = {(x, False) for x, on in after if not on or len(x) >= LONGEST_END}
+        some = {(x, True) for x in going}
+        if not going:
+            break
+        if op is K.LITERAL:
+            some = {(folded(chr(value)) + x, True) for x in going}
+        elif op is K.IN and 0 < len(_characters(value)) <= 4:
+            some = {(c + x, True) for c in _characters(value) for x in going}
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and tuple(value[:2]) == (0, 1):
+            some |= _ends(value[2], some)
+        elif op is K.SUBPATTERN:
+            some = _ends(value[3], some)
+        elif op is K.BRANCH:
+            some = set().union(*(_ends(b, some) for b in value[1]))
+        elif op not in (K.AT, K.ASSERT, K.ASSERT_NOT):
+            some = {(x, False) for x in going}
+        after = done | some
+    return after

@@ -15,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
-from ..functions.required import DIGITS, folded_sql
+from ..functions.required import DIGITS, ends_sql, folded_sql
 from ..plans.config import Rule, ScrubConfig, category_of, group_of, norm_lang, plan_rules
 
 #: Marks around a match, and what stands for them where a text holds them itself.
@@ -83,6 +83,11 @@ def needed(rule: Rule, fold: str, digit: str) -> str:
     return " AND ".join(tests) or "true"
 
 
+def ended(rule: Rule, ends: str) -> str:
+    """SQL condition that any text with a match fulfils: ``ends`` is its form in which a label's end stands right before a colon."""
+    return f"contains({ends}, ':') AND (" + " OR ".join(f"contains({ends}, {quoted(x)})" for x in sorted(rule.ends)) + ") AND " if rule.ends else ""
+
+
 #: Which part of a match is its value: all of it, the group after a label, the first group of a phone number, a group.
 ALL, AFTER_LABEL, NUMBER, GROUP = range(4)
 
@@ -109,8 +114,8 @@ def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> s
         kind, held = _value_of(rule)
         kinds.append(kind)
         pattern = quoted(rule.pattern)
-        groups = "".join(CLOSE + (f"${held[g]}" if g < len(held) else "") for g in range(4))
-        found.append(f"named_struct('rule', {k + 1}, 'marked', CASE WHEN {needed(rule, 'z.fold', 'z.digit')} THEN regexp_replace({text}, {pattern}, '{OPEN}$0{groups}{CLOSE}') END)")
+        groups = "".join(OPEN + (f"${held[g]}" if g < len(held) else "") for g in range(4))
+        found.append(f"named_struct('rule', {k + 1}, 'marked', CASE WHEN {ended(rule, 'z.ends')}{needed(rule, 'z.fold', 'z.digit')} THEN regexp_replace({text}, {pattern}, '{OPEN}$0{groups}{OPEN}') END)")
     table = lambda values: f"element_at(array({', '.join(values)}), w.rule)"
     kind = table([str(k) for k in kinds])
     full, at, *group = "w.parts[i * 6 + 1]", "w.starts[i]", *[f"w.parts[i * 6 + {2 + g}]" for g in range(4)]
@@ -128,8 +133,8 @@ def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> s
     stretches = f"transform(sequence(0, cast((size(s.lengths) - 1) / {STRETCH} AS int)), q -> {total(f'slice(s.lengths, q * {STRETCH} + 1, {STRETCH})')})"
     heads = "aggregate(s.stretches, named_struct('at', 0, 'all', cast(array() AS array<int>)), (a, p) -> named_struct('at', a.at + p, 'all', concat(a.all, array(a.at))), a -> a.all)"
     start = f"s.heads[cast(i / {STRETCH} AS int)] + {total(f'slice(s.lengths, cast(i / {STRETCH} AS int) * {STRETCH} + 1, i % {STRETCH})')} + x.gap"
-    # a rule that replaced nothing left the text as it was
-    bound = f"transform(filter(array({', '.join(found)}), m -> m.marked <> {text}), m -> named_struct('rule', m.rule, 'parts', split(m.marked, '[{OPEN}{CLOSE}]', -1)))"
+    # a rule that replaced nothing left the text as it was; one mark for all, six parts a match: Java splits at a single sign without a pattern
+    bound = f"transform(filter(array({', '.join(found)}), m -> m.marked <> {text}), m -> named_struct('rule', m.rule, 'parts', split(m.marked, '{OPEN}', -1)))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', {lengths}))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', s.lengths, 'stretches', {stretches}))"
     bound = f"transform({bound}, s -> named_struct('rule', s.rule, 'parts', s.parts, 'lengths', s.lengths, 'heads', {heads}))"
@@ -141,7 +146,8 @@ def hits_sql(text: str, rules: list[Rule], lang: str, parity: bool = False) -> s
         f"'text', substring(h.full, h.a + 1, h.n), 'placeholder', {field(lambda r: r.placeholder)}, 'mode', {field(lambda r: r.mode)}, 'tag', {field(lambda r: r.tag)}, 'term', {field(lambda r: r.term)}, 'full', h.full)"
     )
     hits = f"transform({bound}, w -> transform(filter(transform(sequence(0, size(w.starts) - 1), i -> {hit}), h -> h.good AND h.full <> '' AND h.n > 0), h -> {record}))"
-    return f"transform(array(named_struct('fold', {folded_sql(text)}, 'digit', {text} RLIKE '[0-9]')), z -> flatten({hits}))[0]"
+    told = f"transform(array(named_struct('fold', {folded_sql(text)}, 'digit', {text} RLIKE '[0-9]')), z -> named_struct('fold', z.fold, 'digit', z.digit, 'ends', {ends_sql('z.fold')}))"
+    return f"transform({told}, z -> flatten({hits}))[0]"
 
 
 def rule_hits(text: str, rule: Rule, lang: str) -> str:

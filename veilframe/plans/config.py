@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions.dialect import groups, term_pattern, to_java
-from ..functions.required import folded, required
+from ..functions.required import folded, label_ends, required
 from . import pack_de, pack_en, pack_zh
 
 PACKS = {"en": pack_en, "de": pack_de, "zh": pack_zh}
@@ -82,6 +82,7 @@ class Rule:
     placeholder: str = ""
     term: str = ""
     needs: tuple[frozenset[str], ...] = ()
+    ends: frozenset[str] = frozenset()
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ def plan_rules(config: ScrubConfig) -> list[Rule]:
         on = (config.money_mode or "m1").lower() != "off" if key == "money" else key in enabled
         if on and key in rules:
             tag, mode, flags, pattern = rules[key]
-            out.append(Rule(key, tag, mode, order, to_java(pattern, flags, led=True), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=required(pattern)))
+            out.append(Rule(key, tag, mode, order, to_java(pattern, flags, led=True), groups(pattern), pack.PLACEHOLDERS.get(tag, f"[{tag}]"), needs=required(pattern), ends=label_ends(pattern)))
     return out + list(config.extra_rules)
 
 
