@@ -310,6 +310,48 @@ def test_cross_polytope_recall():
         assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.999, looks
 
 
+def _near(data, threshold=0.98):
+    """Links of each row ``(id, vector, label)`` to rows of its label, by brute force."""
+    x = np.array([v for _, v, _ in data], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([m for *_, m in data])
+    near = (x @ x.T >= threshold) & (label[:, None] == label[None, :])
+    return dict(zip([i for i, *_ in data], (near.sum(axis=1) - 1).tolist(), strict=True))
+
+
+def test_a_vector_is_hashed_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = np.repeat(rng.standard_normal((60, 32)), 10, axis=0)  # 60 clumps of ten near vectors
+    x = (base + 0.01 * rng.standard_normal(base.shape)).astype(np.float32)
+    data = [(k, v.tolist(), k // 10 % 2) for k, v in enumerate(x)]
+    log, real = str(tmp_path / "hashed"), embedding_dedup.codes
+
+    def spy(rows, looks):
+        with open(log, "a") as f:
+            f.write(f"{len(rows)}\n")
+        return real(rows, looks)
+
+    monkeypatch.setattr(embedding_dedup, "codes", spy)
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == _near(data)
+    assert {r.component_id for r in got} == set(range(0, 600, 10))
+    with open(log) as f:
+        assert sum(map(int, f)) == len(data)
+
+
+@pytest.mark.parametrize("block", [2000, 150])
+def test_pairs_of_a_large_label_count_once(spark, block):
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((2400, 8))
+    x = np.concatenate([base, base[:300] + 0.02 * rng.standard_normal((300, 8)), base[:1] + 0.02 * rng.standard_normal((200, 8))])
+    data = [(k, v.tolist(), int(k % 50 == 0)) for k, v in enumerate(x)]  # one large label with two hashes to a table, a small one with one
+    assert len(embedding_dedup.widths(len(data) * 49 // 50, 8)) == 2 and len(embedding_dedup.widths(0, 8)) == 1
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), block=block).collect()
+    want = _near(data)
+    assert sum(want.values()) > 38_000
+    assert {r.vec_id: r.n_links for r in got} == want
+
+
 def test_an_id_may_stand_for_several_vectors(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     near = [0.01, 1.0, 0.0, 0.0]
