@@ -342,16 +342,30 @@ def test_a_vector_is_hashed_once(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("block", [2000, 150])
 def test_pairs_of_a_large_label_count_once(spark, block):
     rng = np.random.default_rng(12)
-    base = rng.standard_normal((2400, 8))
+    base = rng.standard_normal((3200, 8))
     x = np.concatenate([base, base[:300] + 0.02 * rng.standard_normal((300, 8)), base[:1] + 0.02 * rng.standard_normal((200, 8))])
-    data = [(k, v.tolist(), int(k % 50 == 0)) for k, v in enumerate(x)]  # one large label with two hashes to a table, a small one with one
-    assert len(embedding_dedup.widths(len(data) * 49 // 50, 8)) == 2 and len(embedding_dedup.widths(0, 8)) == 1
+    data = [(k, v.tolist(), int(k % 50 == 0)) for k, v in enumerate(x)]  # one large label, a small one with fewer hash values
+    assert embedding_dedup.widths(len(data) * 49 // 50, 8) > embedding_dedup.widths(0, 8)
     got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), block=block).collect()
     want = _near(data)
     assert sum(want.values()) > 38_000
     assert {r.vec_id: r.n_links for r in got} == want
 
 
+def test_recall_of_short_vectors():
+    rng = np.random.default_rng(13)
+    for dim in (2, 4, 8):
+        x = rng.standard_normal((5_000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal(x.shape)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        pair = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        for many in (1_000, 100_000, 2_000_000):  # one to three hashes
+            looks = embedding_dedup.widths(many, dim)
+            a, b = embedding_dedup.codes(x, looks), embedding_dedup.codes(pair, looks)
+            assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).all(), (dim, looks)
+
+
 def test_an_id_may_stand_for_several_vectors(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     near = [0.01, 1.0, 0.0, 0.0]

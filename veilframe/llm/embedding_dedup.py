@@ -27,8 +27,8 @@ RUNNERS = 3
 PER_BUCKET, LEAST_VALUES = 100, 16
 #: Cosines worked out at once in a task.
 SLAB = 1_000_000
-#: Widest rotation that is kept as a matrix.
-MATRIX = 512
+#: Narrowest rotation: sign flips of few coordinates give few different ones, so tables would miss the same pairs.  Widest rotation that is kept as a matrix.
+NARROWEST, MATRIX = 64, 512
 #: Most groups that are broadcast.
 FEW = 20_000
 #: Most vectors in a block; buckets beyond it are cut into blocks, and blocks pair up over tasks.
@@ -63,12 +63,17 @@ def turned(x: np.ndarray, table: int, hash_: int) -> np.ndarray:
     return x
 
 
+def width(dim: int) -> int:
+    """Power of two that vectors are padded to."""
+    return max(NARROWEST, 1 << (dim - 1).bit_length())
+
+
 def widths(many: int, dim: int) -> tuple[int, ...]:
     """Coordinates that each hash of a table looks at, for ``many`` vectors of a label: whole rotations, then as many coordinates of another as are wanting.
 
     A hash over w coordinates has 2 w values, so their number follows the table in steps of two, whatever the dimension.
     """
-    wide = 1 << max(1, (dim - 1).bit_length())
+    wide = width(dim)
     out, left = [], max(min(LEAST_VALUES, 2.0 * wide), many / PER_BUCKET)
     while left > 2 * wide:
         out.append(wide)
@@ -84,7 +89,7 @@ def tables(looks: tuple[int, ...]) -> int:
 def codes(x: np.ndarray, looks: tuple[int, ...]) -> np.ndarray:
     """Bucket codes ``(rows, tables, PROBES)`` of unit rows: the likeliest combinations of nearest cross-polytope vertices, sorted."""
     n, dim = x.shape
-    wide = 1 << max(1, (dim - 1).bit_length())
+    wide = width(dim)
     padded = np.zeros((n, wide))
     padded[:, :dim] = x
     out = np.empty((n, tables(looks), PROBES), np.int64)
