@@ -394,6 +394,48 @@ def test_equal_rows_shard_apart(spark):
     assert len(got) == 64 and max(r.shard_bytes for r in got) <= 1000
 
 
+def test_sharding_broadcasts_nothing(spark):
+    """Spark's default limit goes by the size of files, which at a gigabyte made the driver collect millions of sums: here any broadcast of more than some bytes is an error."""
+    data = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', int(id % 97)) AS text")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", "64")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        for limit in (10**9, 3000, 60):  # one bucket, one round, texts over the limit
+            got = sharding.shard(data, limit).collect()
+            assert len(got) == 3000 and sum(r.n_bytes for r in got) == sum(k % 97 for k in range(3000))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def _split(rows, limit, bits, depth=0):
+    """Rows ``(hash, row)`` split bit by bit: ``(shard, row, bytes, rows)``, equal rows left together."""
+    held = sum(r[1] for _, r in rows)
+    if held <= limit or len(rows) == 1 or depth == bits:
+        return [(format(h, f"0{bits}b")[:depth], r, held, len(rows)) for h, r in rows]
+    parts = [[x for x in rows if x[0] >> (bits - 1 - depth) & 1 == b] for b in (0, 1)]
+    return [x for part in parts if part for x in _split(part, limit, bits, depth + 1)]
+
+
+@pytest.mark.parametrize(("limit", "rounds"), [(10**9, 20), (2000, 20), (0, 20), (90, 2), (0, 2)])
+def test_shards_equal_plain_splitting(spark, monkeypatch, limit, rounds):
+    """Also over many rounds of few bits, with null ids and texts and texts over the limit."""
+    rows = [(k if k % 50 else None, None if k % 7 == 0 else "ab" * (k % 61) + str(k)) for k in range(600)] + [(1000, "y" * 5000)]
+    monkeypatch.setattr(sharding, "ROUND_BITS", rounds)
+    if rounds == 2:
+        monkeypatch.setattr(sharding, "NEXT_BITS", 2)
+        monkeypatch.setattr(sharding, "HASH_BITS", 20)
+    bits = sharding.HASH_BITS
+    digest = lambda i, t: int(hashlib.md5(f"{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[: bits // 4], 16)
+    keyed = [(digest(i, t), (i, len(t or ""))) for i, t in rows]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    cut = lambda shard: shard[:bits]  # noqa: E731  below, bits of the place
+    want = collections.Counter((*r, s, b, n) for s, r, b, n in _split(keyed, limit, bits))
+    assert collections.Counter((r.doc_id, r.n_bytes, cut(r.shard), r.shard_bytes, r.shard_docs) for r in got) == want
+    assert all(r.depth == len(r.shard) for r in got)
+
+
 def _base(text):
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]

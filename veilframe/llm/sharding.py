@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +36,31 @@ def _bits(first: int) -> Column:
 
 
 def _directory(rows: DataFrame, limit: int, last: bool, wide: int) -> DataFrame:
-    """``above, cell, depth``: for each cell of ``wide`` bits below a prefix ``above``, the least depth at which its bucket fits; null depth: none does.
+    """``above, cell, depth, shard_bytes, shard_docs``: for each cell of ``wide`` bits below a prefix ``above``, the least depth at which its bucket fits, and what that holds; null depth: none does.
 
-    Sizes of cells are summed once; the sizes of all shorter prefixes are sums of those, so no level reads the documents again.
+    Sizes of cells are summed once; the sizes of all shorter prefixes and of their halves are sums of those, so no level reads the documents again.
+    A bucket stands where a prefix is too large and its half is not; cells are looked up at the depths of such buckets alone.  Every join is
+    a merge join: files of sums are far smaller than their rows in memory, so that Spark would collect and broadcast them by the files' size.
     """
     cells = stored(rows.groupBy("above", "cell").agg(F.sum("n_bytes").alias("held"), F.count("*").alias("n")), "cells")
-    levels = cells.select("above", "cell", "held", "n", F.explode(F.sequence(F.lit(0), F.lit(wide))).alias("depth"))
-    levels = levels.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(wide) - F.col("depth")))
-    sums = levels.groupBy("above", "depth", "prefix").agg(F.sum("held").alias("held"), F.sum("n").alias("n"))
-    fits = sums.where((F.col("held") <= limit) | (F.col("n") == 1) | (F.lit(last) & (F.col("depth") == wide))).select("above", "depth", "prefix")
+    right = lambda bits: F.call_function("shiftright", F.col("cell"), F.lit(wide) - F.col("depth") - bits)
+    levels = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("depth"))
+    levels = levels.select("above", "depth", right(0).alias("prefix"), "held", "n", (1 - right(1) % 2).alias("low"))
+    sums = levels.groupBy("above", "depth", "prefix").agg(F.sum("held").alias("held"), F.sum("n").alias("n"), F.sum(F.col("held") * F.col("low")).alias("low_held"), F.sum(F.col("n") * F.col("low")).alias("low_n"))
+    fits = lambda held, n: (held <= limit) | (n == 1)
+    bucket = lambda depth, prefix, held, n: F.struct(depth.alias("depth"), prefix.alias("prefix"), held.alias("shard_bytes"), n.alias("shard_docs"))
+    depth, prefix, held, n, low_held, low_n = map(F.col, ("depth", "prefix", "held", "n", "low_held", "low_n"))
+    halves = F.array(bucket(depth + 1, prefix * 2, low_held, low_n), bucket(depth + 1, prefix * 2 + 1, held - low_held, n - low_n))
+    settled = F.filter(halves, lambda b: (b["shard_docs"] > 0) & (fits(b["shard_bytes"], b["shard_docs"]) | (F.lit(last) & (b["depth"] == wide))))
+    whole = fits(held, n)
+    buckets = stored(sums.where(~whole | (depth == 0)).select("above", F.explode(F.when(whole, F.array(bucket(depth, prefix, held, n))).otherwise(settled)).alias("b")).select("above", "b.*"), "buckets")
     # a short prefix has very many cells: they meet it in parts
-    short = F.col("depth") < SHORT
-    spread = fits.withColumn("part", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
-    found = levels.withColumn("part", F.when(short, (F.col("cell") % PARTS).cast("int")).otherwise(F.lit(0))).join(spread, ["above", "depth", "prefix", "part"]).groupBy("above", "cell").agg(F.min("depth").alias("depth"))
-    return stored(cells.select("above", "cell").join(found, ["above", "cell"], "left"), "directory")
+    short = depth < SHORT
+    spread = buckets.withColumn("part", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    depths = F.array(*[F.lit(r.depth) for r in buckets.select("depth").distinct().collect()]).cast("array<int>")
+    looked = cells.select("above", "cell", F.explode_outer(depths).alias("depth")).withColumn("prefix", right(0)).withColumn("part", F.when(short, (F.col("cell") % PARTS).cast("int")).otherwise(F.lit(0)))
+    found = looked.join(spread.withColumn("at", depth).hint("merge"), ["above", "depth", "prefix", "part"], "left")
+    return stored(found.groupBy("above", "cell").agg(F.max("at").alias("depth"), F.max("shard_bytes").alias("shard_bytes"), F.max("shard_docs").alias("shard_docs")), "directory")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -69,16 +82,14 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         last = first >= HASH_BITS
         wide = _width(first)
         directory = _directory(open_, limit, last, wide)
-        placed = open_.join(directory, ["above", "cell"])
+        placed = open_.join(directory.hint("merge"), ["above", "cell"])
+        more = not last and not directory.where(F.col("depth").isNull()).isEmpty()
+        placed = stored(placed, "shard-places") if more else placed
         bits = F.lpad(F.bin("cell"), wide, "0")
-        done.append(placed.where(F.col("depth").isNotNull()).select("doc_id", "n_bytes", F.concat("above", F.expr(f"substring(lpad(bin(cell), {wide}, '0'), 1, depth)")).alias("shard")))
-        if last or directory.where(F.col("depth").isNull()).isEmpty():
+        done.append(placed.where(F.col("depth").isNotNull()).select("doc_id", "n_bytes", F.concat("above", F.expr(f"substring(lpad(bin(cell), {wide}, '0'), 1, depth)")).alias("shard"), "shard_bytes", "shard_docs"))
+        if not more:
             break
         first += wide
-        open_ = stored(placed.where(F.col("depth").isNull()).withColumn("above", F.concat("above", bits)).drop("depth").withColumn("cell", _bits(first)), "shard-keys")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    out = stored(out, "shards")
-    sizes = out.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-    return out.join(sizes, "shard").select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
+        open_ = stored(placed.where(F.col("depth").isNull()).withColumn("above", F.concat("above", bits)).drop("depth", "shard_bytes", "shard_docs").withColumn("cell", _bits(first)), "shard-keys")
+    out = functools.reduce(DataFrame.union, done)
+    return out.select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
