@@ -50,7 +50,7 @@ def boundaries(pattern: str) -> list[tuple[bool, bool]]:
 def _of_word(op, value) -> bool:
     """Whether an item of one character takes only signs of a word."""
     if op is K.LITERAL:
-        return re.fullmatch(r"\w", chr(value), re.ASCII) is not None
+        return re.match(r"\w", chr(value), re.ASCII) is not None
     if op is K.RANGE:
         return any(ord(a) <= value[0] and value[1] <= ord(z) for a, z in ("09", "AZ", "az"))
     if op is K.CATEGORY:
